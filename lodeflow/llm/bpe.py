@@ -8,7 +8,7 @@ last token of a prefix is the longest token that ends it and that may follow the
 left; two tokens may follow each other if the merges of their joined bytes give just these two.
 
 Each executor process does this for the texts it holds, with a table of known pieces of bounded size;
-nothing is shuffled. Memory: texts are handled in stretches of about :data:`STRETCH` characters, and a
+nothing is shuffled. The table stays from task to task in a worker process. Memory: texts are handled in stretches of about :data:`STRETCH` characters, and a
 longer text in parts that end where a piece ends.
 
 Cases: a null or empty text has no ids; its decoded text is empty. The string of an added token is
@@ -18,8 +18,10 @@ an empty table gives an empty one. Other columns stay; one named like a result i
 
 from __future__ import annotations
 
+import array
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cleared, table
+from .common import cleared, process_state, table
 
 STRETCH = 1 << 20
 #: Known pieces that an executor process keeps; longer ones than this many characters aren't kept.
-KNOWN, LONG = 400_000, 64
+KNOWN, LONG = 600_000, 64
 
 #: The vocabulary's pattern, and the same for texts of ASCII and Latin letters only, which is faster.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -108,8 +110,11 @@ class Trie:
         self.merges = {}
         for rank, (a, b) in enumerate(pairs):
             self.merges.setdefault((model["vocab"][a], model["vocab"][b]), (rank, model["vocab"][a + b]))
-        self.longest = max(map(len, self.ids))
-        self.follows: dict[tuple[int, int], bool] = {}
+        #: Length of the longest token with these two last bytes.
+        self.tails: dict[bytes, int] = {}
+        for b in self.ids:
+            self.tails[b[-2:]] = max(len(b), self.tails.get(b[-2:], 1))
+        self.follows: dict[int, bool] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """Plain merging by rank, for short words."""
@@ -122,47 +127,49 @@ class Trie:
         return out
 
     def may_follow(self, a: int, b: int) -> bool:
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            known = self.follows[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+        if len(self.follows) > 2_000_000:
+            self.follows.clear()
+        known = self.follows[a << 32 | b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
     def encode(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """The ids of each word, in the order of the trie."""
         last: list[int] = [-1]
-        before, ids, size = b"", self.ids, self.bytes
+        before, ids, size, follows, tails = b"", self.ids.get, self.bytes, self.follows, self.tails.get
         for word in sorted(words):
             n = min(len(before), len(word))
             shared = n if before[:n] == word[:n] else next(i for i in range(n) if before[i] != word[i])
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (not start or self.may_follow(last[start], token)):
+                for start in range(max(0, end - tails(word[end - 2 : end], 1)), end):
+                    token = ids(word[start:end])
+                    if token is not None:
+                        if start:
+                            ok = follows.get(last[start] << 32 | token)
+                            if ok is None:
+                                ok = self.may_follow(last[start], token)
+                            if not ok:
+                                continue
                         last.append(token)
                         break
             out, end = [], len(word)
             while end:
                 out.append(last[end])
                 end -= len(size[last[end]])
-            yield word, out[::-1]
+            out.reverse()
+            yield word, out
             before = word
 
 
 class Known(dict):
     """Pieces and their ids, packed as little-endian 32-bit numbers."""
 
-    def add(self, pieces: set[str], encode: Callable[[list[str]], Iterable[tuple[str, list[int]]]]) -> dict[str, bytes]:
-        """Encodes what is new. What is too long to be kept, or all when the table is full, is returned instead."""
-        import array
-
+    def add(self, pieces: set[str], encode: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> dict[str, bytes]:
+        """Encodes what is new; the table is emptied first where it would grow too large. What is too long to be kept is returned."""
         extra: dict[str, bytes] = {}
         if len(self) + len(pieces) > KNOWN:
             self.clear()
-        for piece, ids in encode(sorted(pieces)):
-            packed = array.array("I", ids).tobytes()
+        for piece, packed in encode(sorted(pieces)):
             if len(piece) > LONG:
                 extra[piece] = packed
             else:
@@ -176,14 +183,21 @@ def packed_ids(texts: Iterable[str | None], split: Splitter, added: dict[str, in
     size = 0
 
     def flush():
-        new = {p for parts in held for x in parts if isinstance(x, list) for p in x if p not in known}
-        kept = len(known)
+        get = known.get
+        found = [[(x, list(map(get, x))) if isinstance(x, list) else x for x in parts] for parts in held]
+        new = {p for parts in found for x in parts if isinstance(x, tuple) and None in x[1] for p, v in zip(*x, strict=True) if v is None}
         extra = known.add(new, encode) if new else {}
-        if new and kept and len(known) < kept:  # it was emptied
-            extra |= known.add({p for parts in held for x in parts if isinstance(x, list) for p in x if p not in known and p not in extra}, encode)
-        find = known.__getitem__ if not extra else lambda p: extra[p] if p in extra else known[p]
-        for parts in held:
-            yield [b"".join(map(find, x)) if isinstance(x, list) else x for x in parts]
+        for parts in found:
+            out = []
+            for x in parts:
+                if isinstance(x, tuple):
+                    pieces, packed = x
+                    if None in packed:
+                        packed = [v if v is not None else extra[p] if p in extra else known[p] for p, v in zip(pieces, packed, strict=True)]
+                    out.append(b"".join(packed))
+                else:
+                    out.append(x)
+            yield out
 
     for text in texts:
         parts: list = []
@@ -200,11 +214,14 @@ def packed_ids(texts: Iterable[str | None], split: Splitter, added: dict[str, in
 
 
 def encoder(file: bytes) -> Callable[[Iterable[str | None]], Iterator[list[bytes]]]:
-    trie = Trie(file)
-    split, known = Splitter(trie.added), Known()
+    def make():
+        trie = Trie(file)
+        return trie, Splitter(trie.added), Known()
+
+    trie, split, known = process_state(f"trie_{zlib.crc32(file)}", make)
 
     def encode(pieces):
-        return ((w.decode(), ids) for w, ids in trie.encode([p.encode() for p in pieces]))
+        return ((w.decode(), array.array("I", ids).tobytes()) for w, ids in trie.encode([p.encode() for p in pieces]))
 
     return lambda texts: packed_ids(texts, split, trie.added, known, encode)
 

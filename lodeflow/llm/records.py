@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_dir, table
+from .common import process_state, shared_dir, table
 
 INDEX = "doc_id long, file string, part int, place long, offset long, length long, n_tokens long"
 HEAD = "<BBq"
@@ -83,12 +83,25 @@ def library_encoder(file: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(file.decode())
-    added = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-    split, known = bpe.Splitter(added), bpe.Known()
+    def make():
+        t = Tokenizer.from_str(file.decode())
+        added = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+        return t, added, bpe.Splitter(added), bpe.Known()
+
+    t, added, split, known = process_state(f"library_{zlib.crc32(file)}", make)
 
     def encode(pieces):
-        return zip(pieces, (e.ids for e in t.encode_batch(pieces, add_special_tokens=False)), strict=True)
+        import numpy as np
+
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
+            e = t.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some))) * 4
+            start = 0
+            for piece, end in zip(some, ends.tolist(), strict=True):
+                yield piece, ids[start:end]
+                start = end
 
     return (lambda texts: bpe.packed_ids(texts, split, added, known, encode)), t.get_vocab_size()
 
