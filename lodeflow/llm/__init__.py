@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Modules with QUERIES and ORACLE_SQL, by number of operator.
-MODULES = ("minhash", "suffixes", "quality", "fingerprints", "urls", "records", "toxicity", "bpe")
+MODULES = ("embeddings", "minhash", "suffixes", "quality", "fingerprints", "urls", "records", "toxicity", "bpe")
 
 
 def _modules():
