@@ -33,7 +33,7 @@ from .common import cleared, process_state, table
 
 STRETCH = 1 << 20
 #: Known pieces that an executor process keeps; longer ones than this many characters aren't kept.
-KNOWN, LONG = 600_000, 64
+KNOWN, LONG = 1_200_000, 64
 
 #: The vocabulary's pattern, and the same for texts of ASCII and Latin letters only, which is faster.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -169,7 +169,7 @@ class Known(dict):
         extra: dict[str, bytes] = {}
         if len(self) + len(pieces) > KNOWN:
             self.clear()
-        for piece, packed in encode(sorted(pieces)):
+        for piece, packed in encode(list(pieces)):
             if len(piece) > LONG:
                 extra[piece] = packed
             else:
@@ -213,7 +213,9 @@ def packed_ids(texts: Iterable[str | None], split: Splitter, added: dict[str, in
     yield from flush()
 
 
-def encoder(file: bytes) -> Callable[[Iterable[str | None]], Iterator[list[bytes]]]:
+def encoder(file: bytes) -> tuple[Callable[[Iterable[str | None]], Iterator[list[bytes]]], list[bytes]]:
+    """What gives texts' packed ids, and the bytes of each id."""
+
     def make():
         trie = Trie(file)
         return trie, Splitter(trie.added), Known()
@@ -223,7 +225,7 @@ def encoder(file: bytes) -> Callable[[Iterable[str | None]], Iterator[list[bytes
     def encode(pieces):
         return ((w.decode(), array.array("I", ids).tobytes()) for w, ids in trie.encode([p.encode() for p in pieces]))
 
-    return lambda texts: packed_ids(texts, split, trie.added, known, encode)
+    return (lambda texts: packed_ids(texts, split, trie.added, known, encode)), trie.bytes
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -232,26 +234,32 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
-
-
-def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with their texts' ids, an ``array<int>``."""
+def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with their texts' ids, an ``array<int>``; with ``decoded``, also the text that the ids give,
+    decoded where they were encoded, so they need not go to a second worker."""
     docs = cleared(docs, ids) if ids != text else docs
+    docs = cleared(docs, decoded) if decoded else docs
     file = docs.sparkSession.sparkContext.broadcast(vocabulary_file(path))
+    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def run(batches):
         import numpy as np
 
-        encode = encoder(file.value)
+        encode, token = encoder(file.value)
         for b in slices(batches):
             got = [b"".join(x) for x in encode(b.column(text).to_pylist())]
             ends = np.cumsum([0, *(len(x) // 4 for x in got)], dtype=np.int64)
             flat = pa.array(np.frombuffer(b"".join(got), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)], [*b.schema.names, ids])
+            columns = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)]
+            if decoded:
+                columns.append(pa.array([decode(token, np.frombuffer(x, "<i4").tolist()) for x in got], pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *(k.name for k in kinds)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds]))
+
 
-    return docs.mapInArrow(run, _with(docs, ids, T.ArrayType(T.IntegerType())))
+def decode(token: list[bytes], ids: list[int] | None) -> str:
+    return b"".join([token[i] for i in ids or ()]).decode("utf-8", "replace")
 
 
 def decode_ids(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -262,17 +270,15 @@ def decode_ids(df: DataFrame, path: str | None = None, ids: str = "ids", text: s
     def run(batches):
         token = Trie(file.value).bytes
         for b in slices(batches):
-            texts = [b"".join([token[i] for i in x or ()]).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
+            texts = [decode(token, x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text])
 
-    return df.mapInArrow(run, _with(df, text, T.StringType()))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    encoded = encode_texts(docs.select("doc_id", "text")).drop("text")
-    decoded = decode_ids(encoded)
-    return decoded.select(
+    return encode_texts(docs.select("doc_id", "text"), decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
