@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import sys
 import tempfile
+import types
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: ``df`` as a table written in the shared folder and read again, so that a lost
+    executor costs no recomputation and the plans that follow start from the table's true size.
+    The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lodeflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """Rows of a few KB go to Python workers in batches of fewer rows than is usual, which bounds their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -51,3 +74,12 @@ def cleared(df: DataFrame, *names: str) -> DataFrame:
 def salts(n_rows: int, rows: int) -> int:
     """How many groups hold ``n_rows`` rows with about ``rows`` in each."""
     return max(1, -(-n_rows // rows))
+
+
+def process_state(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks. Functions reach workers by value, so their module's own
+    variables last for one task only. Nothing depends on what is kept: a new process makes it again."""
+    kept = sys.modules.setdefault("_lodeflow_process_state", types.ModuleType("_lodeflow_process_state"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)

@@ -1,16 +1,17 @@
 """MinHash near-dedup with tensored banding.
 
 A document is its set of distinct word shingles (64-bit hashes; ASCII letters lower-cased). Documents
-with equal sets are one. For the others two small collections of minhash pairs are made; a table's key
-joins a pair of the first with a pair of the second, so ``n * n`` tables take ``4 n`` minhashes and not
-``4 n * n``. A pair of documents whose similarity is ``s`` is missed if it agrees in no pair of one
-collection: ``2 (1 - s^2)^n``; ``n`` is the least that makes this 5 in 10,000 at the threshold.
+with equal sets are one. For the others two small collections of minhash triples are made; a table's key
+joins a triple of the first with a triple of the second, so ``n * n`` tables take ``6 n`` minhashes and not
+``6 n * n``. A pair of documents whose similarity is ``s`` is missed if it agrees in no triple of one
+collection: ``2 (1 - s^3)^n`` at most; ``n`` is the least that makes this 5 in 10,000 at the threshold.
+Keys are made only of triples that another document has too, as no other key can be shared.
 
 Candidates are compared by their whole sets. In a table's bucket each document is compared with the one
-that shares the most buckets, which links a group of copies with one comparison each; where a bucket
-still holds several components, its members are compared across components, until none can be linked.
-All pairs within a group are never made: what is left is compared outright only where that is no more
-than a few pairs for each document; else one further member of each bucket is compared with the rest, in turns.
+that shares the most buckets, which links a group of copies with one comparison each. Where what that
+document collects falls into several components, its members are compared with each other in pairs of blocks of
+:data:`BLOCK`; a task holds two blocks and returns only links that join what it has not joined yet. So
+every pair in a bucket is linked if it should be, and no join makes all pairs of a group.
 
 Sets travel for documents in candidate pairs only. Buckets and links are joined and aggregated, never
 gathered, so a hot bucket is a skewed join with one row on the other side.
@@ -31,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, table
-from .graph import connected_components
+from .common import cut, small_batches, table
+from .graph import connected_components, group_bounds, map_groups
 
 PIECE = 1 << 20
 #: Ids of this many documents, 8 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Left-over pairs for each document that are compared outright.
-OUTRIGHT = 4
+#: Documents in a block of a group that one document does not hold together.
+BLOCK = 128
 
 _ROOT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -46,7 +47,7 @@ _MASK = (1 << 64) - 1
 
 def tables(percent: int) -> int:
     """Size of each collection, for a similarity in hundredths."""
-    miss = 1 - (percent / 100) ** 2
+    miss = 1 - (percent / 100) ** 3
     return max(1, math.ceil(math.log(2.5e-4) / math.log(miss))) if miss > 0 else 1
 
 
@@ -137,25 +138,25 @@ class Hasher:
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFrame:
-    """``id``, ``n_shingles``, ``digest`` of the set, and the two collections ``left`` and ``right``, each of ``n`` pairs of minhashes."""
+    """``id``, ``n_shingles``, ``digest`` of the set, and the two collections ``left`` and ``right``, each of ``n`` triples of minhashes."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         import hashlib
 
         hasher = Hasher(words)
         rng = np.random.default_rng(20_011)
-        flip, times = rng.integers(0, 1 << 63, 4 * n, dtype=np.uint64), rng.integers(0, 1 << 63, 4 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        flip, times = rng.integers(0, 1 << 63, 6 * n, dtype=np.uint64), rng.integers(0, 1 << 63, 6 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for b in slices(batches):
             sets = list(hasher.sets(b.column(1).to_pylist()))
             sizes = np.array([len(s) for s in sets], np.int64)
             full = sizes > 0
-            pairs = np.zeros((len(sets), 2 * n), np.uint64)
+            triples = np.zeros((len(sets), 2 * n), np.uint64)
             if full.any():
                 every = np.concatenate(sets)
                 starts = (np.cumsum(sizes) - sizes)[full]
                 least = np.stack([np.minimum.reduceat((every ^ f) * t, starts) for f, t in zip(flip, times, strict=True)], axis=1)
-                pairs[full] = mix(least[:, 0::2] * np.uint64(_ROOT) + least[:, 1::2])
-            flat = pairs.view(np.int64)
+                triples[full] = mix(mix(least[:, 0::3] * np.uint64(_ROOT) + least[:, 1::3]) + least[:, 2::3])
+            flat = triples.view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(np.ascontiguousarray(x).ravel())) for x in (flat[:, :n], flat[:, n:])]
             digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), digests, *lists], ["id", "n_shingles", "digest", "left", "right"])
@@ -201,56 +202,111 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, id) of the table keys whose two triples are both shared. ``reps`` has ``id``, ``left``, ``right``."""
+    sides = [reps.select("id", F.lit(k).alias("side"), F.posexplode(c).alias("i", "value")) for k, c in enumerate(("left", "right"))]
+    triples = sides[0].union(sides[1])
+    shared = triples.groupBy("side", "i", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = triples.join(shared, ["side", "i", "value"])
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("i", "value")))  # noqa: E731  at most n each
+    both = kept.groupBy("id").agg(of(0).alias("l"), of(1).alias("r"))
+    pairs = both.select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r"))
+    return pairs.select(F.xxhash64("l.i", "r.i", "l.value", "r.value").alias("bucket"), "id")
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): in each bucket, the document that shares the most buckets, and every other one."""
+    counts = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(keys.join(counts, "bucket"))
+    rank = shared.groupBy("id").agg(F.sum("n").alias("rank"))
+    ranked = shared.join(rank, "id")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("a"))
+    return shared.join(centres, "bucket").where("a != id").select("a", F.col("id").alias("b")).distinct()
+
+
+def _linked(sets: list[np.ndarray], block: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between the sets of two blocks, or within one: a spanning forest of them."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    place = np.cumsum(new) - 1
+    often = np.bincount(place) > 1  # a shingle that one document has adds nothing
+    keep = often[place]
+    owner, place = owner[keep], (np.cumsum(often) - 1)[place[keep]]
+    shared = np.zeros((n, n), np.float32)
+    step = 8_192
+    for at in range(0, int(often.sum()), step):
+        lo, hi = np.searchsorted(place, (at, at + step))
+        m = np.zeros((n, step), np.float32)
+        m[owner[lo:hi], place[lo:hi] - at] = 1
+        shared += m @ m.T
+    shared = shared.astype(np.int64)
+    ok = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    if block[0] != block[-1]:
+        ok &= block[:, None] != block[None, :]
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+        p, q = find(int(i)), find(int(j))
+        if p != q:
+            root[p] = q
+            yield int(i), int(j)
+
+
+def linked_in_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold the members of each group together; ``groups`` has distinct (centre, id)."""
+    sizes = groups.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tasks = placed.select("centre", "id", "block", other).select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+
+    def run(t: pa.Table):
+        t = t.sort_by([(c, "ascending") for c in ("centre", "i", "j", "block")]).combine_chunks()
+        starts, ends = group_bounds([t.column(c).to_numpy() for c in ("centre", "i", "j")])
+        ids, block, packed = t.column("id").to_numpy(), t.column("block").to_numpy(), t.column("shingles")
+        a, b = [], []
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            if hi - lo > 1:
+                got = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in range(lo, hi)]
+                for i, j in _linked(got, block[lo:hi], percent):
+                    a.append(ids[lo + i])
+                    b.append(ids[lo + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return map_groups(tasks.join(sets, "id"), ["centre", "i", "j"], run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """For each row ``key``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``."""
-    n = tables(percent)
-    signed = cut(signatures(docs, key, text, words, n))
+    signed = cut(signatures(docs, key, text, words, tables(percent)))
     full = signed.where("n_shingles > 0 AND id IS NOT NULL")
     heads = full.groupBy("digest").agg(F.min("id").alias("head"))
     joined = full.join(heads, "digest")
-    links = joined.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    reps = joined.where("id = head").select("id", "left", "right")
-    keys = reps.select("id", F.posexplode("left").alias("i", "l"), "right").select("id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("bucket"), "id").distinct()
-    counts = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(counts, "bucket"))
-    rank = shared.groupBy("id").agg(F.sum("n").alias("rank"))
-    members = cut(shared.select("bucket", "id").join(rank, "id"))
-    sets = None
-    found = links
-    tried = None
-    comp = None
-    while True:
-        if comp is None:
-            open_members = members.withColumn("component", F.col("id"))
-        else:
-            at = members.join(comp, "id", "left").select("bucket", "id", "rank", F.coalesce("component", "id").alias("component"))
-            mixed = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-            open_members = cut(at.join(mixed, "bucket", "left_semi"))
-            left_over = open_members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("n")).agg(F.sum("n")).first()[0]
-            if not left_over:
-                break
-        one, two = open_members.alias("p"), open_members.alias("q")
-        if comp is not None and left_over <= OUTRIGHT * max(1_000_000, signed.count()):
-            pairs = one.join(two, F.expr("p.bucket = q.bucket AND p.component < q.component")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-            last = True
-        else:
-            centre = open_members if tried is None else open_members.join(tried, ["bucket", "id"], "left_anti")
-            centre = cut(centre.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"), "component")).alias("c")).select("bucket", (-F.col("c.minus")).alias("id"), F.col("c.component").alias("component")))
-            pairs = centre.alias("p").join(two, F.expr("p.bucket = q.bucket AND p.component != q.component")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-            tried = centre.select("bucket", "id") if tried is None else cut(tried.union(centre.select("bucket", "id")))
-            last = False
-        pairs = cut(pairs.distinct())
-        if sets is None or comp is not None:
-            ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-            sets = shingle_sets(docs, key, text, words, ids)
-        found = cut(found.union(confirmed(pairs, sets, percent)))
-        comp = connected_components(found)
-        if last:
-            break
-    if comp is None:
-        comp = connected_components(found)
-    comp = comp.withColumnRenamed("id", "id_")
-    out = signed.select("id", "n_shingles").join(comp, F.col("id") == F.col("id_"), "left")
+    copies = joined.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    pairs = cut(stars(buckets(joined.where("id = head").select("id", "left", "right"))))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(shingle_sets(docs, key, text, words, cut(ids)))
+    with small_batches(docs.sparkSession):  # rows with two sets
+        found = cut(copies.union(confirmed(pairs, sets, percent)))
+    comp = connected_components(found)
+    members = pairs.select(F.col("a").alias("centre"), F.col("b").alias("id")).union(pairs.select(F.col("a").alias("centre"), F.col("a").alias("id")).distinct())
+    at = members.join(comp, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
+    parted = at.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y AND n > 2").select("centre")
+    groups = cut(at.join(parted, "centre", "left_semi").select("centre", "id"))
+    if not groups.isEmpty():
+        with small_batches(docs.sparkSession):
+            more = cut(linked_in_groups(groups, sets, percent))
+        comp = connected_components(found.union(more))
+    out = signed.select("id", "n_shingles").join(comp.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
