@@ -1,9 +1,19 @@
-"""Registered queries."""
+"""Registered queries, by family."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
 
+FAMILIES = ("retrieval",)
 
-def oracle_sql():
-    return {}
+
+def _all(name: str) -> dict:
+    return {k: v for f in FAMILIES for k, v in getattr(importlib.import_module(f"{__name__}.{f}"), name).items()}
+
+
+def queries() -> dict:
+    return _all("QUERIES")
+
+
+def oracle_sql() -> dict:
+    return _all("ORACLE_SQL")
