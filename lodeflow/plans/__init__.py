@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval", "documents")
+FAMILIES = ("retrieval", "documents", "knowledge", "answers", "evaluation")
 
 
 def _all(name: str) -> dict:
