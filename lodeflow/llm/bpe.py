@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import cleared, process_state, table
 
 STRETCH = 1 << 20
-#: Known pieces that an executor process keeps; longer ones than this many characters aren't kept.
-KNOWN, LONG = 1_200_000, 64
+#: Known pieces that an executor process keeps, about 250 bytes each; longer ones than this many characters aren't kept.
+KNOWN, LONG = 300_000, 64
 
 #: The vocabulary's pattern, and the same for texts of ASCII and Latin letters only, which is faster.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -164,10 +164,14 @@ class Trie:
 class Known(dict):
     """Pieces and their ids, packed as little-endian 32-bit numbers."""
 
+    def __init__(self, limit: int = KNOWN):
+        super().__init__()
+        self.limit = limit
+
     def add(self, pieces: set[str], encode: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> dict[str, bytes]:
         """Encodes what is new; the table is emptied first where it would grow too large. What is too long to be kept is returned."""
         extra: dict[str, bytes] = {}
-        if len(self) + len(pieces) > KNOWN:
+        if len(self) + len(pieces) > self.limit:
             self.clear()
         for piece, packed in encode(list(pieces)):
             if len(piece) > LONG:

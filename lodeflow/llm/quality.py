@@ -16,6 +16,7 @@ given; empty tables give empty results; other columns stay, one named like a res
 
 from __future__ import annotations
 
+import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .labelled import held_out, training_rows
 #: Words in a passage; buckets of word shapes; labelled documents to fit; size of a passage's code and of the attention.
 PASSAGE, SHAPES, SAMPLE, CODE, GATES = 64, 128, 6_000, 16, 8
 MEASURES = 8
+#: Words that a task keeps at most between stretches of text.
+WORDS = 150_000
 WIDTH = SHAPES + MEASURES
 KEEP_AT = 0.7
 
@@ -39,8 +42,8 @@ class Words(dict):
     """Numbers of words, with each one's shape and measures; emptied between stretches of text when large."""
 
     def __init__(self):
-        self.shape: list[int] = []
-        self.rows: list[tuple[float, ...]] = []
+        super().__init__()
+        self.shape, self.rows = array.array("H"), array.array("f")
 
     def __missing__(self, word: str) -> int:
         import zlib
@@ -52,14 +55,14 @@ class Words(dict):
         tail = word[len(word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :][:4]
         case = "0" if not letters else "u" if upper == letters and letters > 1 else "c" if word[:1].isupper() else "l" if not upper else "m"
         self.shape.append(zlib.crc32(f"{case}{'d' if digits else ''}{min(letters, 12) // 3}{tail}".encode()) % SHAPES)
-        self.rows.append((n, letters / n, upper / n, digits / n))
+        self.rows.extend((n, letters / n, upper / n, digits / n))
         self[word] = i = len(self.shape) - 1
         return i
 
 
 def passages(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, in order, and each text's number of passages."""
-    if len(words) > 500_000:
+    if len(words) > WORDS:
         words.clear()
         words.__init__()
     split = [(t or "").split() for t in texts]
@@ -73,7 +76,7 @@ def passages(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndar
         within = np.arange(len(ids)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
         at = np.repeat(first, n) + within // PASSAGE
         size = np.bincount(at, minlength=total).clip(1)
-        shape, rows = np.asarray(words.shape, np.int64), np.asarray(words.rows, np.float32)
+        shape, rows = np.array(words.shape, np.int64), np.array(words.rows, np.float32).reshape(-1, 4)
         out[:, :SHAPES] = np.sqrt(np.bincount(at * SHAPES + shape[ids], minlength=total * SHAPES).reshape(total, SHAPES) / size[:, None])
         for j in range(4):
             out[:, SHAPES + j] = np.bincount(at, weights=rows[ids, j], minlength=total) / size

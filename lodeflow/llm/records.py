@@ -35,6 +35,8 @@ from .common import process_state, shared_dir, table
 
 INDEX = "doc_id long, file string, part int, place long, offset long, length long, n_tokens long"
 HEAD = "<BBq"
+#: Known pieces that an executor process keeps.
+KNOWN = 1_200_000
 
 
 def masked(data: bytes) -> int:
@@ -86,7 +88,7 @@ def library_encoder(file: bytes):
     def make():
         t = Tokenizer.from_str(file.decode())
         added = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-        return t, added, bpe.Splitter(added), bpe.Known()
+        return t, added, bpe.Splitter(added), bpe.Known(KNOWN)
 
     t, added, split, known = process_state(f"library_{zlib.crc32(file)}", make)
 

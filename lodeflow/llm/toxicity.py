@@ -33,6 +33,8 @@ SAMPLE, TERMS, FACTORS, STARTS = 20_000, 4_096, 8, (3, 4, 5, 6)
 #: A term tells something if it is in this many documents and its G-squared is at least this.
 LEAST, TELLING = 5, 20.0
 TOXIC_AT = 0.3
+#: Words that a task remembers to have looked up.
+SEEN = 300_000
 WORD = r"[^\W\d_]+"
 
 
@@ -61,7 +63,7 @@ class Hits(dict):
     def of(self, words: set[str]) -> list[int]:
         new = words - self.seen
         if new:
-            if len(self.seen) > 1_000_000:
+            if len(self.seen) > SEEN:
                 self.seen.clear()
             for w in new:
                 if w not in self and (got := [self.place[t] for t in terms_of(w) if t in self.place]):
@@ -132,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         for b in slices(batches):
             for words, y in zip(_words(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
                 n[y == 1] += 1
-                if len(parts) > 300_000:
+                if len(parts) > SEEN // 2:
                     parts.clear()
                 own: set[int] = set()
                 for w in words:
