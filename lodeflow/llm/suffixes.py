@@ -178,9 +178,11 @@ def _arrays(t: pa.Table | pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
 
 
 def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(to):
+        return
     order = np.argsort(to, kind="stable")
     to = to[order]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
         yield int(to[lo]), order[lo:hi]
 
