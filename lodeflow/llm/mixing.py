@@ -85,8 +85,8 @@ def flight(p: list[float], size: list[float], rng: np.random.Generator) -> None:
 
 
 def landing(p: list[float], size: list[float], wanted: float) -> None:
-    """Decides what is left (two at most) so that the words come nearest to ``wanted``, then the documents. Then
-    a drawn document is exchanged for one that isn't, three times at most, where that comes nearer."""
+    """Decides what is left (two at most) so that the words come nearest to ``wanted``, then the documents. Then a
+    drawn document is exchanged for one that isn't, or one is put in or out, eight times at most, where that comes nearer."""
     import bisect
 
     left = [i for i, x in enumerate(p) if 0 < x < 1]
@@ -95,18 +95,19 @@ def landing(p: list[float], size: list[float], wanted: float) -> None:
     best = min(options, key=lambda o: (abs(settled + sum(x * size[i] for x, i in zip(o, left, strict=True)) - wanted), abs(sum(o) - count), o))
     for i, x in zip(left, best, strict=True):
         p[i] = float(x)
-    for _ in range(3):
+    for _ in range(8):
         off = sum(s for x, s in zip(p, size, strict=True) if x == 1) - wanted
-        out = sorted((s, i) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 0)
+        out = sorted([(0.0, -1), *((s, i) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 0)])
         found = (abs(off), -1, -1)
-        for i, (x, s) in enumerate(zip(p, size, strict=True)):
-            if x == 1 and out:
-                at = bisect.bisect(out, (s - off, -1))
-                for t, j in out[max(0, at - 1) : at + 1]:
-                    found = min(found, (abs(off - s + t), i, j))
-        if found[1] < 0:
+        for i, s in [(-1, 0.0), *((i, s) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 1)]:
+            at = bisect.bisect(out, (s - off, -2))
+            for t, j in out[max(0, at - 1) : at + 1]:
+                found = min(found, (abs(off - s + t), i, j))
+        if found[1] == found[2] == -1:
             break
-        p[found[1]], p[found[2]] = 0.0, 1.0
+        for i, x in ((found[1], 0.0), (found[2], 1.0)):
+            if i >= 0:
+                p[i] = x
 
 
 UNITS = "ordinal int, block long, id long, size long, chance double, n long"
@@ -171,12 +172,12 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     """The mix itself: each row of ``docs`` as often as it is taken. Rows that share id, source and size get their copies in order."""
     names = docs.columns
     place = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(c[-1]))
-    plan = mixed(docs, key, source, text, **how).select(F.col(key).cast("long").alias("id_"), F.col(source).alias("source_"), F.col("size").alias("size_"), "copies")
+    plan = mixed(docs, key, source, text, **how).select(F.col(key).cast("long").alias("id_"), F.col(source).alias("source_"), F.col("size").alias("size_"), F.col("copies").alias("copies_"))
     plan = plan.withColumn("place_", place("id_", "source_", "size_"))
     rows = docs.withColumn("key_", F.col(key).cast("long")).withColumn("words_", n_words(F.col(text)))
     rows = rows.withColumn("nth_", F.row_number().over(Window.partitionBy("key_", source, "words_").orderBy(F.xxhash64(text))))
     same = rows["key_"].eqNullSafe(plan["id_"]) & rows[source].eqNullSafe(plan["source_"]) & (rows["words_"] == plan["size_"]) & (rows["nth_"] == plan["place_"])
-    return rows.join(plan, same).where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    return rows.join(plan, same).where("copies_ > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("copy_")).drop("copy_")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
