@@ -24,6 +24,27 @@ def f1(hits: Column, n_a: Column, n_b: Column) -> Column:
     return F.when((n_a == 0) | (n_b == 0) | (hits == 0), 0.0).otherwise(2.0 * hits / (n_a + n_b))
 
 
+def scores(pairs, candidate: str, reference: str):
+    """``pairs`` with ``answer_f1``, ``rouge1``, ``rouge2``, ``meteor``, ``bleu1``, ``bleu2``, ``bleu4``. Words, grams and
+    their shared counts are columns of their own, so that each is computed once for a row and not in every lambda."""
+    rows = pairs.withColumn("a1_", metric_words(F.col(candidate))).withColumn("b1_", metric_words(F.col(reference)))
+    rows = rows.withColumns({f"{x}{n}_": grams(F.col(f"{x}1_"), n) for x in "ab" for n in (2, 3, 4)})
+    rows = rows.withColumns({f"h{n}_": shared(F.col(f"a{n}_"), F.col(f"b{n}_")) for n in (1, 2, 3, 4)})
+    n_a, n_b, hits = F.size("a1_"), F.size("b1_"), F.col("h1_")
+    p, r = hits / n_a, hits / n_b
+    none = (n_a == 0) | (n_b == 0) | (hits == 0)
+    meteor_ = F.when(none, 0.0).otherwise(10 * p * r / (r + 9 * p) * (1 - 0.5 * F.pow(1 / hits, 3)))
+
+    def bleu_(n: int) -> Column:
+        logs = F.lit(0.0)
+        for k in range(1, n + 1):
+            logs = logs + F.ln(F.when(F.col(f"h{k}_") == 0, 0.1).otherwise(F.col(f"h{k}_").cast("double")) / F.greatest(F.lit(1), F.size(f"a{k}_"))) / n
+        return F.when(none, 0.0).otherwise(F.exp(logs + F.when(n_a >= n_b, 0.0).otherwise(1 - n_b / n_a)))
+
+    out = {"answer_f1": f1(hits, n_a, n_b), "rouge1": f1(hits, n_a, n_b), "rouge2": f1(F.col("h2_"), F.size("a2_"), F.size("b2_")), "meteor": meteor_, "bleu1": bleu_(1), "bleu2": bleu_(2), "bleu4": bleu_(4)}
+    return rows.withColumns(out).drop(*[f"{x}{n}_" for x in "abh" for n in (1, 2, 3, 4)])
+
+
 def answer_f1(candidate: Column, reference: Column) -> Column:
     a, b = metric_words(candidate), metric_words(reference)
     return f1(shared(a, b), F.size(a), F.size(b))

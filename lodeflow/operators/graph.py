@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from .storage import settle
 
 #: Nodes with more neighbours than this are reached but not walked through, seeds included.
 HUB = 100
@@ -52,11 +53,12 @@ def walk(edge_table: DataFrame, seeds: DataFrame, hops: int, hub: int | None = N
     near = neighbours(edge_table)
     if hub is not None:
         near = near.join(degrees(edge_table).where(F.col("degree") > hub).select(F.col("node").alias("a")), "a", "left_anti")
+    near = settle(near)  # each hop reads it
     seen = seeds.select("qid", "seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
     front = seen
     for h in range(1, hops + 1):
         reached = front.join(near, front["node"] == near["a"]).select("qid", "seed", F.col("b").alias("node")).distinct()
-        front = reached.join(seen.select("qid", "seed", "node"), ["qid", "seed", "node"], "left_anti").withColumn("hop", F.lit(h))
+        front = settle(reached.join(seen.select("qid", "seed", "node"), ["qid", "seed", "node"], "left_anti").withColumn("hop", F.lit(h)))
         seen = seen.unionByName(front)
     return seen
 
@@ -90,7 +92,7 @@ def retrieve_adaptive(edge_table: DataFrame, found: DataFrame, seeds: DataFrame,
         for h in range(ceiling - 1, start - 1, -1):
             reach = F.when(F.col(f"n{h}") >= enough, h).otherwise(reach)
         taken = hits.join(within.select("qid", reach.alias("reach")), "qid", "left").where(F.col("hop") <= F.coalesce("reach", F.lit(ceiling)))
-        rows = taken.select("qid", "id", (1.0 / (1 + F.col("hop"))).alias("score"), "hop", "node")
+        rows = settle(taken.select("qid", "id", (1.0 / (1 + F.col("hop"))).alias("score"), "hop", "node"))
         scored = rows if scored is None else scored.unionByName(rows)
     if scored is None:
         return seeds.sparkSession.createDataFrame([], "qid string, id string, score double, hop int, rank int")

@@ -44,12 +44,13 @@ def ground_sentences(answers: DataFrame, evidence: DataFrame, similarity=None, l
     a function of two text columns; where there is none, it is the cosine of the word sets."""
     if abs(lexical + semantic - 1) > 1e-6:
         raise GroundingError("the weights add up to 1")
-    cosine = lambda a, b: F.when((F.size(word_set(a)) == 0) | (F.size(word_set(b)) == 0), 0.0).otherwise(F.size(F.array_intersect(word_set(a), word_set(b))) / F.sqrt(F.size(word_set(a)) * F.size(word_set(b))))
-    like = similarity or cosine
-    parts = answers.select("aid", F.posexplode(sentences(F.col("answer"))).alias("ordinal", "sentence"))
-    pairs = parts.join(evidence, "aid", "left")
-    score = F.greatest(F.lit(0.0), lexical * directional(word_set(F.col("sentence")), word_set(F.col("passage"))) + semantic * like(F.col("sentence"), F.col("passage")))
-    scored = pairs.withColumn("combined", F.when(F.col("idx").isNull(), 0.0).otherwise(F.round(score, 6)))
+    parts = answers.select("aid", F.posexplode(sentences(F.col("answer"))).alias("ordinal", "sentence")).withColumn("s_", word_set(F.col("sentence")))
+    pairs = parts.join(evidence.withColumn("p_", word_set(F.col("passage"))), "aid", "left").withColumn("both_", F.size(F.array_intersect("s_", "p_")))
+    n_s, n_p = F.size("s_"), F.size("p_")
+    words = F.when(n_s == 0, 0.0).otherwise(F.col("both_") / n_s)
+    cosine = F.when((n_s == 0) | (n_p == 0), 0.0).otherwise(F.col("both_") / F.sqrt(n_s * n_p))
+    score = F.greatest(F.lit(0.0), lexical * words + semantic * (similarity(F.col("sentence"), F.col("passage")) if similarity else cosine))
+    scored = pairs.withColumn("combined", F.when(F.col("idx").isNull(), 0.0).otherwise(F.round(score, 6))).drop("s_", "p_", "both_")
     order = Window.partitionBy("aid", "ordinal").orderBy(F.desc("combined"), "idx")
     best = scored.withColumn("place", F.row_number().over(order)).where("place = 1")
     has = F.size(cited(F.col("sentence"), r"P(\d+)")) > 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import overlap
+from ..functions.text import metric_words
 from ..operators import fusion, ranking, vectors
 from ..operators import statistics as st
 from . import retrieval
@@ -27,19 +28,22 @@ def context_metrics(spark, d):
     return ranking.context(*_lists(spark, d))
 
 
+def _scores(spark, d, *names):
+    return overlap.scores(turns(spark, d), "candidate", "reference").select("aid", *[F.round(n, 6).alias(n) for n in names])
+
+
 def overlap_metrics(spark, d):
-    t = turns(spark, d)
-    r6 = lambda c, n: F.round(c, 6).alias(n)
-    a, b = F.col("candidate"), F.col("reference")
-    return t.select("aid", r6(overlap.answer_f1(a, b), "answer_f1"), r6(overlap.rouge_n(a, b, 1), "rouge1"), r6(overlap.rouge_n(a, b, 2), "rouge2"), r6(overlap.meteor(a, b), "meteor"))
+    return _scores(spark, d, "answer_f1", "rouge1", "rouge2", "meteor")
 
 
 def rouge_l(spark, d):
-    return turns(spark, d).select("aid", F.round(overlap.rouge_l(F.col("candidate"), F.col("reference")), 6).alias("rouge_l"))
+    words = turns(spark, d).withColumn("a", metric_words(F.col("candidate"))).withColumn("b", metric_words(F.col("reference")))
+    hits = words.withColumn("hits", F.when((F.size("a") == 0) | (F.size("b") == 0), 0).otherwise(overlap.lcs(F.col("a"), F.col("b"))))
+    return hits.select("aid", F.round(overlap.f1(F.col("hits"), F.size("a"), F.size("b")), 6).alias("rouge_l"))
 
 
 def bleu(spark, d):
-    return turns(spark, d).select("aid", *[F.round(overlap.bleu(F.col("candidate"), F.col("reference"), n), 6).alias(f"bleu{n}") for n in (1, 2, 4)])
+    return _scores(spark, d, "bleu1", "bleu2", "bleu4")
 
 
 def clinical_reliability(spark, d):

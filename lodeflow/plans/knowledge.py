@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import entities, graph
+from ..operators.storage import settle
 from .common import table
 
 FOUND = r"""
@@ -36,13 +38,19 @@ def _found(spark, d):
     return entities.mentions(docs, entities.gazetteer(docs, length=9, most=6))
 
 
-def _edges(spark, d):
-    return graph.edges(entities.relations(_found(spark, d)))
+def _graph(spark, d):
+    """Mentions and edges, each computed once for all branches of a traversal."""
+    found = settle(_found(spark, d))
+    return found, settle(graph.edges(entities.relations(found)))
 
 
-def _seeds(spark, d):
-    near = graph.neighbours(_edges(spark, d)).select(F.col("a").alias("entity")).distinct()
-    return _found(spark, d).join(near, "entity", "left_semi").groupBy(F.col("chunk_id").alias("qid")).agg(F.min("entity").alias("seed"))
+def _in_graph(found, edge_table):
+    near = graph.neighbours(edge_table).select(F.col("a").alias("entity")).distinct()
+    return found.join(near, "entity", "left_semi")
+
+
+def _seeds(found, edge_table):
+    return _in_graph(found, edge_table).groupBy(F.col("chunk_id").alias("qid")).agg(F.min("entity").alias("seed"))
 
 
 def entity_mentions(spark, d):
@@ -50,47 +58,47 @@ def entity_mentions(spark, d):
 
 
 def cooccur_relations(spark, d):
-    return entities.relations(_found(spark, d))
+    return entities.relations(settle(_found(spark, d)))
 
 
 def kg_nodes(spark, d):
-    found = _found(spark, d)
+    found = settle(_found(spark, d))
     return graph.nodes(found, entities.relations(found)).select("node", "mention_count", "n_chunks", "n_surfaces", "label")
 
 
 def kg_edges(spark, d):
-    return _edges(spark, d)
+    return graph.edges(entities.relations(settle(_found(spark, d))))
 
 
 def kg_stats(spark, d):
-    found = _found(spark, d)
-    return graph.stats(graph.nodes(found), graph.edges(entities.relations(found)))
+    found, e = _graph(spark, d)
+    return graph.stats(graph.nodes(found), e)
 
 
 def kg_degrees(spark, d):
-    return graph.degrees(_edges(spark, d))
+    return graph.degrees(_graph(spark, d)[1])
 
 
 def khop_neighbors(spark, d):
-    return graph.neighbourhood(_edges(spark, d), _seeds(spark, d), 2).select("qid", "seed", "node", "hop")
+    found, e = _graph(spark, d)
+    return graph.neighbourhood(e, _seeds(found, e), 2).select("qid", "seed", "node", "hop")
 
 
 def graph_retrieve(spark, d):
-    return graph.retrieve(_edges(spark, d), _found(spark, d), _seeds(spark, d), 10, hub=HUB).select("qid", "id", "score", "entity", "hop", "rank")
+    found, e = _graph(spark, d)
+    return graph.retrieve(e, found, _seeds(found, e), 10, hub=HUB).select("qid", "id", "score", "entity", "hop", "rank")
 
 
 def graph_expand(spark, d):
-    return graph.expand(_edges(spark, d), _seeds(spark, d), ["related_to"])
+    found, e = _graph(spark, d)
+    return graph.expand(e, _seeds(found, e), ["related_to"])
 
 
 def graph_retrieve_adaptive(spark, d):
-    found = _found(spark, d)
-    near = graph.neighbours(_edges(spark, d)).select(F.col("a").alias("entity")).distinct()
-    from pyspark.sql import Window
-
-    seeds = found.join(near, "entity", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("entity").alias("seed")).distinct()
+    found, e = _graph(spark, d)
+    seeds = _in_graph(found, e).select(F.col("chunk_id").alias("qid"), F.col("entity").alias("seed")).distinct()
     seeds = seeds.withColumn("ordinal", F.row_number().over(Window.partitionBy("qid").orderBy("seed")) - 1).where("ordinal < 2")
-    return graph.retrieve_adaptive(_edges(spark, d), found, seeds, 10, hub=HUB)
+    return graph.retrieve_adaptive(e, found, settle(seeds), 10, hub=HUB)
 
 
 QUERIES = {f.__name__: f for f in (entity_mentions, cooccur_relations, kg_nodes, kg_edges, kg_stats, kg_degrees, khop_neighbors, graph_retrieve, graph_expand, graph_retrieve_adaptive)}
