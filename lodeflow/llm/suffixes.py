@@ -241,6 +241,9 @@ def surroundings(docs: DataFrame, found: DataFrame, window: int, parts: int) ->
         return pa.Table.from_batches(out)
 
     def around(left, right):
+        import zstandard
+
+        packed = zstandard.ZstdCompressor(level=1).compress
         left = left.combine_chunks()
         order = np.lexsort((left.column("tie_").to_numpy(), left.column("id_").to_numpy()))
         ids, ties = left.column("id_").to_numpy()[order], left.column("tie_").to_numpy()[order]
@@ -276,9 +279,10 @@ def surroundings(docs: DataFrame, found: DataFrame, window: int, parts: int) ->
                 yield from _span_rows(ids[d[long]], ties[d[long]], (q - l)[long], (q + r)[long], parts)
             keep = np.flatnonzero(~again & (l + r >= window))
             out = []
+            keep = keep[np.argsort(h[keep], kind="stable")]  # alike ones side by side, which compresses well
             for to, k in _dealt((h[keep] % np.uint64(parts)).astype(np.int64)):
                 k = keep[k]
-                out.append((to, h[k].tobytes(), rows[k].tobytes(), l[k].astype(np.uint8).tobytes(), r[k].astype(np.uint8).tobytes(), q[k].astype(np.uint32).tobytes(), ids[d[k]].tobytes(), ties[d[k]].tobytes(), False))
+                out.append((to, h[k].tobytes(), packed(rows[k].tobytes()), l[k].astype(np.uint8).tobytes(), r[k].astype(np.uint8).tobytes(), q[k].astype(np.uint32).tobytes(), ids[d[k]].tobytes(), ties[d[k]].tobytes(), False))
             yield _batch(out, AROUND)
 
     both = docs.select("part_", "id_", "tie_", "text_", *[c for c in docs.columns if c not in ("part_", "id_", "tie_", "text_")])
@@ -325,10 +329,13 @@ def repeated(around: DataFrame, window: int, parts: int) -> DataFrame:
                 yield _batch([(to, s[k].tobytes(), e[k].tobytes(), i[k].tobytes(), j[k].tobytes()) for to, k in _dealt(_part_of(i, j, parts))], SPANS)
 
     def compare(rows):
+        import zstandard
+
+        unpacked = zstandard.ZstdDecompressor().decompress
         h, at = np.concatenate(_arrays(rows, "hash", np.uint64)), np.concatenate(_arrays(rows, "at", np.uint32)).astype(np.int64)
         i, j = np.concatenate(_arrays(rows, "ids", np.int64)), np.concatenate(_arrays(rows, "ties", np.int64))
         l, r = np.concatenate(_arrays(rows, "left", np.uint8)), np.concatenate(_arrays(rows, "right", np.uint8))
-        around = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(-1, size)
+        around = np.frombuffer(b"".join(map(unpacked, rows.column("around").to_pylist())), np.uint8).reshape(-1, size)
         order = np.lexsort((at, j, i, h))
         new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
         order = order[~(new & np.concatenate((new[1:], [True])))]  # anchors that are alone after all
