@@ -31,10 +31,28 @@ def proximity(start_a: Column, start_b: Column, length: Column) -> Column:
 
 
 def relations(found: DataFrame) -> DataFrame:
-    """Pairs of mentions in one sentence, the earlier one first: ``subject``, ``predicate``, ``object``, ``confidence``."""
+    """Pairs of mentions in one sentence, the earlier one first: ``subject``, ``predicate``, ``object``, their places, ``confidence``."""
     a, b = found.alias("a"), found.alias("b")
     on = F.expr("a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.ordinal < b.ordinal")
     return a.join(b, on).select(
-        F.col("a.chunk_id").alias("chunk_id"), F.col("a.sentence").alias("sentence"), F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object"),
+        F.col("a.chunk_id").alias("chunk_id"), F.col("a.sentence").alias("sentence"), F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object"), F.col("a.ordinal").alias("subject_ord"), F.col("b.ordinal").alias("object_ord"),
         proximity(F.col("a.start"), F.col("b.start"), F.col("a.length")).alias("confidence"),
     )
+
+
+def verb_predicates(rels: DataFrame, chunks_words: DataFrame, verbs: DataFrame) -> DataFrame:
+    """Relations with a predicate of the first two verbs between their ends, joined by "_", where there are any.
+    ``rels`` has ``subject_ord`` and ``object_ord`` besides; ``chunks_words`` (chunk_id, sentence, ordinal, word); ``verbs`` (word) is a lexicon."""
+    between = chunks_words.join(verbs.select("word").distinct(), "word").alias("w")
+    r = rels.alias("r")
+    on = F.expr("r.chunk_id = w.chunk_id AND r.sentence = w.sentence AND w.ordinal > r.subject_ord AND w.ordinal < r.object_ord")
+    keys = ["chunk_id", "sentence", "subject_ord", "object_ord"]
+    found = r.join(between, on).groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("w.ordinal").alias("o"), F.col("w.word").alias("v")))), 1, 2).alias("vs"))
+    named = rels.join(found, keys, "left")
+    return named.withColumn("predicate", F.when(F.size("vs") > 0, F.array_join(F.transform("vs", lambda x: x["v"]), "_")).otherwise(F.lit("related_to"))).drop("vs")
+
+
+def sentence_words(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """``chunk_id``, ``sentence``, ``ordinal``, ``word`` (lower-cased), numbered as in :func:`mentions`."""
+    rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
+    return rows.select("chunk_id", "sentence", F.posexplode(F.split(F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")), " ")).alias("ordinal", "w")).select("chunk_id", "sentence", "ordinal", F.lower("w").alias("word"))

@@ -45,3 +45,20 @@ def citation_metrics(claims: DataFrame, evidence: DataFrame, gold: DataFrame) ->
     out = per.join(share(gold, "citation_recall"), "aid", "left").join(share(evidence.distinct(), "evidence_coverage"), "aid", "left")
     r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return out.select("aid", r6(F.when(F.col("n") > 0, F.col("ok") / F.col("n"))).alias("citation_precision"), r6(F.col("citation_recall")).alias("citation_recall"), r6(F.col("citation_coverage")).alias("citation_coverage"), r6(F.col("evidence_coverage")).alias("evidence_coverage"))
+
+
+def by_similarity(pool: DataFrame, k: int = 5, least: float = 0.6) -> DataFrame:
+    """Where there is no gold: ``pool`` (qid, id, rank, similarity to the gold answer); relevant is what is at least ``least``. Precision by ``k``, recall by what the pool has."""
+    ok, top = F.col("similarity") >= least, F.col("rank") <= k
+    per = pool.groupBy("qid").agg(F.sum((ok & top).cast("int")).alias("hits"), F.sum(ok.cast("int")).alias("relevant"))
+    return per.select("qid", F.round(F.col("hits") / float(k), 6).alias("precision"), F.round(F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(0.0), 6).alias("recall"), (F.col("hits") > 0).cast("double").alias("accuracy"))
+
+
+def run_summary(evals: DataFrame, by: str = "method") -> DataFrame:
+    """Means of a run's metrics, with what stands in for a missing one: hit rate by recall, hallucination by 1 - faithfulness. ``overall`` is five times reliability."""
+    names = [c for c in evals.columns if c not in (by, "qid")]
+    means = evals.groupBy(by).agg(*[F.avg(c).alias(c) for c in names])
+    col = lambda c: F.col(c) if c in names else F.lit(None).cast("double")
+    out = {c: col(c) for c in ("precision", "recall", "faithfulness", "reliability")}
+    out |= {"hit_rate": F.coalesce(col("hit_rate"), col("recall")), "hallucination": F.coalesce(col("hallucination"), 1 - col("faithfulness"))}
+    return means.select(by, *[F.round(F.coalesce(v, F.lit(0.0)), 4).alias(k) for k, v in out.items()], F.round(F.coalesce(col("reliability") * 5, F.lit(0.0)), 2).alias("overall"))

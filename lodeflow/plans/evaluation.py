@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..facade import Engine
+
 from ..functions import overlap
 from ..functions.text import metric_words
+from ..models import HashEncoder, dot
 from ..operators import fusion, ranking, vectors
 from ..operators import statistics as st
 from . import retrieval
@@ -121,7 +124,39 @@ def ablation_grid(spark, d):
     return every.groupBy("condition").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("precision", "hit", "mrr")])
 
 
-QUERIES = {f.__name__: f for f in (ranking_metrics, context_metrics, overlap_metrics, rouge_l, bleu, clinical_reliability, align_ids, wilcoxon, paired_t, holm, cohen_kappa, correlation, percentage_change, condition_summary, metric_pivot, error_classes, bootstrap_ci, ablation_grid)}
+def method_comparison(spark, d):
+    """Dense, BM25, and reciprocal-rank lists of one set of questions against one gold, by method."""
+    bm = retrieval._bm(spark, d, 10).select("qid", F.col("doc_id").alias("id"), "rank", "score")
+    dense = retrieval._dense(spark, d, 10).select("qid", "id", "rank", "score")
+    both = fusion.reciprocal_rank(bm.withColumn("retriever", F.lit("bm25")).unionByName(dense.withColumn("retriever", F.lit("dense"))))
+    order = Window.partitionBy("qid").orderBy(F.desc("rrf"), "id")
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    gold = docs.select(F.col("doc_id").alias("qid"), "source").join(docs.withColumnRenamed("doc_id", "id"), "source").select("qid", "id")
+    lists = {"bm25": bm, "dense": dense, "hybrid": both.withColumn("rank", F.row_number().over(order))}
+    rows = reduce(DataFrame.unionByName, [ranking.evaluate(x.select("qid", "id", "rank"), gold).select(F.lit(n).alias("method"), "qid", "precision", "recall", F.col("mrr").alias("faithfulness"), F.col("ndcg").alias("reliability")) for n, x in lists.items()])
+    return ranking.run_summary(rows)
+
+
+def similarity_gold(spark, d):
+    e = table(spark, d, "embeddings")
+    pool = vectors.nearest(e, e.where("vec_id % 20 = 0"), 20)
+    return ranking.by_similarity(pool.select("qid", "id", "rank", F.col("score").alias("similarity")), least=0.3)
+
+
+def answer_relevance(spark, d):
+    """Cosine of hashed terms of an answer and its question, and whether it cites (1) or not (0.5)."""
+    enc = HashEncoder(16)
+    t = turns(spark, d).withColumn("q", enc.query(F.col("reference"))).withColumn("a", enc.documents(F.col("candidate")))
+    return t.select("aid", F.round(dot(F.col("q"), F.col("a")), 4).alias("relevance"), F.when(F.col("candidate").rlike(r"\[P[1-5]\]"), 1.0).otherwise(0.5).alias("explainability"))
+
+
+def engine_answers(spark, d):
+    """The whole way from questions to grounded answers, with the built-in stand-ins of models."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", F.lit(1).alias("page"))
+    return Engine(chunks).index().query(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
+
+
+QUERIES = {f.__name__: f for f in (method_comparison, similarity_gold, answer_relevance, engine_answers, ranking_metrics, context_metrics, overlap_metrics, rouge_l, bleu, clinical_reliability, align_ids, wilcoxon, paired_t, holm, cohen_kappa, correlation, percentage_change, condition_summary, metric_pivot, error_classes, bootstrap_ci, ablation_grid)}
 
 _LISTS = "WITH " + retrieval.DENSE.format(tag="", which="q.vec_id % 20 = 0", k=10) + """,
 gold AS (SELECT q.vec_id AS qid, c.vec_id AS id FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)"""
@@ -138,7 +173,16 @@ def _bleu(n: int) -> str:
     return f"round(CASE WHEN len(a) = 0 OR len(b) = 0 OR h1 = 0 THEN 0.0 ELSE exp({logs} + CASE WHEN len(a) >= len(b) THEN 0.0 ELSE 1 - len(b) / len(a) END) END, 6) AS bleu{n}"
 
 
+_RUNS = "SELECT condition AS method, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(m), 4) AS faithfulness, round(avg(g), 4) AS reliability, round(avg(r), 4) AS hit_rate, round(1 - avg(m), 4) AS hallucination, round(avg(g) * 5, 2) AS overall FROM x GROUP BY condition"
+
 ORACLE_SQL = {
+    "method_comparison": "WITH " + retrieval.BM25.format(k=10) + "," + retrieval.DENSE.format(tag="", which=retrieval.BENCH_VECTORS, k=10) + """,
+l AS (SELECT qid, doc_id AS id, rank FROM bm UNION ALL SELECT qid, id, rank FROM dense), rf AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM l GROUP BY ALL),
+lists AS (SELECT 'bm25' AS condition, qid, doc_id AS id, rank FROM bm UNION ALL SELECT 'dense', qid, id, rank FROM dense UNION ALL SELECT 'hybrid', qid, id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) FROM rf),
+gold AS (SELECT a.doc_id AS qid, b.doc_id AS id FROM documents a JOIN documents b USING (source)), ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid),""" + _EVAL.format(by="condition,", lists="lists") + """,
+x AS (SELECT condition, round(hits / n, 6) AS p, round(hits / n_gold, 6) AS r, round(coalesce(1.0::DOUBLE / first, 0), 6) AS m, round(dcg / list_sum(list_transform(generate_series(1, least(n_gold, n)), lambda i: 1 / log2(i + 1))), 6) AS g FROM ev JOIN ng USING (qid))
+""" + _RUNS,
+    "similarity_gold": "WITH " + retrieval.DENSE.format(tag="", which="q.vec_id % 20 = 0", k=20) + ", s AS (SELECT qid, count(*) FILTER (score >= 0.3 AND rank <= 5) AS h, count(*) FILTER (score >= 0.3) AS r FROM dense GROUP BY qid) SELECT qid, round(h / 5, 6) AS precision, CASE WHEN r > 0 THEN round(h / r, 6) ELSE 0.0 END AS recall, (h > 0)::INT::DOUBLE AS accuracy FROM s",
     "ranking_metrics": _LISTS + "," + _EVAL.format(by="", lists="dense") + """, ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid)
 SELECT qid, round(hits / n, 6) AS precision, round(hits / n_gold, 6) AS recall, (hits > 0)::INT::DOUBLE AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(dcg / list_sum(list_transform(generate_series(1, least(n_gold, n)), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM ev JOIN ng USING (qid)""",
     "context_metrics": _LISTS + ", p AS (SELECT d.qid, avg((g.id IS NOT NULL)::INT) AS p FROM dense d LEFT JOIN gold g USING (qid, id) GROUP BY ALL), r AS (SELECT g.qid, avg((d.id IS NOT NULL)::INT) AS r FROM gold g LEFT JOIN dense d USING (qid, id) GROUP BY ALL) SELECT qid, round(coalesce(p, 0), 6) AS context_precision, round(r, 6) AS context_recall FROM r LEFT JOIN p USING (qid)",

@@ -58,7 +58,17 @@ def entity_mentions(spark, d):
 
 
 def cooccur_relations(spark, d):
-    return entities.relations(settle(_found(spark, d)))
+    return entities.relations(settle(_found(spark, d))).drop("subject_ord", "object_ord")
+
+
+VERBS = ("the", "and", "that", "der", "die", "les", "que", "una")  # frequent words stand in for verbs: the text is invented
+
+
+def relation_predicates(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rels = settle(entities.relations(settle(_found(spark, d))))
+    verbs = spark.range(1).select(F.explode(F.array(*map(F.lit, VERBS))).alias("word"))
+    return entities.verb_predicates(rels, entities.sentence_words(docs), verbs).select("chunk_id", "sentence", "subject_ord", "object_ord", "predicate")
 
 
 def kg_nodes(spark, d):
@@ -101,12 +111,15 @@ def graph_retrieve_adaptive(spark, d):
     return graph.retrieve_adaptive(e, found, settle(seeds), 10, hub=HUB)
 
 
-QUERIES = {f.__name__: f for f in (entity_mentions, cooccur_relations, kg_nodes, kg_edges, kg_stats, kg_degrees, khop_neighbors, graph_retrieve, graph_expand, graph_retrieve_adaptive)}
+QUERIES = {f.__name__: f for f in (entity_mentions, cooccur_relations, relation_predicates, kg_nodes, kg_edges, kg_stats, kg_degrees, khop_neighbors, graph_retrieve, graph_expand, graph_retrieve_adaptive)}
 
 _W = "WITH " + FOUND
 ORACLE_SQL = {
     "entity_mentions": _W + " SELECT chunk_id, sentence, ordinal, start, surface, entity FROM found",
     "cooccur_relations": _W + " SELECT * FROM rels",
+    "relation_predicates": _W + f""", v AS (SELECT doc_id, sentence, ordinal, lower(surface) AS word FROM flat WHERE lower(surface) IN {VERBS}),
+p AS (SELECT a.chunk_id, a.sentence, a.ordinal AS subject_ord, b.ordinal AS object_ord FROM found a JOIN found b ON a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.ordinal < b.ordinal)
+SELECT p.*, coalesce((SELECT array_to_string(list(word ORDER BY ordinal)[1:2], '_') FROM v WHERE v.doc_id = p.chunk_id AND v.sentence = p.sentence AND v.ordinal > subject_ord AND v.ordinal < object_ord), 'related_to') AS predicate FROM p""",
     "kg_nodes": _W + " SELECT entity AS node, count(*) AS mention_count, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT surface) AS n_surfaces, 'ENTITY' AS label FROM found GROUP BY entity",
     "kg_edges": _W + " SELECT * FROM edges",
     "kg_stats": _W + " SELECT n_nodes, n_edges, round(2.0 * n_edges / n_nodes, 6)::DOUBLE AS avg_degree FROM (SELECT count(DISTINCT entity) AS n_nodes FROM found), (SELECT count(*) AS n_edges FROM edges)",

@@ -21,4 +21,4 @@ def test_query(spark, duck, sf, name):
 
 
 def test_only_what_sql_cannot_say_has_none():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"graph_retrieve_adaptive", "bootstrap_ci"}
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"graph_retrieve_adaptive", "bootstrap_ci", "answer_relevance", "engine_answers"}
