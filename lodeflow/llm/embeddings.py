@@ -277,5 +277,16 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+SQL1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT vec_id, coalesce(n, 0) AS n_links, c.least AS component_id, vec_id = c.least AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id JOIN (SELECT id, min(r) AS least FROM reach GROUP BY id) c ON c.id = vec_id
+"""
+
 QUERIES = {"op1_nn_descent": op1_nn_descent}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_nn_descent": SQL1}

@@ -455,5 +455,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL4 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(list_transform(generate_series(0, length(h) // 2 - 100), lambda s: {'s': s, 'w': md5_number(substr(h, 2 * s + 1, 200))})) AS x FROM d WHERE length(h) >= 200),
+ranked AS (SELECT doc_id, x.s AS s, row_number() OVER (PARTITION BY x.w ORDER BY doc_id, x.s) AS k FROM starts),
+again AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM ranked WHERE k > 1),
+runs AS (SELECT doc_id, s, sum((before IS NULL OR s > before + 100)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM again),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run),
+marks AS (SELECT doc_id, b AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS to_ FROM spans UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT m.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (coalesce(to_, length(h) // 2) - from_)), '' ORDER BY from_) AS h FROM marks m JOIN d USING (doc_id) GROUP BY m.doc_id),
+counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_suffix_dedup": SQL4}
