@@ -67,7 +67,7 @@ def units(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, node long, space long, unit binary")
 
 
-def _unpack(column, width: int = 8) -> np.ndarray:
+def _unpack(column) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 

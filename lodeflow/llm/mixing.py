@@ -121,7 +121,6 @@ def _level(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
         known = t.column("id").is_valid().to_numpy()
         ids = np.where(known, ids, 0).astype(np.int64)
         out = chances.copy()
-        rank = np.arange(t.num_rows)
         for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
             order = lo + np.lexsort((chances[lo:hi], sizes[lo:hi], ids[lo:hi], known[lo:hi]))
             key = (seed, level, int(t.column("ordinal")[lo].as_py()), int(t.column("block")[lo].as_py()))
@@ -134,7 +133,7 @@ def _level(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
                 landing(p, s, float((chances[order] * sizes[order]).sum()))
             out[order] = p
         at = t.schema.get_field_index("chance")
-        yield from t.set_column(at, "chance", pa.array(out)).take(pa.array(rank)).combine_chunks().to_batches()
+        yield from t.set_column(at, "chance", pa.array(out)).to_batches()
 
     return map_groups(units, ["ordinal", "block"], run, UNITS)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodeflow.llm import bpe, embeddings, fingerprints, minhash, mixing, quality, records, suffixes, toxicity, urls
 from tests.llm.helpers import near, unrepeated
