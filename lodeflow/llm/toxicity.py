@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cleared, table
+from .common import cleared, cut, table
 from .labelled import held_out, training_rows
 
 #: Labelled documents to fit; terms of the model at most; length of a term's vector; lengths of a word's starts.
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], ["term", "others", "toxic"])
 
     counts = rows.mapInArrow(count, "term long, others long, toxic long").groupBy("term").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic"))
-    counts = _cached(counts.where((F.col("others") + F.col("toxic") >= LEAST) | (F.col("term") == -1)))
+    counts = cut(counts.where((F.col("others") + F.col("toxic") >= LEAST) | (F.col("term") == -1)))
     totals = counts.where("term = -1").first()
     if totals is None or not totals["others"] + totals["toxic"]:
         return {"place": {}, "w0": 0.0, "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
@@ -172,13 +172,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     return fit([x for x, _ in pairs], [y for _, y in pairs], len(place)) | {"place": place}
 
 
-def _cached(df: DataFrame) -> DataFrame:
-    """Counts are read twice; kept with a copy on another executor's disk, and counted again if both are lost."""
-    from pyspark import StorageLevel
-
-    return df.persist(StorageLevel.MEMORY_AND_DISK_2)
-
-
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic."""
     docs = cleared(docs, name)
