@@ -6,7 +6,7 @@ one learned layer. Gated attention weights, learned from document labels alone,
 passage counts; the weighted mean passage is scored. So a junk section in a long document can decide,
 whichever passage it is in.
 
-Fitting takes a bounded sample of labelled rows (:data:`SAMPLE`); passages are encoded on the executors
+Fitting takes a bounded sample of labelled rows (:data:`SAMPLE`, :data:`BAG`); passages are encoded on the executors
 and the small model is fitted at the driver. Scoring is a map over whole texts: nothing is shuffled.
 
 Cases: a null or empty text is a bag of one passage without words. Labels may be missing or of one kind
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cleared, table
+from .common import cleared, release_state, table
 from .labelled import held_out, training_rows
 
 #: Words in a passage; buckets of word shapes; labelled documents to fit; size of a passage's code and of the attention.
 PASSAGE, SHAPES, SAMPLE, CODE, GATES = 64, 128, 6_000, 16, 8
+#: Passages of a document that the fit takes, evenly spread, at most. Scores take all.
+BAG = 96
 MEASURES = 8
 #: Words that a task keeps at most between stretches of text.
 WORDS = 150_000
@@ -156,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     """A model from ``bound`` labelled documents at most."""
 
     def run(batches: Iterable[pa.RecordBatch]):
+        release_state()
         words = Words()
         for b in slices(batches):
             at = 0
@@ -163,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
             for texts in _stretches(b.column(0).to_pylist()):
                 x, counts = passages(texts, words)
                 ends = np.cumsum(counts)
-                rows = [x[e - c : e].astype("<f2").tobytes() for e, c in zip(ends, counts, strict=True)]
+                spread = lambda n: np.arange(n) if n <= BAG else np.linspace(0, n - 1, BAG).astype(np.int64)
+                rows = [x[e - c + spread(c)].astype("<f2").tobytes() for e, c in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(y[at : at + len(rows)], pa.int32())], ["x", "y"])
                 at += len(rows)
 
@@ -179,6 +183,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release_state()
         words, m = Words(), shared.value
         for b in slices(batches):
             scores = [forward(m, *passages(t, words))["p"] for t in _stretches(b.column(text).to_pylist())]
