@@ -127,7 +127,7 @@ class Trie:
         return out
 
     def may_follow(self, a: int, b: int) -> bool:
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > KNOWN:
             self.follows.clear()
         known = self.follows[a << 32 | b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known

@@ -83,3 +83,10 @@ def process_state(name: str, make: Callable[[], object]) -> object:
     if not hasattr(kept, name):
         setattr(kept, name, make())
     return getattr(kept, name)
+
+
+def release_state() -> None:
+    """Drops what other operators have kept in this worker process, before one that needs the memory."""
+    kept = sys.modules.get("_lodeflow_process_state")
+    if kept is not None:
+        vars(kept).clear()

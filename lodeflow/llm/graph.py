@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release_state
 
 
 def _pairs(a, b) -> list:
@@ -45,6 +45,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
     which saves the cost of a call for each. ``fn`` gets a table sorted by ``keys``."""
 
     def run(batches):
+        release_state()
         held: list[pa.RecordBatch] = []
 
         def last_start(b: pa.RecordBatch) -> int:

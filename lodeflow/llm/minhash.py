@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, small_batches, table
+from .common import cut, release_state, small_batches, table
 from .graph import connected_components, group_bounds, map_groups
 
 PIECE = 1 << 20
@@ -143,6 +143,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, n: int) -> Data
     def run(batches: Iterable[pa.RecordBatch]):
         import hashlib
 
+        release_state()
         hasher = Hasher(words)
         rng = np.random.default_rng(20_011)
         flip, times = rng.integers(0, 1 << 63, 6 * n, dtype=np.uint64), rng.integers(0, 1 << 63, 6 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,6 +172,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFram
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id")
 
     def run(batches):
+        release_state()
         hasher = Hasher(words)
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in hasher.sets(b.column(1).to_pylist())], pa.binary())], ["id", "shingles"])
@@ -183,6 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches):
+        release_state()
         for b in slices(batches, 64):
             keep = []
             last, x = None, None

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cleared, table
+from .common import cleared, release_state, table
 from .graph import map_groups
 from .minhash import mix
 
@@ -129,6 +129,7 @@ def ask(docs: DataFrame, window: int, parts: int) -> DataFrame:
     """Anchors of all documents, by hash. The first of an anchor in a stretch asks whether it is elsewhere; the others know."""
 
     def run(batches):
+        release_state()
         powers = Powers()
         for b in slices(batches):
             for ids, ties, texts, starts in _stretches(b.column("id_").to_pylist(), b.column("tie_").to_pylist(), _texts(b.column("text_")), window):
