@@ -14,10 +14,14 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def numbered(ordered: Column) -> Column:
+    """Of sorted words: each with its place among equal ones, so that a multiset becomes a set."""
+    return F.transform(ordered, lambda x, i: F.concat(x, F.lit("\0"), (i - F.array_position(ordered, x)).cast("string")))
+
+
 def shared(a: Column, b: Column) -> Column:
     """Size of the intersection of two multisets: of each distinct gram the lesser count."""
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
+    return F.size(F.array_intersect(numbered(F.array_sort(a)), numbered(F.array_sort(b))))
 
 
 def f1(hits: Column, n_a: Column, n_b: Column) -> Column:
@@ -29,7 +33,10 @@ def scores(pairs, candidate: str, reference: str):
     their shared counts are columns of their own, so that each is computed once for a row and not in every lambda."""
     rows = pairs.withColumn("a1_", metric_words(F.col(candidate))).withColumn("b1_", metric_words(F.col(reference)))
     rows = rows.withColumns({f"{x}{n}_": grams(F.col(f"{x}1_"), n) for x in "ab" for n in (2, 3, 4)})
-    rows = rows.withColumns({f"h{n}_": shared(F.col(f"a{n}_"), F.col(f"b{n}_")) for n in (1, 2, 3, 4)})
+    sets = [f"{x}{n}_" for x in "ab" for n in (1, 2, 3, 4)]
+    rows = rows.withColumns({f"s{c}": F.array_sort(c) for c in sets})
+    rows = rows.withColumns({f"m{c}": numbered(F.col(f"s{c}")) for c in sets})
+    rows = rows.withColumns({f"h{n}_": F.size(F.array_intersect(f"ma{n}_", f"mb{n}_")) for n in (1, 2, 3, 4)})
     n_a, n_b, hits = F.size("a1_"), F.size("b1_"), F.col("h1_")
     p, r = hits / n_a, hits / n_b
     none = (n_a == 0) | (n_b == 0) | (hits == 0)
@@ -42,7 +49,7 @@ def scores(pairs, candidate: str, reference: str):
         return F.when(none, 0.0).otherwise(F.exp(logs + F.when(n_a >= n_b, 0.0).otherwise(1 - n_b / n_a)))
 
     out = {"answer_f1": f1(hits, n_a, n_b), "rouge1": f1(hits, n_a, n_b), "rouge2": f1(F.col("h2_"), F.size("a2_"), F.size("b2_")), "meteor": meteor_, "bleu1": bleu_(1), "bleu2": bleu_(2), "bleu4": bleu_(4)}
-    return rows.withColumns(out).drop(*[f"{x}{n}_" for x in "abh" for n in (1, 2, 3, 4)])
+    return rows.withColumns(out).drop(*sets, *[f"{k}{c}" for k in "sm" for c in sets], *[f"h{n}_" for n in (1, 2, 3, 4)])
 
 
 def answer_f1(candidate: Column, reference: Column) -> Column:
