@@ -9,8 +9,9 @@ its nearest corner, and the groups hang together. A list that only holds links i
 Links of the lists give groups. Within a group every vector is compared with every other in double
 precision, in pairs of blocks (a task holds two blocks of :data:`BLOCK` and returns counts and a spanning
 forest, no pairs), so counts of links are whole however dense a group is, and nothing below the threshold
-links. An audit compares a stated set of :data:`AUDIT` vectors with all others; while less than
-:data:`RECALL` of their links are found, the lists grow from further leaves, and links that the audit saw are added.
+links. Lists may miss the way from one group to another, or from one vector to the only one near it. So before
+that, every vector is compared with all vectors of its label outside its group: parts of :data:`PART` bytes
+are broadcast in turn, and of what links two groups one link is kept in each task. No link is left to the lists.
 
 Cases: a null or zero vector, one with null or non-finite components, or one with a null label links with
 nothing. Lengths may differ; only equal lengths link. Rows that share an id are judged each by its own vector. An
@@ -19,6 +20,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,8 +33,8 @@ from .graph import connected_components, group_bounds, map_groups
 
 #: First length of a list, and of a saturated one at most; vectors compared with each other in a leaf; in a block.
 LIST, LONGEST, LEAF, BLOCK = 10, 80, 256, 256
-#: Projections at first, and for each further round; rounds of joins; vectors of the audit; of its links, the share to be found.
-TREES, ROUNDS, AUDIT, RECALL = 4, 2, 1_024, 0.999
+#: Projections; rounds of joins; bytes of vectors that are broadcast at once; of these, vectors multiplied at once.
+TREES, ROUNDS, PART, TILE = 4, 2, 16 << 20, 1_024
 #: Vectors whose mean the projections start from.
 SAMPLE = 1_000
 
@@ -210,27 +213,64 @@ def compared(nodes: DataFrame, groups: DataFrame, threshold: float) -> tuple[Dat
     return got.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), got.where("b IS NOT NULL").select("a", "b")
 
 
-def audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of AUDIT nodes, drawn by hash, found by comparing them with all nodes. The drawn vectors are broadcast."""
-    drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "space", "unit").collect()
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["space"], bytes(r["unit"])) for r in drawn])
-
-    def run(batches):
-        by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for space in {(s, len(u)) for _, s, u in shared.value}:
-            some = [(n, u) for n, s, u in shared.value if (s, len(u)) == space]
-            by[space] = np.array([n for n, _ in some], np.int64), np.frombuffer(b"".join(u for _, u in some), np.float64).reshape(len(some), -1)
-        for b in slices(batches, 2048):
-            spaces, ids = b.column("space").to_numpy(), b.column("node").to_numpy()
-            lengths = np.array([len(x) for x in b.column("unit").to_pylist()])
-            for (space, n), (query, q) in by.items():
-                at = np.flatnonzero((spaces == space) & (lengths == n))
-                if len(at):
-                    i, j = np.nonzero(q @ _unpack(b.column("unit").take(pa.array(at))).T >= threshold)
-                    a, c = query[i], ids[at[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], ["a", "b"])
-
-    return nodes.select("node", "space", "unit").mapInArrow(run, "a long, b long")
+def bridges(nodes: DataFrame, groups: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links (``a``, ``b``) that join all groups (``component``, ``id``) between which any vectors link. Each two vectors of one
+    space in different groups are compared once: spaces go to packs by hash, packs to parts of about PART bytes."""
+    packs, whole = max(1, -(-nodes.count() * 8 * max(width, 1) // PART)), 8 * max(width, 1)
+    placed = nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("pack", F.pmod("space", F.lit(packs)).cast("int"))
+    parts = F.ceil(F.count("*") * whole / PART).cast("int")
+    placed = placed.join(placed.groupBy("pack").agg(parts.alias("parts")), "pack").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = cut(placed.select("pack", "part", "parts", "node", F.coalesce("component", "node").alias("component"), "space", "unit").repartitionByRange("pack", "node").sortWithinPartitions("pack", "space"))
+
+    def against(shared):
+        def run(batches):
+            by: dict[tuple[int, int], list] = {}
+            for n, c, s, u in shared.value:
+                by.setdefault((s, len(u)), []).append((n, c, u))
+            queries = {k: (np.array([n for n, _, _ in v], np.int64), np.array([c for _, c, _ in v], np.int64), np.frombuffer(b"".join(u for _, _, u in v), np.float64).reshape(len(v), -1)) for k, v in by.items()}
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            for b in slices(batches, 2048):
+                ids, groups_, spaces = (b.column(c).to_numpy() for c in ("node", "component", "space"))
+                lengths = np.array([len(x) for x in b.column("unit").to_pylist()], np.int64)
+                out: list[list[int]] = [[], []]
+                for space, n in set(zip(spaces.tolist(), lengths.tolist(), strict=True)):
+                    if (space, n) not in queries:
+                        continue
+                    query, component, q = queries[space, n]
+                    at = np.flatnonzero((spaces == space) & (lengths == n))
+                    x = _unpack(b.column("unit").take(pa.array(at)))
+                    for lo in range(0, len(query), TILE):
+                        i, j = np.nonzero(q[lo : lo + TILE] @ x.T >= threshold)
+                        i, j = i + lo, at[j]
+                        other = component[i] != groups_[j]
+                        for u, v in zip(i[other].tolist(), j[other].tolist(), strict=True):
+                            if (g := find(int(component[u]))) != (h := find(int(groups_[v]))):
+                                root[max(g, h)] = min(g, h)
+                                out[0].append(int(query[u]))
+                                out[1].append(int(ids[v]))
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["a", "b"])
+
+        return run
+
+    spark, found = nodes.sparkSession, []
+    for pack, parts in sorted(placed.groupBy("pack").agg(F.first("parts")).collect()):
+        mine = placed.where(F.col("pack") == pack)
+        for part in range(parts):
+            drawn = mine.where(F.col("part") == part).select("node", "component", "space", "unit").collect()
+            shared = spark.sparkContext.broadcast([(r["node"], r["component"], r["space"], bytes(r["unit"])) for r in drawn])
+            rows = mine.where(F.col("part") >= part).select("node", "component", "space", "unit")
+            found.append(cut(rows.mapInArrow(against(shared), "a long, b long")))
+            shared.unpersist()
+            if len(found) == 64:
+                found = [cut(reduce(DataFrame.union, found))]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -243,28 +283,17 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     vectors = [np.frombuffer(bytes(r["unit"]), np.float64) for r in sample]
     width = max((len(v) for v in vectors), default=0)
     mean = np.mean([v for v in vectors if len(v) == width], axis=0).tolist() if vectors else []
-    lists, sizes, extra, first = None, None, None, 0
-    known = counts = links = None
-    for turn in range(4):
-        trees = range(first, first + TREES)
-        first += TREES
-        leafed = leaves(nodes, mean, trees)
-        held = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("chunks"))
-        chunked = leafed.join(held, "leaf").withColumn("chunk", F.pmod(F.xxhash64("node", "leaf"), F.col("chunks")).cast("int")).drop("chunks")
-        found = _pairs_of(chunked, ["leaf", "chunk"], LIST, near)
-        lists = cut(_shortened(found if lists is None else lists.union(found), sizes, near))
-        for _ in range(ROUNDS):
-            sizes = saturated(lists, sizes, near)
-            lists = cut(refine(nodes, lists, sizes, near))
-        known = lists.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        known = known if extra is None else known.union(extra)
-        counts, links = compared(nodes, connected_components(known), threshold)
-        seen = cut(audit(nodes, threshold)) if extra is None else extra
-        extra = seen
-        weighed = seen.join(nodes.select(F.col("node").alias("b"), "count"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("count").alias("true"))
-        share = weighed.join(counts, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-        if not share[0] or share[1] >= RECALL * share[0]:
-            break
+    leafed = leaves(nodes, mean, range(TREES))
+    held = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("chunks"))
+    chunked = leafed.join(held, "leaf").withColumn("chunk", F.pmod(F.xxhash64("node", "leaf"), F.col("chunks")).cast("int")).drop("chunks")
+    lists, sizes = cut(_shortened(_pairs_of(chunked, ["leaf", "chunk"], LIST, near), None, near)), None
+    for _ in range(ROUNDS):
+        sizes = saturated(lists, sizes, near)
+        lists = cut(refine(nodes, lists, sizes, near))
+    known = lists.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    groups = cut(connected_components(known))
+    joined = bridges(nodes, groups, width, near)
+    counts, links = compared(nodes, connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(joined)), threshold)
     comp = connected_components(links)
     ids = comp.join(nodes.select(F.col("node").alias("id"), "head"), "id").groupBy("component").agg(F.min("head").alias("least")).join(comp, "component").select(F.col("id").alias("node"), "least")
     facts = nodes.join(counts, "node", "left").join(ids, "node", "left").select("node", F.col("count").alias("copies"), "head", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "head").alias("least"))

@@ -44,6 +44,32 @@ def test_dense_groups_are_whole(spark, monkeypatch):
     assert got == {i: (int(ok[i].sum()) - 1, comp[i]) for i in range(len(vecs))}
 
 
+def linked(spark, vecs):
+    """What is given for vectors of one label, and what brute force gives."""
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    ok = unit @ unit.T >= 0.98
+    label, new = np.arange(len(vecs)), None
+    while new is None or (new != label).any():
+        label, new = label if new is None else new, np.array([(label if new is None else new)[r].min() for r in ok])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    return got, {i: (int(ok[i].sum()) - 1, int(label[i])) for i in range(len(vecs))}
+
+
+def test_lone_pairs_beside_a_dense_group(spark, monkeypatch):
+    """Pairs far from everything else, in a label whose links nearly all belong to one group."""
+    monkeypatch.setattr(embeddings, "TREES", 1)
+    monkeypatch.setattr(embeddings, "LEAF", 32)
+    monkeypatch.setattr(embeddings, "PART", 64 * 8 * 700)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    far = unit(rng.standard_normal((400, 64)))
+    pair = unit(far + 0.19 * unit(rng.standard_normal((400, 64))))
+    dense = unit(unit(rng.standard_normal(64)) + 0.05 * unit(rng.standard_normal((800, 64))))
+    got, want = linked(spark, np.concatenate([far, pair, dense]))
+    assert got == want
+
+
 def test_op2(spark, sf, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in llm.queries()["op2_minhash"](spark, sf).collect()}
     assert got == near(texts.items(), 3, 85)
