@@ -70,6 +70,21 @@ def test_lone_pairs_beside_a_dense_group(spark, monkeypatch):
     assert got == want
 
 
+def test_one_link_between_dense_groups(spark, monkeypatch):
+    """Two groups, each far longer than any list, that hang together by one link."""
+    monkeypatch.setattr(embeddings, "LONGEST", 10)
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axes = np.linalg.qr(rng.standard_normal((64, 3)))[0].T
+    turned = lambda angle: np.cos(angle) * axes[0] + np.sin(angle) * axes[1]
+    noise = 0.06 * unit(rng.standard_normal((1_000, 64)))
+    ends = np.array([turned(0.15), turned(0.34)])
+    got, want = linked(spark, np.concatenate([unit(turned(0.0) + noise[:500]), unit(turned(0.49) + noise[500:]), ends]))
+    unlinked = [ends[0] @ unit(turned(0.49) + noise[500:]).T, ends[1] @ unit(turned(0.0) + noise[:500]).T]
+    assert max(map(np.max, unlinked)) < 0.98 and len({c for _, c in want.values()}) == 1
+    assert got == want
+
+
 def test_op2(spark, sf, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in llm.queries()["op2_minhash"](spark, sf).collect()}
     assert got == near(texts.items(), 3, 85)
