@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import squeeze
 from .storage import settle
@@ -79,26 +80,40 @@ def retrieve(edge_table: DataFrame, found: DataFrame, seeds: DataFrame, k: int,
 
 
 def retrieve_adaptive(edge_table: DataFrame, found: DataFrame, seeds: DataFrame, k: int, start: int = 1, ceiling: int = 2, enough: int = 5, hub: int = HUB) -> DataFrame:
-    """Seeds (qid, ordinal, seed) in order; a seed's walk widens while fewer than ``enough`` of its (node, chunk) pairs
-    are in chunks that earlier seeds have not scored. Chunks keep their greatest score."""
-    at = found.select(F.col("entity").alias("node"), F.col("chunk_id").alias("id")).distinct()
-    last = seeds.agg(F.max("ordinal")).first()[0]
-    scored = None
-    for o in range(0 if last is None else last + 1):
-        hits = walk(edge_table, seeds.where(F.col("ordinal") == o), ceiling, hub).join(at, "node").select("qid", "node", "id", "hop")
-        fresh = hits if scored is None else hits.join(scored.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
-        within = fresh.groupBy("qid").agg(*[F.sum((F.col("hop") <= h).cast("int")).alias(f"n{h}") for h in range(start, ceiling + 1)])
-        reach = F.lit(ceiling)
-        for h in range(ceiling - 1, start - 1, -1):
-            reach = F.when(F.col(f"n{h}") >= enough, h).otherwise(reach)
-        taken = hits.join(within.select("qid", reach.alias("reach")), "qid", "left").where(F.col("hop") <= F.coalesce("reach", F.lit(ceiling)))
-        rows = settle(taken.select("qid", "id", (1.0 / (1 + F.col("hop"))).alias("score"), "hop", "node"))
-        scored = rows if scored is None else scored.unionByName(rows)
-    if scored is None:
-        return seeds.sparkSession.createDataFrame([], "qid string, id string, score double, hop int, rank int")
-    best = scored.groupBy("qid", "id").agg(F.round(F.max("score"), 6).alias("score"), F.min("hop").alias("hop"))
+    """Seeds (qid, ordinal, seed) in order; a seed's walk widens while fewer than ``enough`` of its (node, chunk) pairs, the seed
+    itself left out, are in chunks that neither earlier seeds nor the seed have scored. Chunks keep their greatest score.
+    Each seed is walked once for all questions. What is up to ``start`` away is taken from every seed, whatever the order, and
+    ranks first: only questions with fewer than ``k`` such chunks are walked further, their seeds taken in turn in one pass."""
+    at = settle(found.select(F.col("entity").alias("node"), F.col("chunk_id").alias("id")).distinct())
+
+    def reached(of: DataFrame, hops: int) -> DataFrame:
+        walked = walk(edge_table, of.select(F.lit(0).alias("qid"), "seed").distinct(), hops, hub)
+        return walked.join(at, "node").groupBy("seed", "hop", "id").agg(F.count("*").alias("pairs"))
+
+    close = settle(seeds.select("qid", "seed").distinct().join(reached(seeds, start), "seed").groupBy("qid", "id").agg(F.min("hop").alias("hop")))
+    few = settle(close.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") < k).select("qid"))
+    rest = settle(seeds.join(few, "qid", "left_semi").select("qid", "ordinal", "seed"))
+    schema = T.StructType([seeds.schema["qid"], T.StructField("id", found.schema["chunk_id"].dataType), T.StructField("hop", T.IntegerType())])
+
+    def run(pdf):
+        import pandas as pd
+
+        hops: dict = {}
+        for _, rows in pdf.sort_values(["ordinal", "hop"]).groupby("ordinal"):
+            own = list(zip(rows["hop"].tolist(), rows["id"].tolist(), rows["pairs"].tolist(), strict=True))
+            hops.update((i, 0) for h, i, _ in own if h == 0)
+            reach = start
+            while reach < ceiling and sum(n for h, i, n in own if 0 < h <= reach and i not in hops) < enough:
+                reach += 1
+            for h, i, _ in own:
+                if h <= reach:
+                    hops[i] = min(h, hops.get(i, h))
+        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]] * len(hops), "id": list(hops), "hop": list(hops.values())})
+
+    wide = rest.join(reached(rest, ceiling), "seed").select("qid", "ordinal", "hop", "id", "pairs").groupBy("qid").applyInPandas(run, schema)
+    best = close.join(few, "qid", "left_anti").select("qid", "id", "hop").unionByName(wide)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("qid", "id", F.round(1.0 / (1 + F.col("hop")), 6).alias("score"), "hop").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def expand(typed_edges: DataFrame, seeds: DataFrame, kinds: list[str], most: int = 8, hops: int = 2) -> DataFrame:

@@ -105,10 +105,13 @@ def graph_expand(spark, d):
 
 
 def graph_retrieve_adaptive(spark, d):
-    found, e = _graph(spark, d)
-    seeds = _in_graph(found, e).select(F.col("chunk_id").alias("qid"), F.col("entity").alias("seed")).distinct()
-    seeds = seeds.withColumn("ordinal", F.row_number().over(Window.partitionBy("qid").orderBy("seed")) - 1).where("ordinal < 2")
-    return graph.retrieve_adaptive(e, found, settle(seeds), 10, hub=HUB)
+    """Every mention of a document is a seed, in order, terms without relations too; gazetteer and hub as the operators have them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = settle(entities.mentions(docs, entities.gazetteer(docs)))
+    e = settle(graph.edges(entities.relations(found)))
+    order = Window.partitionBy("chunk_id").orderBy("sentence", "ordinal")
+    seeds = settle(found.select(F.col("chunk_id").alias("qid"), F.col("entity").alias("seed"), (F.row_number().over(order) - 1).alias("ordinal")))
+    return graph.retrieve_adaptive(e, found, seeds, 10)
 
 
 QUERIES = {f.__name__: f for f in (entity_mentions, cooccur_relations, relation_predicates, kg_nodes, kg_edges, kg_stats, kg_degrees, khop_neighbors, graph_retrieve, graph_expand, graph_retrieve_adaptive)}

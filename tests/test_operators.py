@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeflow.errors import EvaluationError, GroundingError, LoadError, RetrievalError
-from lodeflow.operators import bm25, fusion, graph, grounding, ranking, rerank, vectors
+from lodeflow.operators import bm25, entities, fusion, graph, grounding, ranking, rerank, vectors
 from lodeflow.operators import statistics as st
+from lodeflow.plans import knowledge
 from lodeflow.sources import files
 from lodeflow.streaming import ingest
 
@@ -55,6 +56,45 @@ def test_graph(spark):
     assert {r.node for r in graph.walk(e, seeds.where("qid = 1"), 2, hub=1).collect()} == {"tras tuzumab", "cancer"}
 
 
+def test_adaptive_retrieval_takes_every_entity(spark):
+    """The registered query against a walk of each mention, one after the other, as published."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = entities.mentions(docs, entities.gazetteer(docs))
+    chunks, near, said = {}, {}, {}
+    for m in found.orderBy("chunk_id", "sentence", "ordinal").collect():
+        chunks.setdefault(m.entity, set()).add(m.chunk_id)
+        said.setdefault(m.chunk_id, []).append(m.entity)
+    links = {(e.subject, e.object) for e in graph.edges(entities.relations(found)).collect()}
+    for a, b in links:
+        near.setdefault(a, []).append((a, b))
+        near.setdefault(b, []).append((a, b))
+
+    def walk(seed, hops):
+        at, front = {}, {seed}
+        for h in range(1, hops + 1):
+            front = {x for n in front if len(near.get(n, ())) <= 100 for link in near.get(n, ()) for x in link} - {seed, *at}
+            at |= dict.fromkeys(front, h)
+        return at
+
+    want = {}
+    for q, seeds in said.items():
+        scores = {}
+        for seed in seeds:
+            scores |= dict.fromkeys(chunks[seed], 0)
+            at = walk(seed, 1)
+            if sum(c not in scores for n in at for c in chunks[n]) < 5:
+                at = walk(seed, 2)
+            for n, h in at.items():
+                for c in chunks[n]:
+                    scores[c] = min(h, scores.get(c, h))
+        top = sorted(scores.items(), key=lambda x: (x[1], x[0]))[:10]
+        want |= {(q, c): (h, place + 1) for place, (c, h) in enumerate(top)}
+    assert max(len(set(x)) for x in said.values()) > 2
+    got = {(r.qid, r.id): (r.hop, r["rank"]) for r in knowledge.graph_retrieve_adaptive(spark, sf).collect()}
+    assert got == want
+
+
 def test_vectors(spark):
     rnd = random.Random(1)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], i % 3) for i in range(60)] + [(60, None, 0), (61, [1.0, None, 0.0, 0.0], 0)]
