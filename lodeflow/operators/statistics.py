@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EvaluationError
+from .storage import settle
+
+#: Distinct values of a group that a resample is drawn from in one task.
+BLOCK = 4_096
 
 
 def usable(c: Column) -> Column:
@@ -145,20 +150,38 @@ def pivot_metrics(summaries: DataFrame, metrics: list[str], by: str = "condition
 
 
 def bootstrap(evals: DataFrame, by: list[str], value: str = "value", times: int = 1000, share: float = 0.95, seed: int = 42) -> DataFrame:
-    """``lower`` and ``upper`` of the mean by percentile bootstrap. A group is one sample of an evaluation (hundreds of questions), drawn from as a whole."""
-    schema = T.StructType([*[evals.schema[c] for c in by], T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
-
-    def run(pdf):
+    """``lower`` and ``upper`` of the mean by percentile bootstrap. Equal values of a group are counted, and its values dealt to blocks of
+    about :data:`BLOCK`. How many of a resample's draws fall to each block is multinomial, and so within a block: the draws are those
+    of the whole group, which meets in no task. A block returns one sum for each resample. A group without values gives 0."""
+    name = F.xxhash64(F.lit(seed), *by)
+    groups = evals.groupBy(*by).agg(F.ceil(F.approx_count_distinct(value) / BLOCK).cast("int").alias("blocks_"))
+    same = reduce(lambda x, y: x & y, [F.col(f"e.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]) if by else F.lit(True)
+    counts = evals.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count("*").alias("count_"))
+    dealt = counts.alias("e").join(groups.alias("g"), same).select("e.*", F.pmod(F.xxhash64("value_"), "blocks_").cast("int").alias("block_")).withColumn("group_", name)
+    dealt = settle(dealt.select("group_", "block_", "value_", "count_"))
+    sizes = dealt.groupBy("group_", "block_").agg(F.sum("count_").alias("size_")).groupBy("group_").agg(F.array_sort(F.collect_list(F.struct("block_", "size_"))).alias("sizes_"))
+
+    def run(key, left, right):
         import numpy as np
         import pandas as pd
 
-        x = pdf[value].dropna().sort_values().to_numpy()
-        rng = np.random.default_rng(seed)
-        means = [rng.choice(x, size=len(x), replace=True).mean() for _ in range(times)] if len(x) else [0.0]
-        lo, hi = np.percentile(means, [(1 - share) / 2 * 100, (1 + share) / 2 * 100])
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), float(lo), float(hi)]], columns=[*by, "lower", "upper"])
-
-    return evals.groupBy(*by).applyInPandas(run, schema)
+        left = left.sort_values("value_")
+        group, block = int(key[0]), int(key[1])
+        blocks = {int(r["block_"]): int(r["size_"]) for r in right["sizes_"].iloc[0]}
+        n = sum(blocks.values())
+        at = sorted(blocks).index(block)
+        draws = np.random.default_rng([seed, group & (1 << 64) - 1]).multinomial(n, np.array([blocks[b] for b in sorted(blocks)]) / n, size=times)[:, at]
+        x, p = left["value_"].to_numpy(), left["count_"].to_numpy() / left["count_"].sum()
+        rng = np.random.default_rng([seed, group & (1 << 64) - 1, block + 1])
+        sums = [float(rng.multinomial(k, p) @ x) for k in draws]
+        return pd.DataFrame({"group_": [group] * times, "resample_": range(times), "sum_": sums, "n_": [n] * times})
+
+    each = sizes.select("group_", F.explode("sizes_.block_").alias("block_"), "sizes_")
+    parts = dealt.groupBy("group_", "block_").cogroup(each.groupBy("group_", "block_")).applyInPandas(run, "group_ long, resample_ int, sum_ double, n_ long")
+    total = F.aggregate(F.array_sort(F.collect_list("sum_")), F.lit(0.0), lambda a, x: a + x)  # in order: the same on every run
+    means = parts.groupBy("group_", "resample_").agg((total / F.first("n_")).alias("mean_"))
+    ends = means.groupBy("group_").agg(F.percentile("mean_", (1 - share) / 2).alias("lower"), F.percentile("mean_", (1 + share) / 2).alias("upper"))
+    return groups.withColumn("group_", name).join(ends, "group_", "left").select(*by, F.coalesce("lower", F.lit(0.0)).alias("lower"), F.coalesce("upper", F.lit(0.0)).alias("upper"))
 
 
 def classify_errors(evals: DataFrame, least: float = 0.85) -> DataFrame:

@@ -104,7 +104,7 @@ def error_classes(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return st.bootstrap(samples(spark, d), ["lang"], "base", times=200)
+    return st.bootstrap(samples(spark, d), ["lang"], "base")
 
 
 CONDITIONS = (("baseline", 0.4, 0.3, 0.3), ("no_graph", 0.4, 0.3, 0.0), ("no_bm25", 0.4, 0.0, 0.3), ("no_dense", 0.0, 0.3, 0.3), ("dense_only", 1.0, 0.0, 0.0))

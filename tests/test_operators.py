@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeflow.errors import EvaluationError, GroundingError, LoadError, RetrievalError
 from lodeflow.operators import bm25, entities, fusion, graph, grounding, ranking, rerank, vectors
 from lodeflow.operators import statistics as st
-from lodeflow.plans import knowledge
+from lodeflow.plans import evaluation, knowledge
 from lodeflow.sources import files
 from lodeflow.streaming import ingest
 
@@ -141,6 +142,24 @@ def test_bootstrap(spark):
     assert 0.85 <= got.lower < got.upper <= 0.95
 
 
+def test_bootstrap_in_blocks(spark, monkeypatch):
+    """Draws that no task makes alone spread as those of a whole group do; a group without values is 0."""
+    monkeypatch.setattr(st, "BLOCK", 40)
+    rng = np.random.default_rng(2)
+    x = rng.exponential(size=500).round(2)
+    rows = [(1, float(v)) for v in x] + [(None, 2.0)] * 30 + [(3, None)]
+    got = {r.g: (r.lower, r.upper) for r in st.bootstrap(frame(spark, "g int, value double", rows), ["g"]).collect()}
+    want = np.percentile(rng.choice(x, (20_000, len(x))).mean(1), [2.5, 97.5])
+    assert got[1] == pytest.approx(want, abs=0.3 * x.std() / len(x) ** 0.5)
+    assert got[None] == pytest.approx((2.0, 2.0)) and got[3] == (0.0, 0.0)
+
+
+def test_bootstrap_query_takes_the_default_resamples(spark, sf):
+    d = evaluation.samples(spark, sf)
+    want = {(r.lang, r.lower, r.upper) for r in st.bootstrap(d, ["lang"], "base", times=1000).collect()}
+    assert {(r.lang, r.lower, r.upper) for r in evaluation.bootstrap_ci(spark, sf).collect()} == want
+
+
 def test_kappa(spark):
     same = frame(spark, "a double, b double", [(0.1, 0.1), (0.5, 0.5), (1.0, 1.0)])
     assert st.kappa(same, "a", "b").first().kappa == 1.0
