@@ -6,7 +6,7 @@ one learned layer. Gated attention weights, learned from document labels alone,
 passage counts; the weighted mean passage is scored. So a junk section in a long document can decide,
 whichever passage it is in.
 
-Fitting takes a bounded sample of labelled rows (:data:`SAMPLE`, :data:`BAG`); passages are encoded on the executors
+Fitting takes a bounded sample of labelled rows (:data:`SAMPLE`, :data:`PASSAGES`), each with all of its text; passages are encoded on the executors
 and the small model is fitted at the driver. Scoring is a map over whole texts: nothing is shuffled.
 
 Cases: a null or empty text is a bag of one passage without words. Labels may be missing or of one kind
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cleared, release_state, table
+from .common import cleared, n_words, release_state, table
 from .labelled import held_out, training_rows
 
 #: Words in a passage; buckets of word shapes; labelled documents to fit; size of a passage's code and of the attention.
 PASSAGE, SHAPES, SAMPLE, CODE, GATES = 64, 128, 6_000, 16, 8
-#: Passages of a document that the fit takes, evenly spread, at most. Scores take all.
-BAG = 96
+#: Passages that the fit takes, about, at most: where texts are long it takes fewer documents, and all passages of each.
+PASSAGES = 200_000
 MEASURES = 8
 #: Words that a task keeps at most between stretches of text.
 WORDS = 150_000
@@ -155,7 +155,7 @@ def fit(bags: list[tuple[np.ndarray, int]], epochs: int = 12, batch: int = 64, r
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE, key: str = "doc_id", text: str = "text") -> dict:
-    """A model from ``bound`` labelled documents at most."""
+    """A model from ``bound`` labelled documents at most, fewer where they have more than :data:`PASSAGES` passages."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         release_state()
@@ -166,11 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
             for texts in _stretches(b.column(0).to_pylist()):
                 x, counts = passages(texts, words)
                 ends = np.cumsum(counts)
-                spread = lambda n: np.arange(n) if n <= BAG else np.linspace(0, n - 1, BAG).astype(np.int64)
-                rows = [x[e - c + spread(c)].astype("<f2").tobytes() for e, c in zip(ends, counts, strict=True)]
+                rows = [x[e - c : e].astype("<f2").tobytes() for e, c in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(y[at : at + len(rows)], pa.int32())], ["x", "y"])
                 at += len(rows)
 
+    size = F.greatest(F.lit(1), F.ceil(n_words(F.col("text_")) / PASSAGE))
+    n, total = training_rows(docs, labels, label, bound, key, text).agg(F.count("*"), F.sum(size)).first()
+    if n and total > PASSAGES:
+        bound = max(1, min(bound, n) * PASSAGES // total)
     got = training_rows(docs, labels, label, bound, key, text).mapInArrow(run, "x binary, y int").toArrow()
     bags = [(np.frombuffer(x, "<f2").astype(np.float32).reshape(-1, WIDTH), int(y)) for x, y in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
     bags.sort(key=lambda b: (b[1], b[0].shape, b[0].tobytes()))  # the order of rows does not matter

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeflow import llm
-from lodeflow.llm import bpe, embeddings, fingerprints, graph, labelled, minhash, mixing, records, suffixes, urls
+from lodeflow.llm import bpe, embeddings, fingerprints, graph, labelled, minhash, mixing, quality, records, suffixes, urls
 from tests.compare import rows
 from tests.llm.helpers import components, near, unrepeated, words
 
@@ -193,6 +193,19 @@ def test_held_out_rows_are_not_learned_from(spark, sf):
     assert labelled.training_rows(docs, labels, "quality", 7).count() == 7
 
 
+def test_quality_fits_whole_documents(spark, monkeypatch):
+    """Every passage of a long document is fitted to; a small bound takes fewer documents, not parts."""
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda bags, **_: taken.append(sorted(len(x) for x, _ in bags)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    docs = spark.createDataFrame([(i, "word " * 64 * 300) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "PASSAGES", 900)
+    quality.train(docs, labels)
+    assert taken == [[300] * 8, [300] * 3]
+
+
 def test_op6(spark, sf, texts):
     order = sorted(texts)
     got = {r.doc_id: r for r in llm.queries()["op6_document_fingerprints"](spark, sf).collect()}
