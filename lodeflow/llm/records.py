@@ -9,22 +9,26 @@ then the ids; all little-endian. A checksum is masked, since it is often stored
 is itself checksummed: rotated right by 15 bits, plus 0xA282EAD8. The index, a Parquet table
 in ``index/``, has for each record its file, place in the order, offset, length, and number of ids.
 
-Documents are range-partitioned by id (each text is shuffled once) and each task writes one file in
-ascending order. A file is named by its attempt, and the index only lists what committed tasks wrote,
+Documents are range-partitioned by id (each text is shuffled once; the number of ranges follows the bytes
+of text) and each task writes one file in ascending order. A file is named by its attempt, and the index only lists what committed tasks wrote,
 so a lost executor or a second attempt leaves at most an unused file. Files are written by
 ``pyarrow.fs`` into the shared folder; nothing stays on an executor.
 
 Cases: a null or empty text has the end id alone. Null document ids come first and are read back as
-null; equal ids are ordered by their texts. An empty table writes an empty index.
+null; equal ids are ordered by their texts, null first. An empty table writes an empty index. Columns other than
+the id and the text aren't written, whatever their names.
 """
 
 from __future__ import annotations
 
+import array
+import itertools
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,8 +39,8 @@ from .common import process_state, shared_dir, table
 
 INDEX = "doc_id long, file string, part int, place long, offset long, length long, n_tokens long"
 HEAD = "<BBq"
-#: Known pieces that an executor process keeps.
-KNOWN = 1_200_000
+#: Known strings that an executor process keeps; bytes of text for each file; files of a small corpus.
+KNOWN, FILE, MIN_FILES = 1_000_000, 32 << 20, 8
 
 
 def masked(data: bytes) -> int:
@@ -62,89 +66,84 @@ def unframed(stream) -> Iterator[bytes]:
         yield body[:n]
 
 
+def _payload(width: int, doc_id: int | None, body: bytes) -> bytes:
+    return struct.pack(HEAD, width, doc_id is not None, doc_id or 0) + body
+
+
 def pack(doc_id: int | None, ids: bytes, width: int) -> bytes:
     """A payload; ``ids`` are packed 32-bit numbers."""
-    import numpy as np
-
-    body = ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-    return struct.pack(HEAD, width, doc_id is not None, doc_id or 0) + body
+    return _payload(width, doc_id, ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
 
 
 def unpack(payload: bytes) -> tuple[int | None, bytes]:
-    import numpy as np
-
     width, has, doc_id = struct.unpack_from(HEAD, payload)
     body = payload[struct.calcsize(HEAD) :]
     return (doc_id if has else None), (body if width == 4 else np.frombuffer(body, "<u2").astype("<u4").tobytes())
 
 
-def library_encoder(file: bytes):
-    """Pieces are encoded by the tokenizers library, each distinct one once."""
+def library_encoder(file: bytes) -> tuple[bpe.Encoder, int]:
+    """What gives texts' ids, and the size of the vocabulary. Pieces are encoded by the library's model, each distinct one once."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     def make():
+        bpe.checked(file)
         t = Tokenizer.from_str(file.decode())
         added = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-        return t, added, bpe.Splitter(added), bpe.Known(KNOWN)
 
-    t, added, split, known = process_state(f"library_{zlib.crc32(file)}", make)
+        char = {b: c for c, b in bpe.byte_of_char().items()}
+        model = t.model
 
-    def encode(pieces):
-        import numpy as np
+        def new(pieces):
+            for piece in pieces:
+                yield piece, array.array("I", [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(char))]).tobytes()
 
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i : i + 20_000]
-            e = t.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some))) * 4
-            start = 0
-            for piece, end in zip(some, ends.tolist(), strict=True):
-                yield piece, ids[start:end]
-                start = end
+        return bpe.Encoder(bpe.Splitter(added), added, new, KNOWN), t.get_vocab_size()
 
-    return (lambda texts: bpe.packed_ids(texts, split, added, known, encode)), t.get_vocab_size()
+    return process_state(f"library_{zlib.crc32(file)}", make)
 
 
 def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the texts' ids, each with ``end_id`` after them, in ascending order of ``key``, and the index, which it returns as read back."""
     spark = docs.sparkSession
     file = spark.sparkContext.broadcast(bpe.vocabulary_file(path))
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
     def run(batches):
         from pyarrow import fs
 
         encode, n_vocab = library_encoder(file.value)
         width = 2 if max(n_vocab, (end_id or 0) + 1) <= 1 << 16 else 4
+        kind = f"<u{width}"
+        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         store, where = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.records"
-        out, offset, place = None, 0, 0
-        for b in bpe.slices(batches):
-            if out is None:
-                out = store.open_output_stream(f"{where}/{name}")
-            rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                packed = b"".join((*ids, end))
-                record = frame(pack(doc_id, packed, width))
-                out.write(record)
-                rows.append((doc_id, place, offset, len(record), len(packed) // 4))
-                offset, place = offset + len(record), place + 1
-            ids, places, offsets, lengths, counts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([name] * len(rows)), pa.array([part] * len(rows), pa.int32()), *(pa.array(x, pa.int64()) for x in (places, offsets, lengths, counts))],
-                ["doc_id", "file", "part", "place", "offset", "length", "n_tokens"],
-            )
-        if out is not None:
-            out.close()
+        first = next(batches := iter(bpe.stretches(batches, 1)), None)
+        if first is None:
+            return
+        offset, place = 0, 0
+        with store.open_output_stream(f"{where}/{name}") as out:
+            for b in itertools.chain([first], batches):
+                flat, ends = encode(b.column(1))
+                n = b.num_rows
+                counts = np.diff(ends, prepend=0) + (end_id is not None)
+                body, cuts = flat.astype(kind).tobytes(), [0, *(ends * width).tolist()]
+                records = [frame(_payload(width, doc_id, body[lo:hi] + end)) for doc_id, lo, hi in zip(b.column(0).to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+                out.write(b"".join(records))
+                lengths = np.fromiter(map(len, records), np.int64, n)
+                offsets = offset + np.cumsum(lengths) - lengths
+                columns = [pa.array([name] * n), pa.array(np.full(n, part, np.int32)), *(pa.array(x) for x in (place + np.arange(n), offsets, lengths, counts))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "file", "part", "place", "offset", "length", "n_tokens"])
+                offset, place = offset + int(lengths.sum()), place + n
 
     _make_folder(folder)
-    sorted_docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    sorted_docs.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
-    return spark.read.parquet(f"{folder}/index")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows of one id are dealt by the starts of their texts too, so that neither an id nor the null id makes a range larger
+    ranged = rows.withColumn("start_", F.left("text", F.lit(32))).repartitionByRange(max(MIN_FILES, -(-total // FILE)), "doc_id", "start_")
+    ranged.select("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def _make_folder(folder: str) -> None:

@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,14 +277,25 @@ def test_op8_and_op10(spark, sf, texts, library):
 
 def test_trie_on_odd_texts(library, monkeypatch):
     monkeypatch.setattr(bpe, "STRETCH", 200)
-    encode, token = bpe.encoder(bpe.vocabulary_file())
+    encode, tokens = bpe.encoder(bpe.vocabulary_file())
     rng = random.Random(1)
     kinds = ["abcXYZ  '\n\t.,019", "éèàüßñ çl'ô ①½²ⅷ中文   x", "".join(map(chr, range(1, 128))), "aAbB  \x1c\x1d\x85\xa0ſƀǅ", "ha", " "]
     odd = ["".join(rng.choice(k) for _ in range(rng.randrange(250))) for _ in range(150) for k in kinds] + ["", "a<|endoftext|>b  <|endoftext|> c", "don't 'sit'll", "-" * 500, " " * 300 + "x"]
-    for t, got in zip(odd, encode(odd), strict=True):
-        ids = np.frombuffer(b"".join(got), "<i4").tolist()
-        assert ids == library.encode(t, add_special_tokens=False).ids
-        assert bpe.decode(token, ids) == library.decode(ids, skip_special_tokens=False)
+    odd += ["\t \t x", "a   ", "  ", " ", "a \n", "\n a", "\n\n  b\u2003 c", "x \u00a0 y"]
+    flat, ends = encode(pa.array(odd))
+    alone = [encode(pa.array([t]))[0] for t in odd]
+    for t, ids, one in zip(odd, np.split(flat, ends[:-1]), alone, strict=True):
+        ids = ids.tolist()
+        assert ids == one.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert tokens.texts(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py() == library.decode(ids, skip_special_tokens=False)
+    assert tokens.texts(np.array([127, 127, 32]), np.array([1, 3])).to_pylist() == [library.decode([127]), library.decode([127, 32])]
+
+
+def test_other_splitters_are_errors():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.Trie(bpe.vocabulary_file(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def test_records_are_checked(spark, tmp_path):
