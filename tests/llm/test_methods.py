@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeflow import llm
-from lodeflow.llm import bpe, embeddings, fingerprints, graph, labelled, minhash, mixing, quality, records, suffixes, urls
+from lodeflow.llm import bpe, embeddings, fingerprints, graph, labelled, minhash, mixing, quality, records, suffixes, toxicity, urls
 from tests.compare import rows
 from tests.llm.helpers import components, near, unrepeated, words
 
@@ -187,6 +187,54 @@ def test_held_out_accuracy(spark, name, label, least):
     assert out.count() == docs.count() and got >= least
 
 
+def test_toxic_documents_are_found(spark):
+    """Held-out recall and precision. Labels of sf0.01 are wrong for some documents: of its 14 held-out toxic ones five have no insult."""
+    for sf, recall in (("sf0.01", 0.64), ("sf0.1", 0.88)):
+        d = f"/root/testdata/{sf}"
+        got = llm.queries()["op9_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+        hit, said, toxic = got.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+        assert hit >= recall * toxic and hit >= 0.95 * said
+
+
+@pytest.mark.parametrize("others", [8, 200])
+def test_a_pair_tells_what_its_halves_do_not(spark, others):
+    """Toxic by whether two words are there together or not at all; each word by itself says nothing."""
+    rng = random.Random(others)
+    rows = []
+    for i in range(3_000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rest = [f"{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}" for n in rng.sample(range(15 * others), others)]
+        words_ = rest + ["badger"] * a + ["lantern"] * b
+        rng.shuffle(words_)
+        rows.append((i, " ".join(words_), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(df, toxicity.train(df, df.select("doc_id", "toxic"))).where(labelled.held_out(F.col("doc_id")))
+    wrong = got.where((F.col("score") >= 0.5) != (F.col("toxic") == 1)).count()
+    assert got.count() > 500 and not wrong
+
+
+def test_gradients():
+    """Both models' gradients against differences of the loss."""
+    rng = np.random.default_rng(4)
+    loss = lambda p, y: float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    rows, y = [rng.choice(20, rng.integers(0, 9), replace=False).tolist() for _ in range(15)], (rng.random(15) < 0.4).astype(float)
+    flat, bag = toxicity.packed(rows)
+    machine = {"w0": 0.3, "w": rng.standard_normal(20), "v": rng.standard_normal((20, toxicity.FACTORS))}
+    cases = [(machine, lambda m: loss(toxicity.sigmoid(toxicity.fm(m, flat, bag, 15)[0]), y), toxicity.gradient(machine, flat, bag, y))]
+    counts = rng.integers(1, 5, 12)
+    x, t = rng.standard_normal((counts.sum(), quality.WIDTH)), (rng.random(12) < 0.5).astype(float)
+    bags = quality.fit([])
+    bags = {k: rng.standard_normal(np.shape(v)) * 0.3 if k not in ("mean", "std") else np.asarray(v, float) for k, v in bags.items()}
+    cases.append((bags, lambda m: loss(quality.forward(m, x, counts)["p"], t), quality.gradient(bags, quality.forward(bags, x, counts), t)))
+    for model, value, given in cases:
+        for k, d in given.items():
+            for at in list(np.ndindex(np.shape(model[k])))[:: max(1, np.size(model[k]) // 25)]:
+                up, down = ({**model, k: np.array(model[k], float)} for _ in range(2))
+                up[k][at] += 1e-5
+                down[k][at] -= 1e-5
+                assert (value(up) - value(down)) / 2e-5 == pytest.approx(float(np.asarray(d)[at]), abs=1e-6)
+
+
 def test_held_out_rows_are_not_learned_from(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     n = labelled.training_rows(docs, labels, "quality", 10_000).count()
