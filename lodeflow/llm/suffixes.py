@@ -9,9 +9,12 @@ pass is dropped, so that equal groups of the last pass are exactly the repeated
 2. The remaining anchors are looked up in their documents, and the bytes that windows around them can
    take in (the *surroundings*) are the next digits. Equal surroundings need no further pass: all but
    the first are covered whole.
-3. Different surroundings of one anchor are sorted once for each offset of the window to the anchor.
+3. Different surroundings of one anchor are sorted once for each offset of the window to the anchor, by a hash
+   of the window's digits and then, neighbour by neighbour, by the digits themselves, so that equal means equal bytes.
    All windows around one anchor overlap, so what is covered there is one span, kept as its two ends.
 
+Hashes deal and sort; what is removed has been compared byte by byte (rows of one id are told apart by 64-bit hashes).
+
 Texts move once, by a hash of the document's id (both times they are needed the same shuffle is read);
 anchors, surroundings and spans move as packed arrays. The number of parts grows with the bytes of text.
 An anchor is sent once for each stretch of texts it repeats in, and equal surroundings once for each part, so
@@ -272,9 +275,9 @@ def surroundings(docs: DataFrame, found: DataFrame, window: int, parts: int) ->
             weight = powers.up[: before + after]
             h = mix(((rows[:, before : before + DIGIT].astype(np.uint64) + np.uint64(1)) * weight[:DIGIT]).sum(1, dtype=np.uint64))
             whole = mix(((rows.astype(np.uint64) + np.uint64(1)) * weight).sum(1, dtype=np.uint64) + (l * 256 + r).astype(np.uint64))
-            _, first = np.unique(whole, return_index=True)
-            again = np.ones(len(q), bool)
-            again[first] = False
+            _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+            first = first[which]  # the one before with an equal hash, whose bytes are compared
+            again = (first != np.arange(len(q))) & (l == l[first]) & (r == r[first]) & (rows == rows[first]).all(1)
             long = (l + r >= window) & again
             if long.any():
                 yield from _span_rows(ids[d[long]], ties[d[long]], (q - l)[long], (q + r)[long], parts)
@@ -357,9 +360,7 @@ def repeated(around: DataFrame, window: int, parts: int) -> DataFrame:
                     total += value(low) - value(low + window)
                 fits = np.flatnonzero((l >= offset) & (r >= window - offset))
                 if len(fits) > 1:
-                    k = mix(total[fits] ^ h[fits])
-                    by = np.argsort(k, kind="stable")
-                    later = fits[by[1:][k[by[1:]] == k[by[:-1]]]]
+                    later = _later(mix(total[fits] ^ h[fits]), fits, around[:, low : low + window])
                     least[later] = np.minimum(least[later], offset)
                     most[later] = offset
         hit = most >= 0
@@ -368,6 +369,27 @@ def repeated(around: DataFrame, window: int, parts: int) -> DataFrame:
     return map_groups(around, ["part"], run, SPANS)
 
 
+def _later(hashes: np.ndarray, rows: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """Of ``rows`` in order, those with the same ``digits`` as one before. Rows are sorted by hash and then compared
+    with their neighbours byte by byte; where equal hashes have different bytes these are the next digit."""
+    by = np.argsort(hashes, kind="stable")
+    hashes, rows = hashes[by], rows[by]
+    same = np.concatenate(([False], hashes[1:] == hashes[:-1]))
+    at = np.flatnonzero(same)
+    equal = (digits[rows[at]] == digits[rows[at - 1]]).all(1)
+    if equal.all():
+        return rows[at]
+    run = np.cumsum(~same)
+    mixed = np.isin(run, run[at[~equal]])
+    seen, later = set(), []
+    for g, i in zip(run[mixed].tolist(), rows[mixed].tolist(), strict=True):
+        one = (g, digits[i].tobytes())
+        if one in seen:
+            later.append(i)
+        seen.add(one)
+    return np.concatenate((rows[same & ~mixed], np.array(later, rows.dtype)))
+
+
 def without_repeats(docs: DataFrame, window: int = 100, key: str = "doc_id", text: str = "text", whole_chars: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``spans`` (removed runs, as pairs of start and end) and ``kept`` (bytes).
     With ``whole_chars`` a code point is removed only if all its bytes are covered, so ``kept`` is UTF-8."""

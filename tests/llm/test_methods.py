@@ -178,6 +178,17 @@ def test_repeats_of_few_letters(spark):
     assert got == dict(zip((i for i, _ in docs), unrepeated([t for _, t in docs], 100), strict=True))
 
 
+def test_repeats_with_equal_hashes_of_different_bytes(spark, monkeypatch):
+    """Hashes of four bits: what is removed still is what repeats."""
+    mix = suffixes.mix
+    monkeypatch.setattr(suffixes, "mix", lambda x: mix(x) & np.uint64(0x300000003))
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(90, 160))) for _ in range(12)]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(4)))) for i in range(40)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(zip((i for i, _ in docs), unrepeated([t for _, t in docs], 100), strict=True))
+
+
 @pytest.mark.parametrize("name,label,least", [("op5_quality", "quality", 0.97), ("op9_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
