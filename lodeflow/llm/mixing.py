@@ -6,20 +6,25 @@ target of ``r`` times a source's words takes each of its documents ``floor(r)``
 probability ``r - floor(r)``. Which ones is drawn by the cube method: probabilities move along the null space of
 two constraints, the drawn words and the drawn documents, until each is 0 or 1 (flight). A block of
 documents ends with two undecided ones at most; these meet in blocks of the next level, until one block for
-each source is left, whose last two are decided, and a few exchanged, so that words come nearest (landing).
-
-Only ids, sources, and sizes move. Blocks are dealt by hash within a source, so a hot source has more blocks,
-not larger ones. Draws depend on ids and a seed alone, so reruns agree.
-
-Cases: a null text has size 0 and may be taken or not. Rows that share an id are separate documents. A
-source without words has target 0. An empty table gives an empty result. Null ids are allowed.
+each source is left (landing): its last two are decided so that the number of documents stays within one of
+its target and words come nearest, and then a few drawn documents are exchanged, put in or out, so that words come
+nearer and the number stays within one. Where :data:`FEW` documents are left all ways to draw them are compared.
+
+Only ids, sources, sizes and a hash of the text move. Blocks are dealt by hash within a source, and rows that are alike in
+all of these are numbered, so neither a hot source nor an id that many rows share makes a block larger. Draws depend
+on these and a seed alone, so reruns agree.
+
+Cases: a null text has size 0 and may be taken or not. Rows that share an id, or null ids, are separate documents;
+alike rows get the copies that fall to them in the order of a hash of all their columns. A source without words has
+target 0; a null source is one source. Very long texts are counted whole. An empty table gives an empty result. Other columns of
+the input are not read by the plan; the mix keeps them all, whatever their names but those that end in "_" here.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, table
@@ -27,6 +32,8 @@ from .graph import group_bounds, map_groups
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK, SEED = 2_048, 11
+#: Documents of a source's last block of which all ways to draw them are compared.
+FEW = 12
 _NEAR = 1e-9
 
 
@@ -84,23 +91,32 @@ def flight(p: list[float], size: list[float], rng: np.random.Generator) -> None:
             p[i] = 0.0 if q < _NEAR else 1.0 if q > 1 - _NEAR else q
 
 
-def landing(p: list[float], size: list[float], wanted: float) -> None:
-    """Decides what is left (two at most) so that the words come nearest to ``wanted``, then the documents. Then a
-    drawn document is exchanged for one that isn't, or one is put in or out, eight times at most, where that comes nearer."""
+def landing(p: list[float], size: list[float], count: float, wanted: float) -> None:
+    """Decides what is left (two at most): the number of documents stays within one of ``count``, and of these ways the one
+    holds whose words come nearest to ``wanted``. Then, eight times at most, a drawn document is exchanged for one that
+    isn't, or one is put in or out where the number stays within one of ``count``, if words come nearer. Of
+    :data:`FEW` documents or less the drawn ones are chosen anew, by the same order of aims."""
     import bisect
+    import itertools
 
+    if len(p) <= FEW:
+        ways = (w for w in itertools.product((0.0, 1.0), repeat=len(p)) if abs(sum(w) - count) < 1)
+        p[:] = min(ways, key=lambda w: (abs(sum(x * s for x, s in zip(w, size, strict=True)) - wanted), abs(sum(w) - count), w))
+        return
     left = [i for i, x in enumerate(p) if 0 < x < 1]
-    count, settled = sum(p[i] for i in left), sum(s for x, s in zip(p, size, strict=True) if x == 1)
-    options = [[n >> b & 1 for b in range(len(left))] for n in range(1 << len(left))]
-    best = min(options, key=lambda o: (abs(settled + sum(x * size[i] for x, i in zip(o, left, strict=True)) - wanted), abs(sum(o) - count), o))
+    drawn, settled = sum(x == 1 for x in p), sum(s for x, s in zip(p, size, strict=True) if x == 1)
+    options = [o for n in range(1 << len(left)) if abs(drawn + sum(o := [n >> b & 1 for b in range(len(left))]) - count) < 1]
+    best = min(options, key=lambda o: (abs(settled + sum(x * size[i] for x, i in zip(o, left, strict=True)) - wanted), abs(drawn + sum(o) - count), o))
     for i, x in zip(left, best, strict=True):
         p[i] = float(x)
     for _ in range(8):
-        off = sum(s for x, s in zip(p, size, strict=True) if x == 1) - wanted
-        out = sorted([(0.0, -1), *((s, i) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 0)])
+        drawn, off = sum(p), sum(s for x, s in zip(p, size, strict=True) if x == 1) - wanted
+        out = sorted((s, i) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 0)
         found = (abs(off), -1, -1)
-        for i, s in [(-1, 0.0), *((i, s) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 1)]:
-            at = bisect.bisect(out, (s - off, -2))
+        if abs(drawn - 1 - count) < 1:
+            found = min([found, *((abs(off - s), i, -1) for i, s in enumerate(size) if p[i] == 1)])
+        for i, s in [*([(-1, 0.0)] if abs(drawn + 1 - count) < 1 else []), *((i, s) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 1)]:
+            at = bisect.bisect(out, (s - off, -1))
             for t, j in out[max(0, at - 1) : at + 1]:
                 found = min(found, (abs(off - s + t), i, j))
         if found[1] == found[2] == -1:
@@ -110,7 +126,7 @@ def landing(p: list[float], size: list[float], wanted: float) -> None:
                 p[i] = x
 
 
-UNITS = "ordinal int, block long, id long, size long, chance double, n long"
+UNITS = "ordinal int, block long, id long, size long, tie long, nth long, chance double, n long"
 
 
 def _level(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
@@ -118,11 +134,12 @@ def _level(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
         t = t.combine_chunks()
         starts, ends = group_bounds([t.column("ordinal").to_numpy(), t.column("block").to_numpy()])
         ids, sizes, chances = t.column("id").to_numpy(zero_copy_only=False), t.column("size").to_numpy(), t.column("chance").to_numpy()
+        ties, nth = t.column("tie").to_numpy(), t.column("nth").to_numpy()
         known = t.column("id").is_valid().to_numpy()
         ids = np.where(known, ids, 0).astype(np.int64)
         out = chances.copy()
         for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-            order = lo + np.lexsort((chances[lo:hi], sizes[lo:hi], ids[lo:hi], known[lo:hi]))
+            order = lo + np.lexsort((nth[lo:hi], ties[lo:hi], sizes[lo:hi], ids[lo:hi], known[lo:hi]))
             key = (seed, level, int(t.column("ordinal")[lo].as_py()), int(t.column("block")[lo].as_py()))
             rng = np.random.default_rng(key)
             order = order[rng.permutation(hi - lo)]
@@ -130,7 +147,7 @@ def _level(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
             s = sizes[order].astype(float).tolist()
             flight(p, s, rng)
             if last:
-                landing(p, s, float((chances[order] * sizes[order]).sum()))
+                landing(p, s, float(chances[order].sum()), float((chances[order] * sizes[order]).sum()))
             out[order] = p
         at = t.schema.get_field_index("chance")
         yield from t.set_column(at, "chance", pa.array(out)).to_batches()
@@ -138,45 +155,60 @@ def _level(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     return map_groups(units, ["ordinal", "block"], run, UNITS)
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """For each document ``key``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (size times copies)."""
-    sized = cut(docs.select(F.col(key).cast("long").alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+def _ratio() -> Column:
+    """How often a source's words are taken."""
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return F.when(F.abs(ratio - F.round(ratio)) < _NEAR, F.round(ratio)).otherwise(ratio)
+
+
+def _decided(docs: DataFrame, key: str, source: str, text: str, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """``id``, ``source``, ``size``, ``tie`` (hash of the text), ``nth`` of alike rows, ``source_size``, ``target`` and ``copies``."""
+    sized = docs.select(F.col(key).cast("long").alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("tie"))
+    sized = cut(sized.groupBy("id", "source", "size", "tie").agg(F.count("*").alias("alike")).select("id", "source", "size", "tie", F.explode(F.sequence(F.lit(1).cast("long"), "alike")).alias("nth")))
     per = cut(targets(sized, weights, share, most))
     named = F.broadcast(per) if per.count() <= 10_000 else per
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ratio = F.when(F.abs(ratio - F.round(ratio)) < _NEAR, F.round(ratio)).otherwise(ratio)
-    units = sized.join(named, sized["source"].eqNullSafe(per["source"])).select("ordinal", "id", "size", "n", ratio.alias("ratio"))
-    units = units.select("ordinal", F.floor(F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("n") / BLOCK))).alias("block"), "id", "size", (F.col("ratio") - F.floor("ratio")).alias("chance"), "n")
+    units = sized.join(named, sized["source"].eqNullSafe(per["source"])).select("ordinal", "id", "size", "tie", "nth", "n", _ratio().alias("ratio"))
+    block = F.floor(F.pmod(F.xxhash64("id", "size", "tie", "nth"), F.ceil(F.col("n") / BLOCK))).alias("block")
+    units = units.select("ordinal", block, "id", "size", "tie", "nth", (F.col("ratio") - F.floor("ratio")).alias("chance"), "n")
     widest = per.agg(F.max("n")).first()[0] or 0
     blocks, level, decided = -(-widest // BLOCK), 0, None
     while True:
         level += 1
         units = cut(_level(units, level, blocks <= 1, seed))
         open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
-        done = units.where(~open_).select("ordinal", "id", "size", "chance")
+        done = units.where(~open_).select("ordinal", "id", "size", "tie", "nth", "chance")
         decided = done if decided is None else decided.union(done)
         if blocks <= 1:
             break
         merge = BLOCK // 2
         blocks = -(-blocks // merge)
         units = units.where(open_).withColumn("block", F.floor(F.col("block") / merge))
-    chosen = decided.join(F.broadcast(per) if per.count() <= 10_000 else per, "ordinal")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ratio = F.when(F.abs(ratio - F.round(ratio)) < _NEAR, F.round(ratio)).otherwise(ratio)
-    copies = (F.floor(ratio) + F.col("chance")).cast("long")
-    return chosen.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    chosen = decided.join(named, "ordinal")
+    return chosen.select("id", "source", "size", "tie", "nth", "source_size", "target", (F.floor(_ratio()) + F.col("chance")).cast("long").alias("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """For each document ``key``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (size times copies)."""
+    chosen = _decided(docs, key, source, text, weights, share, most, seed)
+    return chosen.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken. Rows that share id, source and size get their copies in order."""
+def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken."""
     names = docs.columns
-    place = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(c[-1]))
-    plan = mixed(docs, key, source, text, **how).select(F.col(key).cast("long").alias("id_"), F.col(source).alias("source_"), F.col("size").alias("size_"), F.col("copies").alias("copies_"))
-    plan = plan.withColumn("place_", place("id_", "source_", "size_"))
-    rows = docs.withColumn("key_", F.col(key).cast("long")).withColumn("words_", n_words(F.col(text)))
-    rows = rows.withColumn("nth_", F.row_number().over(Window.partitionBy("key_", source, "words_").orderBy(F.xxhash64(text))))
-    same = rows["key_"].eqNullSafe(plan["id_"]) & rows[source].eqNullSafe(plan["source_"]) & (rows["words_"] == plan["size_"]) & (rows["nth_"] == plan["place_"])
-    return rows.join(plan, same).where("copies_ > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("copy_")).drop("copy_")
+    own = ["id_", "source_", "tie_"]
+    plan = _decided(docs, key, source, text, weights, share, most, seed).select(F.col("id").alias("id_"), F.col("source").alias("source_"), F.col("tie").alias("tie_"), F.col("nth").alias("nth_"), F.col("copies").alias("copies_"))
+    plan = plan.groupBy(*own).agg(F.count("*").alias("alike_"), F.sum("copies_").alias("copies_"))
+    rows = docs.select(*names, F.col(key).cast("long").alias("key_"), F.col(source).alias("from_"), F.xxhash64(text).alias("text_tie_"))
+    same = rows["key_"].eqNullSafe(plan["id_"]) & rows["from_"].eqNullSafe(plan["source_"]) & (rows["text_tie_"] == plan["tie_"])
+    both = rows.join(plan, same).where("copies_ > 0")
+    repeat = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("copy_")
+    alone = both.where("alike_ = 1").select(*names, repeat(F.col("copies_")))
+    # copies of alike rows are shared out: as many for each, and one more for the first of them
+    order = Window.partitionBy(*own).orderBy(F.xxhash64(*names))
+    each = F.floor(F.col("copies_") / F.col("alike_"))
+    alike = both.where("alike_ > 1").withColumn("n_", each + F.when(F.row_number().over(order) <= F.col("copies_") - each * F.col("alike_"), 1).otherwise(0))
+    return alone.union(alike.where("n_ > 0").select(*names, repeat(F.col("n_")))).select(*names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

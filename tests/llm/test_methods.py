@@ -143,9 +143,33 @@ def test_op3(spark, sf, texts):
             total -= target[s]
             left.discard(s)
     a["source"] = a.doc_id.map(source)
+    mixed_copies = dict(iter(mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet")).toPandas().groupby("source").copies))
     for s, g in a.groupby("source"):
         assert g.target.iloc[0] == pytest.approx(target[s])
         assert abs(g.taken.sum() - target[s]) <= max(60, 0.02 * target[s])
+        copies = mixed_copies[s]
+        assert abs(copies.sum() - len(g) * target[s] / own[s]) < 1 + 1e-6
+
+
+def test_mix_keeps_both_totals(spark, monkeypatch):
+    """Several levels of blocks, null and repeated ids, and rows that are alike: words and documents of each source."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i % 40, rng.choice("ab") if i % 11 else None, "w " * rng.randrange(40, 60) if i % 5 else "same words here") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixed(df).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source", dropna=False):
+        ratio = g.target.iloc[0] / g.source_size.iloc[0]
+        assert abs(g.copies.sum() - len(g) * ratio) < 1 + 1e-6 and abs(g.taken.sum() - g.target.iloc[0]) <= 30  # half a document
+        assert g.copies.between(int(ratio + 1e-9), int(ratio - 1e-9) + 1).all()
+    mix = mixing.mixture(df)
+    assert mix.columns == df.columns and mix.count() == got.copies.sum()
+    want = {s: n for s, n in got.groupby(got.source.fillna("")).taken.sum().items()}
+    have = {}
+    for r in mix.collect():
+        have[r.source or ""] = have.get(r.source or "", 0) + len(words(r.text))
+    assert have == want
 
 
 def test_flight_keeps_totals():
