@@ -8,7 +8,8 @@ first document, so texts that merely collide never share a group. :func:`against
 document with an edited copy and with its neighbour.
 
 Cases: a null text counts as empty. Equal ids are ordered by their texts; a null id comes first.
-Empty tables give empty results. Very long texts are taken whole. Other columns of the input are
+Empty tables give empty results. Very long texts are taken whole. Rows that share an id (or the null id)
+share a range of neighbours, which a window sorts and spills. Other columns of the input are
 kept by :func:`fingerprints` and :func:`exact_groups`; those with a result's name are replaced.
 """
 
@@ -20,10 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cleared, table
+from .common import cleared, cut, table
 
 #: Neighbours are found in ranges of about so many documents; the bounds of at most so many ranges are held at the driver.
 DOCS_A_RANGE, MAX_RANGES = 500, 100_000
+#: Fingerprints of buckets with several documents, about 60 bytes each, that are broadcast; more are joined.
+FEW = 1_000_000
 
 
 def _nfkc(c: Column) -> Column:
@@ -52,22 +55,27 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``fingerprint``, ``group_id`` (smallest key with the same canonical text) and ``kept``.
+    """``key``, ``fingerprint``, ``group_id`` (smallest key with the same canonical text) and ``kept``, for each row.
 
-    Only counts and keys are aggregated by fingerprint (map-side first). The bytes of members are
-    joined with those of their bucket's first document; a hot bucket is a skewed join with one row
-    on the other side, which adaptive execution splits. A member whose bytes differ is grouped by
-    a SHA-256 of its bytes besides.
+    Keys and fingerprints are settled in a narrow table; counts are aggregated by fingerprint (map-side first). Only
+    texts of buckets with several documents move: their fingerprints are broadcast if they are :data:`FEW` at most, else
+    joined. Members' bytes are compared with those of their bucket's first document; a hot bucket is a skewed join with one
+    row on the other side, which adaptive execution splits. A member whose bytes differ is grouped by a SHA-256 of
+    its bytes besides.
     """
     own = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
-    marked = fingerprints(own, "text_").drop("text_")
-    heads = marked.groupBy("fingerprint").agg(F.min("key_").alias("head_"), F.count("*").alias("n_"))
-    text_of = marked.select(F.col("fingerprint").alias("f_"), F.col("key_").alias("head_"), F.col("canonical").alias("head_text_"))
-    shared = heads.where("n_ > 1").join(text_of, (F.col("fingerprint") == F.col("f_")) & heads["head_"].eqNullSafe(text_of["head_"]), "inner").groupBy("fingerprint").agg(F.min("head_text_").alias("head_text_"))
+    marked = fingerprints(own, "text_").select("key_", "fingerprint", "canonical")
+    marks = cut(marked.drop("canonical"))
+    heads = cut(marks.groupBy("fingerprint").agg(F.min("key_").alias("head_"), F.count("*").alias("n_")).where("n_ > 1").select("fingerprint", "head_"))
+    several = F.broadcast(heads) if heads.count() <= FEW else heads
+    members = marked.join(several, "fingerprint")
+    first_texts = members.where(F.col("key_").eqNullSafe(F.col("head_"))).groupBy("fingerprint").agg(F.min("canonical").alias("head_text_"))
     same = F.col("head_text_").isNull() | (F.col("canonical") == F.col("head_text_"))
-    judged = marked.join(shared, "fingerprint", "left").select("key_", "fingerprint", F.when(same, F.lit("")).otherwise(F.sha2("canonical", 256)).alias("apart_"))
-    first = judged.groupBy("fingerprint", "apart_").agg(F.min("key_").alias("group_id"))
-    return judged.join(first, ["fingerprint", "apart_"]).select(F.col("key_").alias(key), "fingerprint", "group_id", F.col("key_").eqNullSafe(F.col("group_id")).alias("kept"))
+    judged = cut(members.join(first_texts, "fingerprint", "left").select("key_", "fingerprint", F.when(same, F.lit("")).otherwise(F.sha2("canonical", 256)).alias("apart_")))
+    firsts = judged.groupBy("fingerprint", "apart_").agg(F.min("key_").alias("group_id"))
+    grouped = judged.join(firsts, ["fingerprint", "apart_"]).select("key_", "fingerprint", "group_id")
+    alone = marks.join(several, "fingerprint", "left_anti").select("key_", "fingerprint", F.col("key_").alias("group_id"))
+    return grouped.unionByName(alone).select(F.col("key_").alias(key), "fingerprint", "group_id", F.col("key_").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
 def _ranges(docs: DataFrame, key: str) -> list[int]:
@@ -117,7 +125,12 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Likenesses, and the group of equal canonical texts that each document is in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = exact_groups(docs).groupBy(F.col("doc_id").alias("id_"), F.col("fingerprint").alias("mark_")).agg(F.min("group_id").alias("group_id"))
+    rows = against_next(docs)
+    same = rows["doc_id"].eqNullSafe(groups["id_"]) & (rows["fingerprint"] == groups["mark_"])
+    return rows.join(groups, same).select(*rows.columns, "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
 QUERIES = {"op6_document_fingerprints": op6_document_fingerprints}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -300,6 +301,26 @@ def test_op6(spark, sf, texts):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(texts[i]), hashlib.sha256(edited.encode()).hexdigest())
         assert mark.setdefault(texts[i], got[i].fingerprint) == got[i].fingerprint
         assert got[i].near_next == float(got[i].fingerprint == got[n].fingerprint)
+        assert got[i].near_edited == float(folded(edited) == folded(texts[i]))
+    least = {}
+    for i in order:
+        assert got[i].group_id == least.setdefault(folded(texts[i]), i) and got[i].kept == (got[i].group_id == i)
+
+
+def folded(text):
+    """The canonical text, as Python's Unicode tables have it."""
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    return " ".join(nfkc(nfkc(text).casefold()).split())
+
+
+def test_groups_compare_bytes(spark, monkeypatch):
+    """One digest for all texts: groups still are those of equal canonical texts, whether fingerprints are broadcast or joined."""
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.when(canon.isNotNull(), F.lit("same")))
+    df = spark.createDataFrame([(3, "a b"), (1, "A  B"), (2, "c"), (None, "d"), (5, None), (4, ""), (6, "C"), (6, "C")], "doc_id long, text string")
+    for few in (10, 0):
+        monkeypatch.setattr(fingerprints, "FEW", few)
+        got = sorted(((r.doc_id, r.group_id, r.kept) for r in fingerprints.exact_groups(df).collect()), key=repr)
+        assert got == sorted([(3, 1, False), (1, 1, True), (2, 2, True), (None, None, True), (5, 4, False), (4, 4, True), (6, 2, False), (6, 2, False)], key=repr)
 
 
 def test_canonical(spark):
@@ -337,6 +358,12 @@ def test_many_rules(spark):
     assert got == {i: judged(u) for i, u in pages}
 
 
+def test_rules_are_held_once():
+    """Many hosts below a domain with many rules: bounds grow with the rules, not with their product."""
+    rules = [urls.Rule("com", f"/{i}/", "block") for i in range(500)] + [urls.Rule(f"h{i}.com", "/", "allow") for i in range(500)]
+    assert len(urls.segments(rules)) <= 4 * len(rules)
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers
