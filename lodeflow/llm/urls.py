@@ -4,12 +4,12 @@ A host is turned into a key of its labels in reverse (``www.example.org`` to ``o
 so that a rule's host and all its subdomains are one interval of keys; below a rule's host the paths
 that start with the rule's path are one interval too. Pages and interval bounds are sorted together
 and swept once; a stack of the rules that are active at each bound, nested in each other, says which
-one decides up to the next bound.
+decide up to the next bound. Hosts are swept first, which gives a page's hosts with rules, nested in each other; then
+paths, once for each depth of that nest. So a rule is held once, however many hosts with rules are below its own.
 
 The sweep runs in salted groups: each holds an even share of the pages, whatever host they are of,
 and all bounds, so neither a hot host nor a hot url makes a task larger. A group holds at least as
-many pages as bounds, so the copies of the bounds stay below the pages. Both sweeps (hosts, then
-paths) use the same shuffle.
+many pages as bounds, so the copies of the bounds stay below the pages. All sweeps use the same shuffle.
 
 Cases: a null url, or one without ``://``, has an empty host and path and gets the default verdict.
 An empty table gives an empty result. Rows repeat as they are given. Of rules with one host and one
@@ -75,8 +75,8 @@ def _after(prefix: str) -> str:
     return prefix[:-1] + chr(0xE000 if last == 0xD800 else last)
 
 
-def _sweep(intervals: list[tuple[str, str, object]], best) -> list[tuple[str, object]]:
-    """(bound, what decides from there on): a sorted sweep with a stack of nested intervals."""
+def _sweep(intervals: list[tuple[str, str, object]], state) -> list[tuple[str, object]]:
+    """(bound, what is active from there on): a sorted sweep with a stack of nested intervals, of which ``state`` makes a value."""
     events = sorted([(lo, 1, hi, x) for lo, hi, x in intervals] + [(hi, 0, lo, x) for lo, hi, x in intervals], key=lambda e: (e[0], e[1], e[2]) if not e[1] else (e[0], 1, _Reverse(e[2])))
     stack: list[tuple[str, object]] = []
     out: list[tuple[str, object]] = []
@@ -86,11 +86,11 @@ def _sweep(intervals: list[tuple[str, str, object]], best) -> list[tuple[str, ob
         else:
             while stack and stack[-1][0] <= at:
                 stack.pop()
-        state = best([x for _, x in stack]) if stack else None
+        now = state([x for _, x in stack]) if stack else None
         if out and out[-1][0] == at:
-            out[-1] = (at, state)
+            out[-1] = (at, now)
         else:
-            out.append((at, state))
+            out.append((at, now))
     return out
 
 
@@ -101,26 +101,18 @@ class _Reverse(str):
         return str.__gt__(self, other)
 
 
-def segments(rules: Sequence[Rule]) -> list[tuple[int, str, str | None, str | None]]:
-    """(sweep, bound, value, verdict) in the order of the bounds; sweep 0 gives the deepest host that
-    has rules, sweep 1 the rule, below that host and those above it."""
+def segments(rules: Sequence[Rule]) -> list[dict]:
+    """Bounds in order. Of sweep 0: the stack of hosts with rules that are active from there on, deepest first. Of sweep
+    1: the rule, by its own host alone, whose path decides from there on. Each rule is in one host's interval only,
+    however many hosts are below it."""
     held = {(r.host, r.path): r for r in rules}
     if len(held) > MAX_RULES:
         raise ValueError(f"{len(held)} rules; at most {MAX_RULES} can be held")
     hosts = sorted({_key(h) for h, _ in held})
-    out = [(0, at, host, None) for at, host in _sweep([(k, k[:-1] + "/", k) for k in hosts], lambda s: s[-1])]
-    own: dict[str, list[Rule]] = {}
-    for r in held.values():
-        own.setdefault(_key(r.host), []).append(r)
-    below: list[tuple[str, str, Rule]] = []
-    for k in hosts:
-        labels = k[:-1].split(".")
-        for n in range(1, len(labels) + 1):
-            for r in own.get(".".join(labels[:n]) + ".", ()):
-                start = f"{k}\0{r.path}"
-                below.append((start, _after(start), r))
-    longest = lambda s: max(s, key=lambda r: (len(r.host) + len(r.path), len(r.host)))
-    out += [(1, at, None if r is None else r.host + r.path, None if r is None else r.verdict) for at, r in _sweep(below, longest)]
+    out = [{"s": 0, "b": at, "hosts": active or []} for at, active in _sweep([(k, k[:-1] + "/", k) for k in hosts], lambda s: s[::-1])]
+    starts = [(f"{_key(r.host)}\0{r.path}", r) for r in held.values()]
+    for at, r in _sweep([(x, _after(x), r) for x, r in starts], lambda s: s[-1]):
+        out.append({"s": 1, "b": at} | ({} if r is None else {"rule": {"n": len(r.host) + len(r.path), "h": len(r.host), "v": r.host + r.path, "d": r.verdict}}))
     return out
 
 
@@ -132,29 +124,33 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url"
     bounds = segments(rules)
     if not bounds:
         return rows.select("row_.*", F.col("host_").alias("host"), F.col("path_").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    depth = max(len(m.get("hosts", ())) for m in bounds)
     n = salts(pages.count(), max(PAGES_A_GROUP, 4 * len(bounds)))
-    text = json.dumps([{"s": s, "b": b, "v": v, "d": d} for s, b, v, d in bounds])
     marks = (
         spark.range(1)
-        .select(F.explode(F.from_json(F.lit(text), "array<struct<s:int,b:string,v:string,d:string>>")).alias("m"))
+        .select(F.explode(F.from_json(F.lit(json.dumps(bounds)), "array<struct<s:int,b:string,hosts:array<string>,rule:struct<n:int,h:int,v:string,d:string>>>")).alias("m"))
         .select("m.*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt_"))
-        .select("salt_", F.col("s").alias("kind_"), F.col("b").alias("bound_"), F.struct("v", "d").alias("mark_"))
+        .select("salt_", F.col("s").alias("kind_"), F.col("b").alias("bound_"), F.col("hosts").alias("mark_hosts_"), F.struct("rule").alias("mark_rule_"))
     )
     salt = F.pmod(F.xxhash64("row_"), F.lit(n)).cast("int")
     both = rows.withColumn("salt_", salt).withColumn("kind_", F.lit(2)).unionByName(marks, allowMissingColumns=True)
-    by_host = Window.partitionBy("salt_").orderBy("key_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
-    by_path = Window.partitionBy("salt_").orderBy("key2_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        both.withColumn("key_", F.when(F.col("kind_") == 2, host_key(F.col("host_"))).when(F.col("kind_") == 0, F.col("bound_")))
-        .withColumn("at_", F.last(F.when(F.col("kind_") == 0, F.col("mark_")), ignorenulls=True).over(by_host))
-        .withColumn("key2_", F.when(F.col("kind_") == 2, F.concat("at_.v", F.lit("\0"), "path_")).when(F.col("kind_") == 1, F.col("bound_")))
-        .withColumn("hit_", F.last(F.when(F.col("kind_") == 1, F.col("mark_")), ignorenulls=True).over(by_path))
-        .where(F.col("kind_") == 2)
-    )
-    fits = F.col("key2_").isNotNull()
-    return swept.select(
-        "row_.*", F.col("host_").alias("host"), F.col("path_").alias("path"), F.when(fits, F.col("hit_.v")).alias("rule"), F.coalesce(F.when(fits, F.col("hit_.d")), F.lit(default)).alias("verdict")
-    )
+    page = F.col("kind_") == 2
+
+    def last(mark: str, kind: int, order: str) -> Column:
+        upto = Window.partitionBy("salt_").orderBy(order, "kind_").rowsBetween(Window.unboundedPreceding, 0)
+        return F.last(F.when(F.col("kind_") == kind, F.col(mark)), ignorenulls=True).over(upto)
+
+    swept = both.withColumn("key_", F.when(page, host_key(F.col("host_"))).when(F.col("kind_") == 0, F.col("bound_")))
+    swept = swept.withColumn("at_", last("mark_hosts_", 0, "key_"))
+    hits = []
+    for level in range(depth):  # the deepest host with rules, then those above it
+        name = f"key{level}_"
+        swept = swept.withColumn(name, F.when(page, F.concat(F.get("at_", F.lit(level)), F.lit("\0"), "path_")).when(F.col("kind_") == 1, F.col("bound_")))
+        swept = swept.withColumn(f"hit{level}_", last("mark_rule_", 1, name))
+        hits.append(F.when(F.col(name).isNotNull(), F.col(f"hit{level}_.rule")))
+    best = F.array_max(F.filter(F.array(*hits), lambda x: x.isNotNull()))  # longest rule, then longest host
+    judged = swept.where(page).withColumn("best_", best)
+    return judged.select("row_.*", F.col("host_").alias("host"), F.col("path_").alias("path"), F.col("best_.v").alias("rule"), F.coalesce("best_.d", F.lit(default)).alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
