@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     temporary one only where the session names none, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         known = tempfile.mkdtemp(prefix="lodeflow-")
         spark.conf.set("spark.checkpoint.dir", known) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,9 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodeflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager

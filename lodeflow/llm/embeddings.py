@@ -6,21 +6,27 @@ refined by joins of neighbours with neighbours of neighbours. At or above the th
 rank alike, in an order drawn by hash: the list of a node in a dense group is so a sample of the group, not
 its nearest corner, and the groups hang together. A list that only holds links is saturated and doubles.
 
-Links of the lists give groups. Within a group every vector is compared with every other in double
-precision, in pairs of blocks (a task holds two blocks of :data:`BLOCK` and returns counts and a spanning
-forest, no pairs), so counts of links are whole however dense a group is, and nothing below the threshold
-links. Lists may miss the way from one group to another, or from one vector to the only one near it. So before
-that, every vector is compared with all vectors of its label outside its group: parts of :data:`PART` bytes
-are broadcast in turn, and of what links two groups one link is kept in each task. No link is left to the lists.
+The list's links at or above the threshold give groups. An audit compares a fresh sample of vectors with all of their
+labels: recall is the share of a vector's links that lead into its own group, averaged over vectors and not over links, and
+while it is low there is another round. Links that an audit sees are never used.
+
+An exact check follows, so no link is left to the lists. Vectors are written to the shared folder in files of about
+:data:`PART` bytes, in the order of label and group; tasks get pairs of files, fetch each file once for a run of pairs, compare in
+double precision in tiles of :data:`TILE`, and return counts of links and a spanning forest, no pairs. Two files
+whose centres are farther apart than their radii and the threshold's angle together are not compared: so groups
+that the descent found, which lie together in files, are set apart from each other unread. Nothing passes
+through the driver, and what is shuffled is ids, centres, counts and forests. What is not set apart by that bound is
+compared, so the check's time grows with the square of what a label has of vectors that are like nothing else.
 
 Cases: a null or zero vector, one with null or non-finite components, or one with a null label links with
-nothing. Lengths may differ; only equal lengths link. Rows that share an id are judged each by its own vector. An
-empty table gives an empty result.
+nothing. Lengths may differ; only equal lengths link. Rows that share an id, or a null id, are judged each by its own
+vector. Ties and repeated vectors count as often as they are there. An empty table gives an empty result. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +34,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, table
+from .common import cut, release_state, remove_at_exit, shared_dir, table
 from .graph import connected_components, group_bounds, map_groups
 
-#: First length of a list, and of a saturated one at most; vectors compared with each other in a leaf; in a block.
-LIST, LONGEST, LEAF, BLOCK = 10, 80, 256, 256
-#: Projections; rounds of joins; bytes of vectors that are broadcast at once; of these, vectors multiplied at once.
-TREES, ROUNDS, PART, TILE = 4, 2, 16 << 20, 1_024
+#: First length of a list, and of a saturated one at most; vectors compared with each other in a leaf.
+LIST, LONGEST, LEAF = 10, 80, 256
+#: Projections; rounds of joins, at least and at most; vectors of an audit; share of links in the group that ends the rounds.
+TREES, ROUNDS, MOST_ROUNDS, AUDIT, RECALL = 4, 2, 5, 512, 0.95
+#: Bytes of vectors in a file of the check; vectors multiplied at once.
+PART, TILE = 8 << 20, 1_024
 #: Vectors whose mean the projections start from.
 SAMPLE = 1_000
 
 
-def units(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+def units(df: DataFrame, key: str, vector: str, label: str, seed: int = 0) -> DataFrame:
     """``id``, ``node`` (null where a vector can't link), ``space`` (label and length) and ``unit`` (packed doubles)."""
 
     def run(batches):
         import hashlib
 
+        salt = seed.to_bytes(8, "little")
         for b in slices(batches, 2048):
             nodes, spaces, packed = [], [], []
             for v, l in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -60,10 +69,10 @@ def units(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
                     spaces.append(None)
                     packed.append(None)
                     continue
-                space = hashlib.blake2b(f"{len(x)}:{l}".encode(), digest_size=8).digest()
+                space = hashlib.blake2b(f"{len(x)}:{l}".encode(), digest_size=8, salt=salt).digest()
                 spaces.append(int.from_bytes(space, "little", signed=True))
                 packed.append(x.tobytes())
-                nodes.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8, key=space).digest(), "little", signed=True))
+                nodes.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8, key=space, salt=salt).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(spaces, pa.int64()), pa.array(packed, pa.binary())], ["id", "node", "space", "unit"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l"))
@@ -169,116 +178,163 @@ def saturated(lists: DataFrame, sizes: DataFrame | None, threshold: float) -> Da
     return cut(counts.select("u", F.when(full, F.least(F.col("k") * 2, F.lit(LONGEST))).otherwise(F.col("k")).alias("k")))
 
 
-def compared(nodes: DataFrame, groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Within groups (``component``, ``id``), every vector against every other, in pairs of blocks: counts of links
-    (``node``, ``links``) and links (``a``, ``b``) that hold what is linked together."""
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "component").select("component", "blocks", F.col("id").alias("node"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    tasks = placed.select("component", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("component", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def audited(nodes: DataFrame, groups: DataFrame, turn: int, threshold: float) -> float:
+    """Of a sample of vectors, drawn anew each ``turn``: the mean share of a vector's links that lead into its own group."""
+    placed = nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "space", "unit")
+    drawn = placed.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(AUDIT).collect()
+    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["component"], r["space"], bytes(r["unit"])) for r in drawn])
 
-    def run(t: pa.Table):
-        t = t.combine_chunks()
-        starts, ends = group_bounds([t.column(c).to_numpy() for c in ("component", "i", "j")])
-        ids, block, counts, units_ = t.column("node").to_numpy(), t.column("block").to_numpy(), t.column("count").to_numpy(), t.column("unit")
-        out: list[list] = [[], [], []]
-        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-            x, b = _unpack(units_.slice(lo, hi - lo)), block[lo:hi]
-            ok = x @ x.T >= threshold
-            np.fill_diagonal(ok, False)
-            if (b != b[0]).any():
-                ok &= b[:, None] != b[None, :]
-            total = ok @ counts[lo:hi]
-            out[0] += ids[lo:hi].tolist()
-            out[1] += [None] * (hi - lo)
-            out[2] += total.tolist()
-            root = list(range(hi - lo))
-            left = ok.any(1)
-            while left.any():  # breadth first, from one vector of each part
-                first = int(np.flatnonzero(left)[0])
-                reach = np.zeros(hi - lo, bool)
-                reach[first] = True
-                while (more := ok[reach].any(0) & ~reach).any():
-                    for m in np.flatnonzero(more).tolist():
-                        root[m] = first
-                    reach |= more
-                left &= ~reach
-            pairs = [(i, r) for i, r in enumerate(root) if i != r]
-            out[0] += [int(ids[lo + i]) for i, _ in pairs]
-            out[1] += [int(ids[lo + r]) for _, r in pairs]
-            out[2] += [None] * len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["a", "b", "links"])
-
-    got = cut(map_groups(tasks.join(nodes.select("node", "unit", "count"), "node"), ["component", "i", "j"], run, "a long, b long, links long"))
-    return got.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), got.where("b IS NOT NULL").select("a", "b")
+    def run(batches):
+        by: dict[tuple[int, int], list] = {}
+        for n, c, s, u in shared.value:
+            by.setdefault((s, len(u)), []).append((n, c, u))
+        found = {n: [0, 0] for n, _, _, _ in shared.value}
+        for b in slices(batches, 2048):
+            ids, own, spaces = (b.column(c).to_numpy() for c in ("node", "component", "space"))
+            lengths = np.array([len(x) for x in b.column("unit").to_pylist()], np.int64)
+            for (space, length), asked in by.items():
+                at = np.flatnonzero((spaces == space) & (lengths == length))
+                if not len(at):
+                    continue
+                x = _unpack(b.column("unit").take(pa.array(at)))
+                q = np.frombuffer(b"".join(u for _, _, u in asked), np.float64).reshape(len(asked), -1)
+                ok = (q @ x.T >= threshold) & (np.array([n for n, _, _ in asked])[:, None] != ids[at])
+                inside = ok & (np.array([c for _, c, _ in asked])[:, None] == own[at])
+                for (n, _, _), every, held in zip(asked, ok.sum(1).tolist(), inside.sum(1).tolist(), strict=True):
+                    found[n][0] += every
+                    found[n][1] += held
+        rows = [(n, every, held) for n, (every, held) in found.items() if every]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["node", "every", "held"])
+
+    share = placed.mapInArrow(run, "node long, every long, held long").groupBy("node").agg((F.sum("held") / F.sum("every")).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else float(share)
+
+
+def described(nodes: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
+    """Writes the vectors in files in the order of spaces and groups. Gives, for each ``file`` and ``space`` in it, the ``centre`` of its vectors
+    (packed) and their ``radius`` around it, an angle."""
+    spark = nodes.sparkSession
+    total = nodes.agg(F.sum(F.octet_length("unit"))).first()[0] or 0
+    own = groups.select(F.col("id").alias("node"), "component")
+    placed = nodes.join(own, "node", "left").select("space", F.col("component").isNull().alias("alone"), "component", "node", "count", "unit")
+    order = ["space", "alone", "component", "node"]
+    placed.repartitionByRange(max(1, -(-total // PART)), *order).sortWithinPartitions(*order).select("space", "node", "count", "unit").write.parquet(folder)
+    files = spark.read.parquet(folder).select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file")).distinct()
 
+    def run(batches):
+        release_state()
+        for b in batches:
+            for name in b.column("file").to_pylist():
+                rows = []
+                for (space, length), (_, _, x) in _vectors(folder, name).items():
+                    centre = x.sum(0)
+                    size = np.sqrt(centre @ centre)
+                    near = float((x @ (centre / size)).min()) if size > 1e-9 else -1.0
+                    rows.append((name, space, length, (centre / max(size, 1e-9)).tobytes(), float(np.arccos(np.clip(near, -1, 1)))))
+                names = ["file", "space", "length", "centre", "radius"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.float64()))], names)
+
+    return cut(files.mapInArrow(run, "file string, space long, length int, centre binary, radius double"))
+
+
+def _vectors(folder: str, name: str) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a file, by space and length of vectors: nodes, their counts, and their vectors."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, where = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{where}/{name}") as f:
+        t = pq.read_table(f).combine_chunks()
+    out = {}
+    starts, ends = group_bounds([t.column("space").to_numpy()])
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        values = t.column("unit").slice(lo, hi - lo).to_pylist()
+        length = len(values[0])  # a space has vectors of one length
+        out[int(t.column("space")[lo].as_py()), length] = (t.column("node").slice(lo, hi - lo).to_numpy(), t.column("count").slice(lo, hi - lo).to_numpy(), np.frombuffer(b"".join(values), np.float64).reshape(hi - lo, -1))
+    return out
+
+
+def _parts(ok: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of the connected parts of a matrix of links between two sets."""
+    out, left = [], ok.any(1)
+    while left.any():
+        rows = np.zeros(len(ok), bool)
+        rows[np.argmax(left)] = True
+        while True:
+            columns = ok[rows].any(0)
+            more = ok[:, columns].any(1)
+            if not (more & ~rows).any():
+                break
+            rows = more
+        left &= ~rows
+        out.append((np.flatnonzero(rows), np.flatnonzero(columns)))
+    return out
+
+
+def checked(files: DataFrame, folder: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """All vectors of a space against each other, in pairs of files that may hold links: counts of links
+    (``node``, ``links``) and pairs (``a``, ``b``) that hold what is linked together."""
+    one, two = (files.select(*[F.col(c).alias(c if c in ("space", "length") else f"{c}_{k}") for c in files.columns]) for k in (1, 2))
+    pairs = cut(one.join(two, ["space", "length"]).where("file_1 <= file_2"))
+    tasks = max(1, min(pairs.select("file_1", "file_2").distinct().count(), 100_000))
+    reach = float(np.arccos(threshold)) + 1e-6
 
-def bridges(nodes: DataFrame, groups: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links (``a``, ``b``) that join all groups (``component``, ``id``) between which any vectors link. Each two vectors of one
-    space in different groups are compared once: spaces go to packs by hash, packs to parts of about PART bytes."""
-    packs, whole = max(1, -(-nodes.count() * 8 * max(width, 1) // PART)), 8 * max(width, 1)
-    placed = nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("pack", F.pmod("space", F.lit(packs)).cast("int"))
-    parts = F.ceil(F.count("*") * whole / PART).cast("int")
-    placed = placed.join(placed.groupBy("pack").agg(parts.alias("parts")), "pack").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = cut(placed.select("pack", "part", "parts", "node", F.coalesce("component", "node").alias("component"), "space", "unit").repartitionByRange("pack", "node").sortWithinPartitions("pack", "space"))
-
-    def against(shared):
-        def run(batches):
-            by: dict[tuple[int, int], list] = {}
-            for n, c, s, u in shared.value:
-                by.setdefault((s, len(u)), []).append((n, c, u))
-            queries = {k: (np.array([n for n, _, _ in v], np.int64), np.array([c for _, c, _ in v], np.int64), np.frombuffer(b"".join(u for _, _, u in v), np.float64).reshape(len(v), -1)) for k, v in by.items()}
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
-
-            for b in slices(batches, 2048):
-                ids, groups_, spaces = (b.column(c).to_numpy() for c in ("node", "component", "space"))
-                lengths = np.array([len(x) for x in b.column("unit").to_pylist()], np.int64)
-                out: list[list[int]] = [[], []]
-                for space, n in set(zip(spaces.tolist(), lengths.tolist(), strict=True)):
-                    if (space, n) not in queries:
-                        continue
-                    query, component, q = queries[space, n]
-                    at = np.flatnonzero((spaces == space) & (lengths == n))
-                    x = _unpack(b.column("unit").take(pa.array(at)))
-                    for lo in range(0, len(query), TILE):
-                        i, j = np.nonzero(q[lo : lo + TILE] @ x.T >= threshold)
-                        i, j = i + lo, at[j]
-                        other = component[i] != groups_[j]
-                        for u, v in zip(i[other].tolist(), j[other].tolist(), strict=True):
-                            if (g := find(int(component[u]))) != (h := find(int(groups_[v]))):
-                                root[max(g, h)] = min(g, h)
-                                out[0].append(int(query[u]))
-                                out[1].append(int(ids[v]))
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["a", "b"])
-
-        return run
-
-    spark, found = nodes.sparkSession, []
-    for pack, parts in sorted(placed.groupBy("pack").agg(F.first("parts")).collect()):
-        mine = placed.where(F.col("pack") == pack)
-        for part in range(parts):
-            drawn = mine.where(F.col("part") == part).select("node", "component", "space", "unit").collect()
-            shared = spark.sparkContext.broadcast([(r["node"], r["component"], r["space"], bytes(r["unit"])) for r in drawn])
-            rows = mine.where(F.col("part") >= part).select("node", "component", "space", "unit")
-            found.append(cut(rows.mapInArrow(against(shared), "a long, b long")))
-            shared.unpersist()
-            if len(found) == 64:
-                found = [cut(reduce(DataFrame.union, found))]
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, b long")
+    def run(batches):
+        release_state()
+        held: dict[str, dict] = {}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        def vectors(name: str, other: str, key: tuple[int, int]):
+            if name not in held:
+                for old in [k for k in held if k != other]:
+                    del held[old]
+                held[name] = _vectors(folder, name)
+            return held[name][key]
+
+        for b in batches:
+            for row in b.to_pylist():
+                key, f, g = (row["space"], row["length"]), row["file_1"], row["file_2"]
+                apart = np.arccos(np.clip(np.frombuffer(row["centre_1"], np.float64) @ np.frombuffer(row["centre_2"], np.float64), -1, 1))
+                if f != g and apart - row["radius_1"] - row["radius_2"] > reach:
+                    continue
+                (u, m, x), (v, n, y) = vectors(f, g, key), vectors(g, f, key)
+                left, right = np.zeros(len(u), np.int64), np.zeros(len(v), np.int64)
+                forest: list[list[int]] = [[], []]
+                for i in range(0, len(u), TILE):
+                    for j in range(i if f == g else 0, len(v), TILE):
+                        ok = x[i : i + TILE] @ y[j : j + TILE].T >= threshold
+                        if f == g and i == j:
+                            np.fill_diagonal(ok, False)
+                        if not ok.any():
+                            continue
+                        left[i : i + TILE] += ok @ n[j : j + TILE]
+                        if f != g or i != j:
+                            right[j : j + TILE] += m[i : i + TILE] @ ok
+                        for rows, columns in _parts(ok):
+                            ends = [*u[i + rows].tolist(), *v[j + columns].tolist()]
+                            for e in ends[1:]:
+                                if (p := find(ends[0])) != (q := find(e)):
+                                    root[max(p, q)] = min(p, q)
+                                    forest[0].append(ends[0])
+                                    forest[1].append(e)
+                some, others = np.flatnonzero(left), np.flatnonzero(right)
+                a = np.concatenate((u[some], v[others], np.array(forest[0], np.int64)))
+                links = pa.array([*left[some].tolist(), *right[others].tolist(), *[None] * len(forest[0])], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([*[None] * (len(some) + len(others)), *forest[1]], pa.int64()), links], ["a", "b", "links"])
+
+    dealt = pairs.repartitionByRange(tasks, "file_1", "file_2").sortWithinPartitions("file_1", "file_2", "space")
+    got = cut(dealt.mapInArrow(run, "a long, b long, links long"))
+    return got.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), got.where("b IS NOT NULL").select("a", "b")
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
-    """For each row ``key``, ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept``."""
-    rows = cut(units(df, key, vector, label))
-    once = rows.where("node IS NOT NULL").groupBy("node", "space").agg(F.min("id").alias("head"), F.count("*").alias("count"), F.min("unit").alias("unit"))
-    nodes = cut(once.join(once.groupBy("space").agg(F.count("*").alias("size")), "space"))
-    near = threshold - 1e-9
+def descended(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+    """Groups (``component``, ``id``) that the lists' links make, and the last audit's recall."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).select("unit").collect()
     vectors = [np.frombuffer(bytes(r["unit"]), np.float64) for r in sample]
     width = max((len(v) for v in vectors), default=0)
@@ -286,14 +342,30 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     leafed = leaves(nodes, mean, range(TREES))
     held = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("chunks"))
     chunked = leafed.join(held, "leaf").withColumn("chunk", F.pmod(F.xxhash64("node", "leaf"), F.col("chunks")).cast("int")).drop("chunks")
-    lists, sizes = cut(_shortened(_pairs_of(chunked, ["leaf", "chunk"], LIST, near), None, near)), None
-    for _ in range(ROUNDS):
-        sizes = saturated(lists, sizes, near)
-        lists = cut(refine(nodes, lists, sizes, near))
-    known = lists.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    groups = cut(connected_components(known))
-    joined = bridges(nodes, groups, width, near)
-    counts, links = compared(nodes, connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(joined)), threshold)
+    lists, sizes = cut(_shortened(_pairs_of(chunked, ["leaf", "chunk"], LIST, threshold), None, threshold)), None
+    for turn in range(1, MOST_ROUNDS + 1):
+        sizes = saturated(lists, sizes, threshold)
+        lists = cut(refine(nodes, lists, sizes, threshold))
+        if turn >= ROUNDS:
+            groups = cut(connected_components(lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))))
+            recall = audited(nodes, groups, turn, threshold)
+            if recall >= RECALL:
+                break
+    return groups, recall
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
+    """For each row ``key``, ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept``."""
+    for seed in range(16):
+        rows = cut(units(df, key, vector, label, seed))
+        once = cut(rows.where("node IS NOT NULL").groupBy("node", "space", "unit").agg(F.min("id").alias("head"), F.count("*").alias("count")))
+        if once.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            break  # no two vectors share a hash
+    nodes = cut(once.join(once.groupBy("space").agg(F.count("*").alias("size")), "space"))
+    groups, _ = descended(nodes, threshold - 1e-9)
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    counts, links = checked(described(nodes, groups, folder), folder, threshold)
+    remove_at_exit(df.sparkSession, folder)
     comp = connected_components(links)
     ids = comp.join(nodes.select(F.col("node").alias("id"), "head"), "id").groupBy("component").agg(F.min("head").alias("least")).join(comp, "component").select(F.col("id").alias("node"), "least")
     facts = nodes.join(counts, "node", "left").join(ids, "node", "left").select("node", F.col("count").alias("copies"), "head", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "head").alias("least"))

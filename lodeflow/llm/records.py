@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import process_state, shared_dir, table
+from .common import process_state, remove_at_exit, shared_dir, table
 
 INDEX = "doc_id long, file string, part int, place long, offset long, length long, n_tokens long"
 HEAD = "<BBq"
@@ -200,6 +200,7 @@ def read_at(folder: str, file: str, offset: int) -> tuple[int | None, bytes]:
 
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     write_records(table(spark, sf_dir, "documents"), folder)
     return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

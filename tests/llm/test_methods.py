@@ -34,7 +34,8 @@ def test_against_sql(spark, sf, duck, name):
 def test_dense_groups_are_whole(spark, monkeypatch):
     """Groups far beyond a list's length, two corners joined by few links, copies, and a hot label."""
     rng = np.random.default_rng(3)
-    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    monkeypatch.setattr(embeddings, "PART", 16 * 8 * 50)
     base = rng.standard_normal((12, 16))
     vecs = np.concatenate([base, base[0] + 0.03 * rng.standard_normal((300, 16)), base[1] + 0.06 * rng.standard_normal((60, 16)), np.repeat(base[2:3], 40, 0)])
     label = [i % 7 != 0 for i in range(len(vecs))]
@@ -87,6 +88,56 @@ def test_one_link_between_dense_groups(spark, monkeypatch):
     assert got == want
 
 
+def crippled(monkeypatch):
+    """Lists that find nothing but what one leaf of two holds."""
+    monkeypatch.setattr(embeddings, "TREES", 1)
+    monkeypatch.setattr(embeddings, "LEAF", 4)
+    monkeypatch.setattr(embeddings, "LIST", 1)
+    monkeypatch.setattr(embeddings, "LONGEST", 1)
+    monkeypatch.setattr(embeddings, "MOST_ROUNDS", 2)
+
+
+def test_links_that_lists_miss(spark, monkeypatch):
+    """The audit sees that lists miss links; the check finds all of them, in files with several spaces too."""
+    crippled(monkeypatch)
+    monkeypatch.setattr(embeddings, "PART", 64 * 8 * 100)
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    far = unit(rng.standard_normal((200, 64)))
+    got, want = linked(spark, np.concatenate([far, *[unit(far + 0.1 * unit(rng.standard_normal((200, 64)))) for _ in range(3)]]))
+    assert got == want and sum(n for n, _ in want.values()) >= 2_000
+
+
+def test_audit_measures_recall(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    far = unit(rng.standard_normal((300, 64)))
+    x = np.concatenate([far, unit(far + 0.1 * unit(rng.standard_normal((300, 64))))])
+    df = spark.createDataFrame([(i, 1, v.tobytes(), 600) for i, v in enumerate(x)], "node long, space long, unit binary, size long")
+    groups, recall = embeddings.descended(df, 0.98)
+    assert recall >= embeddings.RECALL and groups.count() == 600
+    crippled(monkeypatch)
+    assert embeddings.descended(df, 0.98)[1] < 0.8
+
+
+def test_files_far_apart_are_not_read(spark, monkeypatch, tmp_path):
+    """Tight groups in files of their own: only pairs of files that may hold links are opened."""
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(rng.standard_normal((6, 64)))
+    x = np.concatenate([unit(c + 0.02 * unit(rng.standard_normal((100, 64)))) for c in centres])
+    monkeypatch.setattr(embeddings, "PART", 64 * 8 * 100)
+    nodes = spark.createDataFrame([(i, 1, v.tobytes(), 1) for i, v in enumerate(x)], "node long, space long, unit binary, count long")
+    groups = spark.createDataFrame([(i, i // 100 * 100) for i in range(600)], "id long, component long")
+    files = embeddings.described(nodes, groups, str(tmp_path / "v"))
+    rows_ = files.collect()
+    reach = np.arccos(0.98)
+    near = [(a, b) for a in rows_ for b in rows_ if a.file < b.file and np.arccos(np.frombuffer(a.centre) @ np.frombuffer(b.centre)) - a.radius - b.radius <= reach]
+    assert len(rows_) >= 6 and len(near) <= len(rows_)
+    counts, _ = embeddings.checked(files, str(tmp_path / "v"), 0.98)
+    assert {r.node: r.links for r in counts.collect()} == dict(enumerate(((x @ x.T >= 0.98).sum(1) - 1).tolist()))
+
+
 def test_op2(spark, sf, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in llm.queries()["op2_minhash"](spark, sf).collect()}
     assert got == near(texts.items(), 3, 85)
