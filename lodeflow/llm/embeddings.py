@@ -41,8 +41,8 @@ from .graph import connected_components, group_bounds, map_groups
 LIST, LONGEST, LEAF = 10, 80, 256
 #: Projections; rounds of joins, at least and at most; vectors of an audit; share of links in the group that ends the rounds.
 TREES, ROUNDS, MOST_ROUNDS, AUDIT, RECALL = 4, 2, 5, 512, 0.95
-#: Bytes of vectors in a file of the check; vectors multiplied at once.
-PART, TILE = 8 << 20, 1_024
+#: Bytes of vectors in a file of the check; vectors multiplied at once; products of a task, about.
+PART, TILE, TASK = 8 << 20, 1_024, 1 << 26
 #: Vectors whose mean the projections start from.
 SAMPLE = 1_000
 
@@ -211,8 +211,8 @@ def audited(nodes: DataFrame, groups: DataFrame, turn: int, threshold: float) ->
 
 
 def described(nodes: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
-    """Writes the vectors in files in the order of spaces and groups. Gives, for each ``file`` and ``space`` in it, the ``centre`` of its vectors
-    (packed) and their ``radius`` around it, an angle."""
+    """Writes the vectors in files in the order of spaces and groups. Gives, for each ``file`` and ``space`` in it, the number
+    ``n`` of its vectors, their ``centre`` (packed) and their ``radius`` around it, an angle."""
     spark = nodes.sparkSession
     total = nodes.agg(F.sum(F.octet_length("unit"))).first()[0] or 0
     own = groups.select(F.col("id").alias("node"), "component")
@@ -230,11 +230,11 @@ def described(nodes: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
                     centre = x.sum(0)
                     size = np.sqrt(centre @ centre)
                     near = float((x @ (centre / size)).min()) if size > 1e-9 else -1.0
-                    rows.append((name, space, length, (centre / max(size, 1e-9)).tobytes(), float(np.arccos(np.clip(near, -1, 1)))))
-                names = ["file", "space", "length", "centre", "radius"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.float64()))], names)
+                    rows.append((name, space, length, len(x), (centre / max(size, 1e-9)).tobytes(), float(np.arccos(np.clip(near, -1, 1)))))
+                names = ["file", "space", "length", "n", "centre", "radius"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64()))], names)
 
-    return cut(files.mapInArrow(run, "file string, space long, length int, centre binary, radius double"))
+    return cut(files.mapInArrow(run, "file string, space long, length int, n long, centre binary, radius double"))
 
 
 def _vectors(folder: str, name: str) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -276,7 +276,8 @@ def checked(files: DataFrame, folder: str, threshold: float) -> tuple[DataFrame,
     (``node``, ``links``) and pairs (``a``, ``b``) that hold what is linked together."""
     one, two = (files.select(*[F.col(c).alias(c if c in ("space", "length") else f"{c}_{k}") for c in files.columns]) for k in (1, 2))
     pairs = cut(one.join(two, ["space", "length"]).where("file_1 <= file_2"))
-    tasks = max(1, min(pairs.select("file_1", "file_2").distinct().count(), 100_000))
+    work = pairs.agg(F.sum(F.col("n_1").cast("double") * F.col("n_2"))).first()[0] or 0
+    tasks = max(1, min(round(work / TASK), 100_000))
     reach = float(np.arccos(threshold)) + 1e-6
 
     def run(batches):
