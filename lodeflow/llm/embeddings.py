@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import cut, release_state, remove_at_exit, shared_dir, table
-from .graph import connected_components, group_bounds, map_groups
+from .graph import connected_components, group_bounds, hot_join, map_groups
 
 #: First length of a list, and of a saturated one at most; vectors compared with each other in a leaf.
 LIST, LONGEST, LEAF = 10, 80, 256
@@ -367,10 +367,15 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     folder = f"{shared_dir(df.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
     counts, links = checked(described(nodes, groups, folder), folder, threshold)
     remove_at_exit(df.sparkSession, folder)
-    comp = connected_components(links)
-    ids = comp.join(nodes.select(F.col("node").alias("id"), "head"), "id").groupBy("component").agg(F.min("head").alias("least")).join(comp, "component").select(F.col("id").alias("node"), "least")
-    facts = nodes.join(counts, "node", "left").join(ids, "node", "left").select("node", F.col("count").alias("copies"), "head", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "head").alias("least"))
-    out = rows.select("id", "node").join(facts, "node", "left")
+    # links between groups, by the groups' ids: what the descent has joined is not joined again
+    of = groups.select(F.col("id").alias("node"), "component")
+    ends = links.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
+    ends = ends.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
+    between = connected_components(ends).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    placed = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).join(between, "component", "left").select("node", "count", "head", F.coalesce("joined", "component").alias("component"))
+    least = placed.groupBy("component").agg(F.min("head").alias("least"))
+    facts = placed.join(counts, "node", "left").join(least, "component").select("node", F.col("count").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), "least")
+    out = hot_join(rows.select("id", "node"), facts, "node", "id", "left")
     component = F.coalesce("least", "id")
     return out.select(F.col("id").alias(key), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -11,6 +11,48 @@ from pyspark.sql import functions as F
 from .common import cut, release_state
 
 
+#: Links that one task holds.
+FEW = 500_000
+#: Rows of a key that are not dealt to more tasks.
+HOT = 1_000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``facts`` for their ``key``. Rows of a key that has more than :data:`HOT` of them are dealt by a
+    hash of ``spread`` too, and the fact of such a key is repeated. At most 20,000 keys have a share of rows that
+    makes them hot, so the list of them is small."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_"))
+    total, nulls = rows.agg(F.count("*"), F.count(F.when(F.col(key).isNull(), 1))).first()
+    hot = cut(counts.where(F.col("rows_") > max(HOT, total // 20_000)).select(key, F.ceil(F.col("rows_") / HOT).cast("int").alias("deals_")))
+    if nulls <= HOT and hot.isEmpty():
+        return rows.join(facts, key, how)
+    deals = F.when(F.col(key).isNull(), min(-(-nulls // HOT), 20_000)).otherwise(F.coalesce("deals_", F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("deal_", F.pmod(F.xxhash64(spread), deals).cast("int")).drop("deals_")
+    repeated = facts.join(F.broadcast(hot), key, "left").withColumn("deal_", F.explode(F.sequence(F.lit(0), F.coalesce("deals_", F.lit(1)) - 1))).drop("deals_")
+    return dealt.join(repeated, [key, "deal_"], how).drop("deal_")
+
+
+def _roots(batches):
+    """Each id of some links, and the least id that it hangs together with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    ids = list(root)
+    for i in range(0, len(ids), 100_000):
+        some = ids[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], ["id", "component"])
+
+
 def _pairs(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -21,11 +63,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates two steps until nothing changes: each id's larger neighbours are linked with the least
     of its neighbours and itself, then each id's smaller neighbours are. Least values are aggregated
     before the shuffle and joined back, so an id with very many links is a skewed join with one row on
-    the other side. Lineage is cut at each turn. Null ends and self-links don't count; repeated links count once.
+    the other side. Lineage is cut at each turn. Once :data:`FEW` links are left, 16 bytes each, one task ends the work.
+    Null ends and self-links don't count; repeated links count once.
     """
     now = cut(links.where(F.col(a) != F.col(b)).select(*_pairs(F.col(a), F.col(b))).distinct())
     before = None
     while True:
+        if now.count() <= FEW:
+            return cut(now.coalesce(1).mapInArrow(_roots, "id long, component long"))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import cut, release_state, small_batches, table
-from .graph import connected_components, group_bounds, map_groups
+from .graph import connected_components, group_bounds, hot_join, map_groups
 
 PIECE = 1 << 20
 #: Ids of this many documents, 8 bytes each, are broadcast; more are joined by a shuffle.
@@ -202,7 +202,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return hot_join(pairs.join(right, "b"), left, "a", "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def buckets(reps: DataFrame) -> DataFrame:

@@ -167,7 +167,9 @@ def test_tables():
         assert 2 * (1 - (percent / 100) ** 3) ** minhash.tables(percent) <= 5e-4
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, 40, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 600)]
     want = components({x for p in links for x in p}, lambda a, b, s=set(links): (a, b) in s or (b, a) in s)
@@ -175,6 +177,17 @@ def test_components(spark):
     assert got == {i: c for i, c in want.items() if i in got} and set(got) == {x for a, b in links if a != b for x in (a, b)}
 
 
+def test_hot_join(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 5)
+    rows_ = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(60)] + [(99, None)], "id long, key long")
+    facts = spark.createDataFrame([(k, k * 2) for k in range(30)], "key long, twice long")
+    got = sorted((r.id, r.twice) for r in graph.hot_join(rows_, facts, "key", "id", "left").collect() if r.twice is not None)
+    assert got == sorted([(i, 2 if i % 3 else i * 2) for i in range(60) if i % 3 or i < 30])
+    assert graph.hot_join(rows_, facts, "key", "id", "left").count() == 61
+    nulls = spark.createDataFrame([(i, None) for i in range(20)], "id long, key long")
+    assert {r.id for r in graph.hot_join(nulls, facts, "key", "id", "left").collect()} == set(range(20))
+
+
 def test_op3(spark, sf, texts):
     a = llm.queries()["op3_mixing"](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
     b = llm.queries()["op3_mixing"](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
