@@ -30,7 +30,6 @@ class Engine:
         if self.chunks.isEmpty():
             raise IndexError_("there are no chunks")
         self.terms = bm25.index(self.chunks, "chunk_id")
-        self.terms = bm25.Index(settle(self.terms.postings), settle(self.terms.idf), self.terms.totals)
         self.vectors = settle(self.chunks.select(F.col("chunk_id").alias("vec_id"), self.encoder.documents(F.col("text")).alias("embedding")))
         self.mentions = settle(self.extractor(self.chunks.select("chunk_id", "text")))
         self.edges = settle(graph.edges(entities.relations(self.mentions)))

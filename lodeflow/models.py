@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import terms, word_set
+from .functions.text import let, terms, word_set
 from .operators import answers, entities
 
 
@@ -52,11 +52,6 @@ class HashEncoder:
         return self.documents(F.concat(F.lit(self.instruction), text))
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once for a row; an expression inside a lambda is computed for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def unit(v: Column) -> Column:
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
     return let(v, lambda x: let(F.struct(x.alias("v"), norm(x).alias("n")), lambda p: F.transform(p["v"], lambda y: F.when(p["n"] > 0, y / p["n"]).otherwise(0.0))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import let, terms
+from .storage import settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -21,22 +22,39 @@ class Index:
     totals: DataFrame
 
 
+#: Question terms that are broadcast, about 100 bytes each; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def counted(words: Column) -> Column:
+    """Distinct words of an array and how often each is there, as (term, tf): runs of the sorted array, found in one pass."""
+    runs = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    each = lambda p: F.transform(p["at"], lambda i, n: F.struct(F.get(p["s"], i).alias("term"), (F.coalesce(F.get(p["at"], n + 1), F.size(p["s"])) - i).cast("long").alias("tf")))
+    found = let(F.array_sort(words), lambda s: let(F.struct(s.alias("s"), runs(s).alias("at")), each))
+    return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", epsilon: float = EPSILON) -> Index:
-    """Terms are counted per document before the shuffle by term. Negative weights become ``epsilon`` times the mean weight."""
-    tokens = docs.select(F.col(key).alias("doc_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+    """A document's terms are counted in its own row and settled, one row for a document, so no token is shuffled; only
+    distinct terms of a partition are, for their document counts. Negative weights become ``epsilon`` times the mean weight."""
+    words = docs.select(F.col(key).alias("doc_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    tokens = settle(words.select("doc_id", F.size("terms").alias("dl"), counted(F.col("terms")).alias("postings")))
     totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = tokens.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    postings = tokens.select("doc_id", "dl", F.explode("postings").alias("p")).select("doc_id", "p.term", "dl", "p.tf")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(totals), F.lit(True)).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    raw = settle(df.join(F.broadcast(totals), F.lit(True)).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return Index(postings, idf, totals)
 
 
 def search(ix: Index, queries: DataFrame, k: int, key: str = "qid", text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
-    """``key``, ``doc_id``, ``score`` (6 decimals), ``rank``; a term repeated in a query counts as often. ``k`` rows at most for a query, then those above 0."""
-    asked = queries.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf")).join(ix.idf, "term")
-    hits = asked.join(ix.postings, "term").join(F.broadcast(ix.totals), F.lit(True))
+    """``key``, ``doc_id``, ``score`` (6 decimals), ``rank``; a term repeated in a query counts as often. ``k`` rows at most for a query, then
+    those above 0. Postings meet the asked terms where they are, if these are few; scores are summed there first."""
+    named = queries.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
+    asked = settle(named.join(ix.idf, "term"))
+    asked = F.broadcast(asked) if asked.count() <= FEW else asked
+    hits = ix.postings.join(asked, "term").join(F.broadcast(ix.totals), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(key, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")

@@ -6,28 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, squeeze
+from .storage import settle
 
 ENTITY_WORD = r"[\p{L}]+"
 
 
-def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10) -> DataFrame:
-    """Terms (``entity``, ``df``) of ``length`` letters or more that are in ``least`` to ``most`` chunks."""
+#: Terms of a gazetteer, about 50 bytes each, that are broadcast; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> DataFrame:
+    """Terms (``entity``, ``df``) of ``length`` letters or more that are in ``least`` chunks or more, and in ``most`` or a ``share`` of
+    all, whichever is greater, at most: the band grows with the corpus."""
     words = chunks.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(ENTITY_WORD), F.lit(0)))).alias("entity"))
-    return words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df").between(least, most))
+    total = chunks.agg(F.greatest(F.lit(most), F.ceil(F.count("*") * share)).alias("most_"))
+    counts = words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return counts.join(F.broadcast(total), F.col("df") <= F.col("most_")).select("entity", "df")
 
 
 def mentions(chunks: DataFrame, entities: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """``chunk_id``, ``sentence``, ``ordinal`` (place of the word in its sentence), ``start`` (its first character there), ``length``, ``surface``, ``entity``."""
+    """``chunk_id``, ``sentence``, ``ordinal`` (place of the word in its sentence), ``start`` (its first character there), ``length``, ``surface``,
+    ``entity``. Words get their places in their own row; those of the gazetteer are found where they are if it is small."""
     rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
-    parts = rows.withColumn("length", F.char_length("s")).withColumn("words", F.split(F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")), " "))
-    flat = parts.select("chunk_id", "sentence", "length", F.posexplode("words").alias("ordinal", "surface"), "words")
-    start = F.aggregate(F.slice("words", 1, F.col("ordinal")), F.lit(0), lambda a, w: a + F.char_length(w) + 1)
-    named = flat.withColumn("entity", squeeze(F.col("surface"))).where(F.char_length("entity") > 0)
-    return named.join(entities.select("entity"), "entity").select("chunk_id", "sentence", "ordinal", start.alias("start"), "length", "surface", "entity")
+    words = F.split(F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")), " ")
+    empty = F.struct(F.array().cast("array<struct<start:int,surface:string>>").alias("done"), F.lit(0).alias("at"))
+    step = lambda a, w: F.struct(F.concat(a["done"], F.array(F.struct(a["at"].alias("start"), w.alias("surface")))).alias("done"), (a["at"] + F.char_length(w) + 1).alias("at"))
+    placed = rows.select("chunk_id", "sentence", F.char_length("s").alias("length"), F.posexplode(F.aggregate(words, empty, step, lambda a: a["done"])).alias("ordinal", "w"))
+    named = placed.select("chunk_id", "sentence", "ordinal", "w.start", "length", "w.surface", squeeze(F.col("w.surface")).alias("entity")).where(F.char_length("entity") > 0)
+    known = settle(entities.select("entity"))
+    known = F.broadcast(known) if known.count() <= FEW else known
+    return named.join(known, "entity").select("chunk_id", "sentence", "ordinal", "start", "length", "surface", "entity")
 
 
 def proximity(start_a: Column, start_b: Column, length: Column) -> Column:
-    return F.round(1 - F.least(F.abs(start_a - start_b) / F.greatest(length, F.lit(1)), F.lit(1.0)) * 0.7, 3)
+    return F.round(1 - F.least(F.abs(start_a - start_b) / F.greatest(length, F.lit(1)), F.lit(1.0)) * 0.7 + 1e-9, 3)  # half goes up
 
 
 def relations(found: DataFrame) -> DataFrame:

@@ -52,6 +52,18 @@ def weighted(signals: DataFrame, w: dict[str, float], chunks: DataFrame | None =
     return kept.where(F.length("text") > 0)
 
 
+def by_condition(signals: DataFrame, conditions: DataFrame, names: tuple[str, ...] = ("dense", "bm25", "graph")) -> DataFrame:
+    """``condition``, ``qid``, ``id``, ``fused`` for each row of ``conditions`` (``condition`` and a weight for each signal), as
+    :func:`weighted` has it. Signals are normalised and pivoted once for all conditions."""
+    normed = min_max(signals)
+    value = lambda s: F.coalesce(F.max(F.when(F.col("signal") == s, F.col("norm"))), F.lit(0.0)).alias(f"{s}_n")
+    has = normed.groupBy("qid").agg(*[F.max((F.col("signal") == s).cast("double")).alias(f"{s}_h") for s in names])
+    rows = normed.groupBy("qid", "id").agg(*map(value, names)).join(has, "qid").join(F.broadcast(conditions), F.lit(True))
+    total = sum((F.col(s) * F.col(f"{s}_h") for s in names[1:]), F.col(names[0]) * F.col(f"{names[0]}_h"))
+    fused = sum((F.col(s) * F.col(f"{s}_h") * F.col(f"{s}_n") for s in names[1:]), F.col(names[0]) * F.col(f"{names[0]}_h") * F.col(f"{names[0]}_n"))
+    return rows.where(total > 0).select("condition", "qid", "id", F.round(fused / total, 6).alias("fused"))
+
+
 def near_tie_cutoff(ranked: DataFrame, score: str, base: int, gap: float = 0.02, extra: int = 20) -> DataFrame:
     """The first ``base`` of each query, and what follows with gaps of at most ``gap``, ``extra`` more at most."""
     order = Window.partitionBy("qid").orderBy(F.desc(score), "id")

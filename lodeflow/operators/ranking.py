@@ -55,10 +55,11 @@ def by_similarity(pool: DataFrame, k: int = 5, least: float = 0.6) -> DataFrame:
 
 
 def run_summary(evals: DataFrame, by: str = "method") -> DataFrame:
-    """Means of a run's metrics, with what stands in for a missing one: hit rate by recall, hallucination by 1 - faithfulness. ``overall`` is five times reliability."""
+    """Means of a run's metrics; those that the run doesn't have are null, but for what follows from another one: hit rate by
+    recall, hallucination by 1 - faithfulness. ``overall`` is five times reliability."""
     names = [c for c in evals.columns if c not in (by, "qid")]
     means = evals.groupBy(by).agg(*[F.avg(c).alias(c) for c in names])
     col = lambda c: F.col(c) if c in names else F.lit(None).cast("double")
-    out = {c: col(c) for c in ("precision", "recall", "faithfulness", "reliability")}
+    out = {c: col(c) for c in ("precision", "recall", "mrr", "ndcg", "faithfulness", "reliability")}
     out |= {"hit_rate": F.coalesce(col("hit_rate"), col("recall")), "hallucination": F.coalesce(col("hallucination"), 1 - col("faithfulness"))}
-    return means.select(by, *[F.round(F.coalesce(v, F.lit(0.0)), 4).alias(k) for k, v in out.items()], F.round(F.coalesce(col("reliability") * 5, F.lit(0.0)), 2).alias("overall"))
+    return means.select(by, *[F.round(v, 4).alias(k) for k, v in out.items()], F.round(col("reliability") * 5, 2).alias("overall"))

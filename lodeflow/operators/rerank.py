@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, word_set
+from ..functions.text import word_set
 
 # Generic words that say nothing about a query.
 GENERIC = ("patient", "treatment", "clinical", "study", "data", "results", "cancer", "disease", "may", "used")
@@ -18,15 +18,21 @@ def penalty(query: Column, text: Column, short: int = 15, thin: float = 1.5, apa
     return F.when(words < short, thin).otherwise(0.0) + F.when((F.size(asked) > 0) & ~F.arrays_overlap(asked, word_set(text)), apart).otherwise(0.0)
 
 
-def suppress_duplicates(candidates: DataFrame, threshold: float = 0.75, most: int = 60) -> DataFrame:
-    """Of each query's candidates (qid, id, place, text), in order of ``place``, those not too like one kept before. A
-    query has ``most`` candidates at most by then; a fold over them keeps the word sets of what it keeps."""
-    first = candidates.where(F.col("place") <= most).select("qid", F.struct("place", "id", word_set(F.col("text")).alias("words")).alias("c"))
-    lists = first.groupBy("qid").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+def suppress_duplicates(candidates: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Of each query's candidates (qid, id, place, text), in order of ``place``, those not too like one kept before. A fold
+    over a query's candidates keeps the hashed word sets of what it keeps; how many candidates a query has is the
+    caller's choice (a top k). Sets whose sizes alone rule a likeness out are not compared."""
+    words = F.array_distinct(F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w)))
+    lists = candidates.select("qid", F.struct("place", "id", words.alias("words")).alias("c")).groupBy("qid").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     empty = F.filter("cs", lambda c: F.lit(False))
 
+    def alike(k: Column, c: Column) -> Column:
+        m, n = F.size(k["words"]), F.size(c["words"])
+        shared = F.size(F.array_intersect(k["words"], c["words"]))
+        return (F.least(m, n) > threshold * F.greatest(m, n)) & (shared / (m + n - shared) > threshold)
+
     def step(kept: Column, c: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: jaccard(k["words"], c["words"]) > threshold), kept).otherwise(F.concat(kept, F.array(c)))
+        return F.when(F.exists(kept, lambda k: alike(k, c)), kept).otherwise(F.concat(kept, F.array(c)))
 
     kept = lists.select("qid", F.explode(F.aggregate("cs", empty, step)).alias("c"))
     return kept.select("qid", "c.id", "c.place")

@@ -13,7 +13,9 @@ def settle(df: DataFrame) -> DataFrame:
     branches do not compute it again, and a lost executor takes nothing with it. The files go when the driver ends."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # no cluster names one, as in tests
+    if not folder:  # none is named, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="lodeflow-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"

@@ -14,7 +14,8 @@ BLOCK = 4_096
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", tag: str | None = None) -> DataFrame:
     """``qid``, ``id``, ``score`` (cosine, 6 decimals), ``rank``: the ``k`` nearest of each query, itself left out. With
-    ``tag``, only rows with the query's tag count. Queries go out in blocks of a fixed number; each task keeps its own
+    ``tag``, only rows with the query's tag count; a null tag fits no row. Queries without a vector, or with a null
+    component, have no neighbours; only vectors of a query's length count. Queries go out in blocks of a fixed number; each task keeps its own
     best ``k`` with ties, so what is shuffled does not grow with a task's rows."""
     named = queries.select(F.col(key).alias("qid"), F.col(vector).alias("v"), (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("t"))
     rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("t"))
@@ -22,7 +23,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     parts: list[DataFrame] = []
 
     def flush():
-        parts.append(_block(rows, [(r["qid"], r["v"], r["t"]) for r in held], k))
+        parts.append(_block(rows, [(r["qid"], r["v"], r["t"]) for r in held], k, tag is not None))
         held.clear()
 
     for row in named.orderBy("qid").toLocalIterator():
@@ -38,37 +39,38 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(rows: DataFrame, queries: list, k: int) -> DataFrame:
+def _block(rows: DataFrame, queries: list, k: int, tagged: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterable[pa.RecordBatch]):
         import numpy as np
 
-        asked = [q for q in shared.value if q[1]]
-        if not asked:
-            return
+        by: dict[int, list] = {}
+        for q in shared.value:
+            if q[1] and None not in q[1] and not (tagged and q[2] is None):
+                by.setdefault(len(q[1]), []).append(q)
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        q = unit(np.array([x[1] for x in asked], np.float64))
-        qids, tags = np.array([x[0] for x in asked]), np.array([x[2] for x in asked], object)
+        asked = {n: (unit(np.array([x[1] for x in qs], np.float64)), np.array([x[0] for x in qs]), np.array([x[2] for x in qs], object)) for n, qs in by.items()}
         for b in batches:
-            usable = [i for i, v in enumerate(b.column("v").to_pylist()) if v and len(v) == q.shape[1] and None not in v]
-            if not usable:
-                continue
-            b = b.take(pa.array(usable))
-            x = unit(np.array(b.column("v").to_pylist(), np.float64))
-            ids, own = b.column("id").to_numpy(), np.array(b.column("t").to_pylist(), object)
-            for i in range(0, len(q), 256):
-                s = np.round(q[i : i + 256] @ x.T, 6)
-                s[qids[i : i + 256][:, None] == ids[None, :]] = -9
-                if tags[0] is not None:
-                    s[tags[i : i + 256][:, None] != own[None, :]] = -9
-                if s.shape[1] > k:
-                    least = np.partition(s, -k, axis=1)[:, -k][:, None]
-                    keep = (s >= least) & (s > -9)
-                else:
-                    keep = s > -9
-                r, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i + r]), pa.array(ids[c]), pa.array(s[r, c])], ["qid", "id", "score"])
+            vectors_ = b.column("v").to_pylist()
+            for n, (q, qids, tags) in asked.items():
+                usable = [i for i, v in enumerate(vectors_) if v and len(v) == n and None not in v]
+                if not usable:
+                    continue
+                x = unit(np.array([vectors_[i] for i in usable], np.float64))
+                ids, own = b.column("id").take(pa.array(usable)).to_numpy(), np.array(b.column("t").take(pa.array(usable)).to_pylist(), object)
+                for i in range(0, len(q), 256):
+                    s = np.round(q[i : i + 256] @ x.T, 6)
+                    s[qids[i : i + 256][:, None] == ids[None, :]] = -9
+                    if tagged:
+                        s[tags[i : i + 256][:, None] != own[None, :]] = -9
+                    if s.shape[1] > k:
+                        least = np.partition(s, -k, axis=1)[:, -k][:, None]
+                        keep = (s >= least) & (s > -9)
+                    else:
+                        keep = s > -9
+                    r, c = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[i + r]), pa.array(ids[c]), pa.array(s[r, c])], ["qid", "id", "score"])
 
     return rows.mapInArrow(run, "qid long, id long, score double")
 

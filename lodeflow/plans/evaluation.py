@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..facade import Engine
@@ -12,7 +9,7 @@ from ..facade import Engine
 from ..functions import overlap
 from ..functions.text import metric_words
 from ..models import HashEncoder, dot
-from ..operators import fusion, ranking, vectors
+from ..operators import ranking, vectors
 from ..operators import statistics as st
 from . import retrieval
 from .common import SAMPLES, TURNS, samples, table, turns
@@ -107,34 +104,32 @@ def bootstrap_ci(spark, d):
     return st.bootstrap(samples(spark, d), ["lang"], "base")
 
 
-CONDITIONS = (("baseline", 0.4, 0.3, 0.3), ("no_graph", 0.4, 0.3, 0.0), ("no_bm25", 0.4, 0.0, 0.3), ("no_dense", 0.0, 0.3, 0.3), ("dense_only", 1.0, 0.0, 0.0))
+#: Weights of dense, BM25 and graph, and whether candidates are reranked.
+CONDITIONS = (("baseline", 0.4, 0.3, 0.3, True), ("no_graph", 0.4, 0.3, 0.0, True), ("no_bm25", 0.4, 0.0, 0.3, True), ("no_reranker", 0.4, 0.3, 0.3, False), ("dense_only", 1.0, 0.0, 0.0, False))
+METHODS = (("dense", 1.0, 0.0, 0.0, False), ("bm25", 0.0, 1.0, 0.0, False), ("hybrid", 0.4, 0.3, 0.0, False), ("graph", 0.0, 0.0, 1.0, False), ("proposed", 0.4, 0.3, 0.3, True))
 
 
-def ablation_grid(spark, d):
-    """Each condition's five best against gold (documents of the question's source): mean precision, recall and hit rate."""
-    signals = retrieval._signals(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    gold = docs.select(F.col("doc_id").alias("qid"), "source").join(docs.withColumnRenamed("doc_id", "id"), "source").select("qid", "id")
+def _judged(spark, d, grid):
+    """Ranking metrics of each condition's lists, for each question, against the documents of the question's source."""
+    lists = retrieval.conditioned(spark, d, grid)
+    docs, items = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    asked = docs.join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "source")
+    gold = asked.join(docs.withColumnRenamed("doc_id", "id"), "source").select("qid", "id")
+    names = spark.createDataFrame([(c[0],) for c in grid], "condition string")
+    both = gold.join(F.broadcast(names), F.lit(True)).select(F.struct("condition", "qid").alias("qid"), "id")
+    got = ranking.evaluate(lists.select(F.struct("condition", "qid").alias("qid"), "id", "rank"), both)
+    return got.join(both.select("qid").distinct(), "qid", "left_semi").withColumn("condition", F.col("qid.condition")).withColumn("qid", F.col("qid.qid"))
 
-    def one(name, *w) -> DataFrame:
-        top = fusion.near_tie_cutoff(fusion.weighted(signals, fusion.weights(*w)), "fused", 5, extra=0).select("qid", "id", "rank")
-        return ranking.evaluate(top, gold).select(F.lit(name).alias("condition"), "precision", "hit", "mrr")
 
-    every = reduce(DataFrame.unionByName, [one(*c) for c in CONDITIONS])
-    return every.groupBy("condition").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("precision", "hit", "mrr")])
+def ablation_grid(spark, d):
+    """Each condition's five best against gold (documents of the question's source): mean precision, recall and hit rate."""
+    return _judged(spark, d, CONDITIONS).groupBy("condition").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("precision", "recall", "hit", "mrr", "ndcg")])
 
 
 def method_comparison(spark, d):
-    """Dense, BM25, and reciprocal-rank lists of one set of questions against one gold, by method."""
-    bm = retrieval._bm(spark, d, 10).select("qid", F.col("doc_id").alias("id"), "rank", "score")
-    dense = retrieval._dense(spark, d, 10).select("qid", "id", "rank", "score")
-    both = fusion.reciprocal_rank(bm.withColumn("retriever", F.lit("bm25")).unionByName(dense.withColumn("retriever", F.lit("dense"))))
-    order = Window.partitionBy("qid").orderBy(F.desc("rrf"), "id")
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    gold = docs.select(F.col("doc_id").alias("qid"), "source").join(docs.withColumnRenamed("doc_id", "id"), "source").select("qid", "id")
-    lists = {"bm25": bm, "dense": dense, "hybrid": both.withColumn("rank", F.row_number().over(order))}
-    rows = reduce(DataFrame.unionByName, [ranking.evaluate(x.select("qid", "id", "rank"), gold).select(F.lit(n).alias("method"), "qid", "precision", "recall", F.col("mrr").alias("faithfulness"), F.col("ndcg").alias("reliability")) for n, x in lists.items()])
-    return ranking.run_summary(rows)
+    """Dense, BM25, hybrid, graph alone, and all with reranking, on one set of questions against one gold. What needs a
+    generator's answers (faithfulness, hallucination, reliability) is null."""
+    return ranking.run_summary(_judged(spark, d, METHODS).select(F.col("condition").alias("method"), "qid", "precision", "recall", F.col("hit").alias("hit_rate"), "mrr", "ndcg"))
 
 
 def similarity_gold(spark, d):
@@ -173,15 +168,15 @@ def _bleu(n: int) -> str:
     return f"round(CASE WHEN len(a) = 0 OR len(b) = 0 OR h1 = 0 THEN 0.0 ELSE exp({logs} + CASE WHEN len(a) >= len(b) THEN 0.0 ELSE 1 - len(b) / len(a) END) END, 6) AS bleu{n}"
 
 
-_RUNS = "SELECT condition AS method, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(m), 4) AS faithfulness, round(avg(g), 4) AS reliability, round(avg(r), 4) AS hit_rate, round(1 - avg(m), 4) AS hallucination, round(avg(g) * 5, 2) AS overall FROM x GROUP BY condition"
+def _judged_sql(grid) -> str:
+    return retrieval._MIX + "," + retrieval.conditioned_sql(grid) + """,
+gold AS (SELECT a.doc_id AS qid, b.doc_id AS id FROM documents a JOIN documents b USING (source) WHERE a.doc_id IN (SELECT item_id FROM benchmark)), ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid),""" + _EVAL.format(by="condition,", lists="rk") + """,
+x AS (SELECT condition, round(hits / n, 6) AS p, round(hits / n_gold, 6) AS r, (hits > 0)::INT AS h, round(coalesce(1.0::DOUBLE / first, 0), 6) AS m, round(dcg / list_sum(list_transform(generate_series(1, least(n_gold, n)), lambda i: 1 / log2(i + 1))), 6) AS g FROM ev JOIN ng USING (qid))
+"""
+
 
 ORACLE_SQL = {
-    "method_comparison": "WITH " + retrieval.BM25.format(k=10) + "," + retrieval.DENSE.format(tag="", which=retrieval.BENCH_VECTORS, k=10) + """,
-l AS (SELECT qid, doc_id AS id, rank FROM bm UNION ALL SELECT qid, id, rank FROM dense), rf AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM l GROUP BY ALL),
-lists AS (SELECT 'bm25' AS condition, qid, doc_id AS id, rank FROM bm UNION ALL SELECT 'dense', qid, id, rank FROM dense UNION ALL SELECT 'hybrid', qid, id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) FROM rf),
-gold AS (SELECT a.doc_id AS qid, b.doc_id AS id FROM documents a JOIN documents b USING (source)), ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid),""" + _EVAL.format(by="condition,", lists="lists") + """,
-x AS (SELECT condition, round(hits / n, 6) AS p, round(hits / n_gold, 6) AS r, round(coalesce(1.0::DOUBLE / first, 0), 6) AS m, round(dcg / list_sum(list_transform(generate_series(1, least(n_gold, n)), lambda i: 1 / log2(i + 1))), 6) AS g FROM ev JOIN ng USING (qid))
-""" + _RUNS,
+    "method_comparison": _judged_sql(METHODS) + "SELECT condition AS method, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(h), 4) AS hit_rate, round(avg(m), 4) AS mrr, round(avg(g), 4) AS ndcg, NULL::DOUBLE AS faithfulness, NULL::DOUBLE AS hallucination, NULL::DOUBLE AS reliability, NULL::DOUBLE AS overall FROM x GROUP BY condition",
     "similarity_gold": "WITH " + retrieval.DENSE.format(tag="", which="q.vec_id % 20 = 0", k=20) + ", s AS (SELECT qid, count(*) FILTER (score >= 0.3 AND rank <= 5) AS h, count(*) FILTER (score >= 0.3) AS r FROM dense GROUP BY qid) SELECT qid, round(h / 5, 6) AS precision, CASE WHEN r > 0 THEN round(h / r, 6) ELSE 0.0 END AS recall, (h > 0)::INT::DOUBLE AS accuracy FROM s",
     "ranking_metrics": _LISTS + "," + _EVAL.format(by="", lists="dense") + """, ng AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid)
 SELECT qid, round(hits / n, 6) AS precision, round(hits / n_gold, 6) AS recall, (hits > 0)::INT::DOUBLE AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(dcg / list_sum(list_transform(generate_series(1, least(n_gold, n)), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM ev JOIN ng USING (qid)""",
@@ -210,11 +205,5 @@ SELECT round(corr(base, other), 6) AS pearson, round(corr(ra, rb), 6) AS spearma
     "condition_summary": "WITH " + SAMPLES + ", l AS (SELECT lang, 'base' AS metric, base AS value FROM samples UNION ALL SELECT lang, 'other', other FROM samples) SELECT lang, metric, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median FROM l GROUP BY ALL",
     "metric_pivot": "WITH " + SAMPLES + " SELECT lang AS condition, round(avg(base), 4) AS base, round(avg(other), 4) AS other FROM samples GROUP BY lang",
     "error_classes": "WITH " + SAMPLES + ", f AS (SELECT id, CASE WHEN base < 0.85 THEN 'Retrieval/Deduplication Failure' WHEN other < 0.85 THEN 'Grounding/NLI Failure' WHEN (base + other) / 2 < 0.85 THEN 'Generation/Intent Failure' END AS failure FROM samples) SELECT * FROM f WHERE failure IS NOT NULL",
-    "ablation_grid": retrieval._MIX + "," + "cond AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for n, a, b, g in CONDITIONS) + ") AS t(condition, cd, cb, cg))," + """
-piv AS (SELECT qid, id, """ + ", ".join(f"coalesce(max(CASE WHEN signal = '{s}' THEN norm END), 0)::DOUBLE AS {s[0]}" for s in ("dense", "bm25", "graph")) + """ FROM normed GROUP BY ALL),
-has AS (SELECT qid, max((signal = 'dense')::INT) AS hd, max((signal = 'bm25')::INT) AS hb, max((signal = 'graph')::INT) AS hg FROM normed GROUP BY ALL),
-fs AS (SELECT condition, qid, id, round((cd * hd * d + cb * hb * b + cg * hg * g) / (cd * hd + cb * hb + cg * hg), 6) AS fused FROM piv JOIN has USING (qid), cond WHERE cd * hd + cb * hb + cg * hg > 0),
-rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition, qid ORDER BY fused DESC, id) AS rank FROM fs) WHERE rank <= 5),
-gold AS (SELECT a.doc_id AS qid, b.doc_id AS id FROM documents a JOIN documents b USING (source)),""" + _EVAL.format(by="condition,", lists="rk") + """
-SELECT condition, count(*) AS n, round(avg(round(hits / n, 6)), 4) AS precision, round(avg((hits > 0)::INT), 4) AS hit, round(avg(round(coalesce(1.0::DOUBLE / first, 0), 6)), 4) AS mrr FROM ev GROUP BY condition""",
+    "ablation_grid": _judged_sql(CONDITIONS) + "SELECT condition, count(*) AS n, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(h), 4) AS hit, round(avg(m), 4) AS mrr, round(avg(g), 4) AS ndcg FROM x GROUP BY condition",
 }

@@ -11,31 +11,31 @@ from .common import table
 
 FOUND = r"""
 words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]+'))) AS entity FROM documents),
-gaz AS (SELECT entity, count(*) AS df FROM words WHERE length(entity) >= 9 GROUP BY entity HAVING count(*) BETWEEN 2 AND 6),
+gaz AS (SELECT entity, count(*) AS df FROM words WHERE length(entity) >= 6 GROUP BY entity HAVING count(*) >= 2 AND count(*) <= (SELECT greatest(10, ceil(count(*) * 0.001)) FROM documents)),
 sents AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sentence, unnest(ss) AS s FROM (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents)),
 parts AS (SELECT doc_id, sentence, length(s) AS length, string_split(trim(regexp_replace(s, '[^\p{L}]+', ' ', 'g')), ' ') AS ws FROM sents),
 flat AS (SELECT doc_id, sentence, length, ws, generate_subscripts(ws, 1) - 1 AS ordinal, unnest(ws) AS surface FROM parts),
 found AS MATERIALIZED (SELECT doc_id AS chunk_id, sentence, ordinal, coalesce(list_sum(list_transform(ws[1:ordinal], lambda w: length(w) + 1)), 0)::BIGINT AS start, length, surface, lower(surface) AS entity FROM flat JOIN gaz ON gaz.entity = lower(surface)),
-rels AS MATERIALIZED (SELECT a.chunk_id, a.sentence, a.entity AS subject, 'related_to' AS predicate, b.entity AS object, round(1 - least(abs(a.start - b.start) / greatest(a.length, 1), 1.0) * 0.7, 3)::DOUBLE AS confidence
+rels AS MATERIALIZED (SELECT a.chunk_id, a.sentence, a.entity AS subject, 'related_to' AS predicate, b.entity AS object, round((1 - least(abs(a.start - b.start) / greatest(a.length, 1), 1.0) * 0.7 + 1e-9)::DOUBLE, 3) AS confidence
   FROM found a JOIN found b ON a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.ordinal < b.ordinal),
 edges AS MATERIALIZED (SELECT subject, predicate, object, count(*) AS weight, max(confidence) AS confidence, count(DISTINCT chunk_id) AS n_chunks FROM rels WHERE subject <> object GROUP BY ALL)"""
 
-NEAR = """
+NEAR = r"""
 near AS MATERIALIZED (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges),
 deg AS (SELECT node, sum(d) AS degree FROM (SELECT node, other, greatest(sum(o), sum(i)) AS d FROM (SELECT subject AS node, object AS other, 1 AS o, 0 AS i FROM edges UNION ALL SELECT object, subject, 0, 1 FROM edges) GROUP BY ALL) GROUP BY ALL),
-seeds AS (SELECT doc_id AS qid, min(entity) AS seed FROM (SELECT chunk_id AS doc_id, entity FROM found WHERE entity IN (SELECT a FROM near)) GROUP BY ALL),
+seeds AS (SELECT DISTINCT qid, seed FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS seed FROM benchmark) WHERE seed IN (SELECT a FROM near)),
 open AS MATERIALIZED (SELECT * FROM near WHERE a NOT IN (SELECT node FROM deg WHERE degree > {hub})),
 h0 AS (SELECT qid, seed, seed AS node, 0 AS hop FROM seeds),
 h1 AS (SELECT DISTINCT qid, seed, b AS node, 1 AS hop FROM h0 JOIN open ON a = node),
 h2 AS (SELECT DISTINCT h1.qid, h1.seed, b AS node, 2 AS hop FROM h1 JOIN open ON a = node),
 walked AS (SELECT qid, seed, node, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL)"""
 
-HUB = 20
+HUB = graph.HUB
 
 
 def _found(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return entities.mentions(docs, entities.gazetteer(docs, length=9, most=6))
+    return entities.mentions(docs, entities.gazetteer(docs))
 
 
 def _graph(spark, d):
@@ -44,13 +44,16 @@ def _graph(spark, d):
     return found, settle(graph.edges(entities.relations(found)))
 
 
-def _in_graph(found, edge_table):
-    near = graph.neighbours(edge_table).select(F.col("a").alias("entity")).distinct()
-    return found.join(near, "entity", "left_semi")
+def _seeds(spark, d, edge_table):
+    """Every entity of the graph that a question names."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(entities.ENTITY_WORD), F.lit(0)))).alias("seed"))
+    return settle(q.join(graph.neighbours(edge_table).select(F.col("a").alias("seed")).distinct(), "seed", "left_semi").select("qid", "seed").distinct())
 
 
-def _seeds(found, edge_table):
-    return _in_graph(found, edge_table).groupBy(F.col("chunk_id").alias("qid")).agg(F.min("entity").alias("seed"))
+def retrieved(spark, d, k):
+    """What the graph finds for each question."""
+    found, e = _graph(spark, d)
+    return graph.retrieve(e, found, _seeds(spark, d, e), k, hub=HUB)
 
 
 def entity_mentions(spark, d):
@@ -91,17 +94,16 @@ def kg_degrees(spark, d):
 
 def khop_neighbors(spark, d):
     found, e = _graph(spark, d)
-    return graph.neighbourhood(e, _seeds(found, e), 2).select("qid", "seed", "node", "hop")
+    return graph.neighbourhood(e, _seeds(spark, d, e), 2).select("qid", "seed", "node", "hop")
 
 
 def graph_retrieve(spark, d):
-    found, e = _graph(spark, d)
-    return graph.retrieve(e, found, _seeds(found, e), 10, hub=HUB).select("qid", "id", "score", "entity", "hop", "rank")
+    return retrieved(spark, d, 10).select("qid", "id", "score", "entity", "hop", "rank")
 
 
 def graph_expand(spark, d):
     found, e = _graph(spark, d)
-    return graph.expand(e, _seeds(found, e), ["related_to"])
+    return graph.expand(e, _seeds(spark, d, e), ["related_to"])
 
 
 def graph_retrieve_adaptive(spark, d):
@@ -116,6 +118,11 @@ def graph_retrieve_adaptive(spark, d):
 
 QUERIES = {f.__name__: f for f in (entity_mentions, cooccur_relations, relation_predicates, kg_nodes, kg_edges, kg_stats, kg_degrees, khop_neighbors, graph_retrieve, graph_expand, graph_retrieve_adaptive)}
 
+HITS = """
+hits AS (SELECT qid, chunk_id AS id, min({{'hop': hop, 'node': node}}) AS m FROM walked JOIN (SELECT DISTINCT chunk_id, entity FROM found) f ON f.entity = walked.node GROUP BY ALL),
+gsc AS (SELECT qid, id, round(1.0 / (1 + m.hop), 6)::DOUBLE AS score, m.node AS entity, m.hop AS hop FROM hits),
+gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM gsc) WHERE rank <= {k})"""
+
 _W = "WITH " + FOUND
 ORACLE_SQL = {
     "entity_mentions": _W + " SELECT chunk_id, sentence, ordinal, start, surface, entity FROM found",
@@ -128,10 +135,7 @@ SELECT p.*, coalesce((SELECT array_to_string(list(word ORDER BY ordinal)[1:2], '
     "kg_stats": _W + " SELECT n_nodes, n_edges, round(2.0 * n_edges / n_nodes, 6)::DOUBLE AS avg_degree FROM (SELECT count(DISTINCT entity) AS n_nodes FROM found), (SELECT count(*) AS n_edges FROM edges)",
     "kg_degrees": _W + "," + NEAR.format(hub=HUB) + " SELECT node, degree::BIGINT AS degree FROM deg",
     "khop_neighbors": _W + "," + NEAR.format(hub=10**9) + " SELECT qid, seed, node, hop FROM walked WHERE hop > 0",
-    "graph_retrieve": _W + "," + NEAR.format(hub=HUB) + """,
-hits AS (SELECT qid, chunk_id AS id, min({'hop': hop, 'node': node}) AS m FROM walked JOIN (SELECT DISTINCT chunk_id, entity FROM found) f ON f.entity = walked.node GROUP BY ALL),
-s AS (SELECT qid, id, round(1.0 / (1 + m.hop), 6)::DOUBLE AS score, m.node AS entity, m.hop AS hop FROM hits)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""",
+    "graph_retrieve": _W + "," + NEAR.format(hub=HUB) + "," + HITS.format(k=10) + " SELECT * FROM gr",
     "graph_expand": _W + "," + NEAR.format(hub=10**9) + """,
 t AS (SELECT qid, lower(node) AS term, min(hop) AS hop FROM walked WHERE hop > 0 GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hop, term) AS place FROM t) WHERE place <= 8""",

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..models import lexical_scorer
 from ..operators import bm25, fusion, rerank, vectors
-from ..plans.common import table
+from ..operators.storage import settle
+from . import knowledge
+from .common import table
 
 BM25 = r"""
 tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9][a-zA-Z0-9\-]*') AS ts FROM documents),
@@ -23,9 +26,8 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
   SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id {tag} WHERE {which})) WHERE rank <= {k})"""
 
-SIGNALS = """
-signals AS (SELECT qid, doc_id AS id, 'bm25' AS signal, score AS raw FROM bm UNION ALL SELECT qid, id, 'dense', score FROM dense
-  UNION ALL SELECT a.doc_id, b.doc_id, 'graph', CASE WHEN a.doc_id = b.doc_id THEN 1.0 ELSE 0.5 END FROM documents a JOIN documents b USING (source) WHERE a.doc_id IN (SELECT item_id FROM benchmark)),
+SIGNALS = knowledge.FOUND + "," + knowledge.NEAR.format(hub=knowledge.HUB) + "," + knowledge.HITS.format(k=20) + """,
+signals AS MATERIALIZED (SELECT qid, doc_id AS id, 'bm25' AS signal, score AS raw FROM bm UNION ALL SELECT qid, id, 'dense', score FROM dense UNION ALL SELECT qid, id, 'graph', score FROM gr),
 normed AS (SELECT *, CASE WHEN hi - lo < 1e-9 THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0.0 END ELSE (raw - lo) / (hi - lo) END AS norm
   FROM (SELECT *, min(raw) OVER w AS lo, max(raw) OVER w AS hi FROM signals WINDOW w AS (PARTITION BY qid, signal)))"""
 
@@ -50,11 +52,25 @@ def _dense(spark, d, k):
 
 
 def _signals(spark, d):
-    docs, items = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
-    asked = docs.join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "source")
-    graph = asked.join(docs, "source").select("qid", F.col("doc_id").alias("id"), F.lit("graph").alias("signal"), F.when(F.col("qid") == F.col("doc_id"), 1.0).otherwise(0.5).alias("raw"))
+    """Each question's 20 best by BM25, by vectors, and by the graph."""
     bm = _bm(spark, d, 20).select("qid", F.col("doc_id").alias("id"), F.lit("bm25").alias("signal"), F.col("score").alias("raw"))
-    return bm.union(_dense(spark, d, 20).select("qid", "id", F.lit("dense").alias("signal"), F.col("score").alias("raw"))).union(graph)
+    dense = _dense(spark, d, 20).select("qid", "id", F.lit("dense").alias("signal"), F.col("score").alias("raw"))
+    walked = knowledge.retrieved(spark, d, 20).select("qid", "id", F.lit("graph").alias("signal"), F.col("score").alias("raw"))
+    return settle(bm.union(dense).union(walked))
+
+
+def conditioned(spark, d, grid, k=5):
+    """``condition``, ``qid``, ``id``, ``rank``: the ``k`` best under each condition (name, weights of dense, bm25 and graph, whether to
+    rerank). Signals are found once; conditions are rows. Reranking takes ``2 k`` candidates by the pair scorer less penalties."""
+    rows = spark.createDataFrame([(n, *map(float, w), r) for n, *w, r in grid], "condition string, dense double, bm25 double, graph double, again boolean")
+    fused = fusion.by_condition(_signals(spark, d), rows)
+    pool = rerank.top(fused.withColumn("qid", F.struct("condition", "qid")), 2 * k, "fused")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("query"))
+    both = pool.join(F.broadcast(rows.select("condition", "again")), "condition").withColumn("item", F.col("qid.qid")).join(texts, "id", "left").join(asked, "item", "left")
+    again = F.round(lexical_scorer(F.coalesce("query", F.lit("")), F.coalesce("text", F.lit(""))) - rerank.penalty(F.coalesce("query", F.lit("")), F.coalesce("text", F.lit(""))), 6)
+    final = both.select("qid", "id", F.when(F.col("again"), again).otherwise(F.col("fused")).alias("final"))
+    return rerank.top(final, k, "final").select("qid.condition", "qid.qid", "id", "rank")
 
 
 def _fused(spark, d):
@@ -134,6 +150,24 @@ def greedy_dedup(spark, d):
 
 _WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-zA-Z0-9]+'))"
 _KNN = "SELECT qid, id, score, rank FROM dense"
+CONDITIONED = """
+cond AS (SELECT * FROM (VALUES {grid}) AS t(condition, cd, cb, cg, again)),
+piv AS (SELECT qid, id, coalesce(max(CASE WHEN signal = 'dense' THEN norm END), 0)::DOUBLE AS d, coalesce(max(CASE WHEN signal = 'bm25' THEN norm END), 0)::DOUBLE AS b, coalesce(max(CASE WHEN signal = 'graph' THEN norm END), 0)::DOUBLE AS g FROM normed GROUP BY ALL),
+has AS (SELECT qid, max((signal = 'dense')::INT) AS hd, max((signal = 'bm25')::INT) AS hb, max((signal = 'graph')::INT) AS hg FROM normed GROUP BY ALL),
+fs AS (SELECT condition, again, qid, id, round((cd * hd * d + cb * hb * b + cg * hg * g) / (cd * hd + cb * hb + cg * hg), 6) AS fused FROM piv JOIN has USING (qid), cond WHERE cd * hd + cb * hb + cg * hg > 0),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition, qid ORDER BY fused DESC, id) AS place FROM fs) WHERE place <= 10),
+sets AS (SELECT p.*, len(list_filter(string_split(trim(regexp_replace(coalesce(t.text, ''), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS n,
+  list_distinct(regexp_extract_all(lower(coalesce(q.text, '')), '[a-zA-Z0-9]+')) AS qw, list_distinct(regexp_extract_all(lower(coalesce(t.text, '')), '[a-zA-Z0-9]+')) AS tw FROM pool p LEFT JOIN documents t ON t.doc_id = p.id LEFT JOIN benchmark q ON q.item_id = p.qid),
+fin AS (SELECT condition, qid, id, CASE WHEN again THEN round(CASE WHEN len(qw) = 0 THEN 0.0 ELSE len(list_intersect(qw, tw)) / len(qw) END - (CASE WHEN n < 15 THEN 1.5 ELSE 0 END
+  + CASE WHEN len(list_filter(qw, lambda w: NOT list_contains({generic}, w))) > 0 AND NOT list_has_any(list_filter(qw, lambda w: NOT list_contains({generic}, w)), tw) THEN 0.8 ELSE 0 END)::DOUBLE, 6) ELSE fused END AS final FROM sets),
+rk AS (SELECT * FROM (SELECT condition, qid, id, row_number() OVER (PARTITION BY condition, qid ORDER BY final DESC, id) AS rank FROM fin) WHERE rank <= 5)"""
+
+
+def conditioned_sql(grid):
+    values = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE, {str(r).lower()})" for n, a, b, g, r in grid)
+    return CONDITIONED.format(grid=values, generic=list(rerank.GENERIC))
+
+
 _MIX = "WITH " + BM25.format(k=20) + "," + DENSE.format(tag="", which=BENCH_VECTORS, k=20) + "," + SIGNALS
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index_stats, vector_knn, knn_filtered, knn_section, minmax_norm, hybrid_fusion, adaptive_cutoff, elbow_topk, rrf, multi_query_dedup, section_intent, rerank_penalties, greedy_dedup)}
