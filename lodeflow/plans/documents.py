@@ -80,7 +80,7 @@ def child_chunks(spark, d):
 
 
 def stitch_chunks(spark, d):
-    e = table(spark, d, "events").where("event_id % 3 <> 0").select("event_id", "event_type", "user_id")
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id")
     return chunks.stitch(e, "user_id", "event_id", "event_id", "event_type").select("user_id", "first", "n", "ids", "text")
 
 
@@ -106,7 +106,7 @@ def answer_cleanup(spark, d):
 
 def index_upsert(spark, d):
     e = table(spark, d, "events").select(F.col("user_id"), "event_id", "event_type", "value")
-    return files.upsert(e.where("event_id % 2 = 0").transform(lambda x: files.latest(x, "user_id", "event_id")), e.where("event_id % 5 = 0"), "user_id", "event_id")
+    return files.upsert(e.where("event_type <> 'purchase'").transform(lambda x: files.latest(x, "user_id", "event_id")), e.where("event_type = 'purchase'"), "user_id", "event_id")
 
 
 def ids_lookup(spark, d):
@@ -136,7 +136,7 @@ ORACLE_SQL = {
     + "," + _pack("kid", "par", "text", ("doc_id", "page_number", "chunk_"), CHILD).replace("FROM par)", "FROM (SELECT doc_id, page_number, chunk AS chunk_, text FROM par))")
     + f", l AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, page_number, chunk_ ORDER BY chunk) AS before FROM kid), o AS (SELECT doc_id, page_number, chunk_ AS parent_ord, chunk AS child_ord, CASE WHEN before IS NULL THEN text ELSE right(before, {4 * OVERLAP}) || ' ' || text END AS text FROM l)"
     + " SELECT doc_id, page_number, parent_ord, child_ord, md5(text) AS digest, greatest(1, length(text) // 4) AS tokens FROM o",
-    "stitch_chunks": """WITH e AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events WHERE event_id % 3 <> 0)
+    "stitch_chunks": """WITH e AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)
 SELECT user_id, min(event_id) AS first, count(*) AS n, string_agg(event_id::VARCHAR, '+' ORDER BY event_id) AS ids, string_agg(event_type, chr(10) ORDER BY event_id) AS text FROM e GROUP BY user_id, run""",
     "heading_asof": "WITH " + PAGES + r""",
 l AS (SELECT source_file, page_number, generate_subscripts(ls, 1) AS o, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM pages0)),
@@ -149,7 +149,7 @@ FROM l WHERE regexp_matches(line, '(?i)^\s*Chapter\s+\d+[:.\s]') OR regexp_match
     "token_sets": r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-zA-Z0-9][a-zA-Z0-9\-]*')) AS n_terms, len(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9]+'))) AS n_words,
 len(regexp_extract_all(lower(text), '[a-zA-Z0-9\-]+')) AS n_metric, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS folded FROM documents""",
     "answer_cleanup": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ' says so.' ELSE role || ' answers.' END AS answer, CASE WHEN turn % 2 = 0 THEN 'High' ELSE 'Medium' END AS confidence FROM conversations",
-    "index_upsert": """WITH s AS (SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY user_id), c AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 5 = 0 GROUP BY user_id),
+    "index_upsert": """WITH s AS (SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events WHERE event_type <> 'purchase' GROUP BY user_id), c AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id),
 k AS (SELECT coalesce(c.user_id, s.user_id) AS user_id, coalesce(c.event_id, s.event_id) AS event_id FROM s FULL JOIN c USING (user_id)) SELECT k.user_id, k.event_id, e.event_type, e.value FROM k JOIN events e USING (event_id)""",
     "ids_lookup": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "document_metadata": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(source[1]) || source[2:] || ' Vol ' || upper(lang[1]) || lang[2:] ELSE 'A Title' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'An Author' ELSE 'Unknown' END AS author FROM documents",
