@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Modules with QUERIES and ORACLE_SQL, by number of operator.
-MODULES = ("embeddings", "minhash", "mixing", "suffixes", "quality", "fingerprints", "urls", "records", "toxicity", "bpe", "words", "divergence")
+MODULES = ("embeddings", "minhash", "mixing", "suffixes", "quality", "fingerprints", "urls", "records", "toxicity", "bpe", "words", "divergence", "conversations")
 
 
 def _modules():
