@@ -21,6 +21,7 @@ empty table gives an empty one. Columns other than the key and the text aren't c
 
 from __future__ import annotations
 
+import array
 import base64
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ from .common import cleared, process_state, release_state, table
 #: Bytes of text whose words are numbered together; bytes of text for each bucket of words; buckets of a small corpus.
 BLOCK, BUCKET, MIN_BUCKETS = 32 << 20, 128 << 20, 48
 #: Encoded words that a task holds; beyond them it starts anew, and encodes a word a second time.
-KNOWN = 1_000_000
+KNOWN = 500_000
 #: Between words: a byte that UTF-8 doesn't have.
 BETWEEN = b"\xff"
 
@@ -87,6 +88,7 @@ class Block:
 
     def packed(self, block: int, n_buckets: int) -> Iterator[tuple]:
         """Rows of words by bucket, then rows of positions."""
+        self.encode.known.clear()
         counts = np.zeros(len(self.words), np.int64)
         for _, flat, _ in self.rows:
             counts += np.bincount(flat, minlength=len(counts))
@@ -100,8 +102,8 @@ class Block:
         for at in np.split(by_bucket, cuts[1:]) if len(words) else ():
             body = BETWEEN.join(map(words.__getitem__, at.tolist()))
             yield block, int(bucket[at[0]]), 0, squeezed(np.diff(at, prepend=0)), len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True), None, None
-        for keys, flat, sizes in self.rows:
-            yield block, block % n_buckets, 1, squeezed(number[flat]), None, keys, sizes.tolist()
+        for i, (keys, flat, sizes) in enumerate(self.rows):  # positions go along with words, evenly over the buckets
+            yield block, zlib.crc32(f"{block} {i}".encode()) % n_buckets, 1, squeezed(number[flat]), None, keys, sizes.tolist()
 
 
 def _batches(rows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -164,10 +166,10 @@ def encode_texts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
                     if len(known) + len(new) > KNOWN:
                         known.clear()
                         new = words
-                    known.update((w, encode(w)) for w in new)
+                    known.update((w, array.array("I", encode(w)).tobytes()) for w in new)
                     lists = list(map(known.__getitem__, words))
-                    counts = squeezed(np.fromiter(map(len, lists), np.uint32, len(lists)))
-                    body = len(counts).to_bytes(8, "little") + counts + squeezed(np.fromiter((x for y in lists for x in y), np.uint32))
+                    counts = squeezed(np.fromiter(map(len, lists), np.uint32, len(lists)) // 4)
+                    body = len(counts).to_bytes(8, "little") + counts + squeezed(np.frombuffer(b"".join(lists), "<u4"))
                     row = row.set_column(4, "words", pa.array([body], pa.binary()))
                 yield row
 
