@@ -10,7 +10,7 @@ The list's links at or above the threshold give groups. An audit compares a fres
 labels: recall is the share of a vector's links that lead into its own group, averaged over vectors and not over links, and
 while it is low there is another round. Links that an audit sees are never used.
 
-An exact check follows, so no link is left to the lists. Vectors are written to the shared folder in files of about
+An exact check follows, so no link is left to the lists: counts and components are those of the links it finds, and of nothing below the threshold. Vectors are written to the shared folder in files of about
 :data:`PART` bytes, in the order of label and group; tasks get pairs of files, fetch each file once for a run of pairs, compare in
 double precision in tiles of :data:`TILE`, and return counts of links and a spanning forest, no pairs. Two files
 whose centres are farther apart than their radii and the threshold's angle together are not compared: so groups
@@ -363,16 +363,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         if once.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             break  # no two vectors share a hash
     nodes = cut(once.join(once.groupBy("space").agg(F.count("*").alias("size")), "space"))
-    groups, _ = descended(nodes, threshold - 1e-9)
+    groups, _ = descended(nodes, threshold)
     folder = f"{shared_dir(df.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
     counts, links = checked(described(nodes, groups, folder), folder, threshold)
     remove_at_exit(df.sparkSession, folder)
-    # links between groups, by the groups' ids: what the descent has joined is not joined again
-    of = groups.select(F.col("id").alias("node"), "component")
-    ends = links.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
-    ends = ends.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
-    between = connected_components(ends).select(F.col("id").alias("component"), F.col("component").alias("joined"))
-    placed = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).join(between, "component", "left").select("node", "count", "head", F.coalesce("joined", "component").alias("component"))
+    # the descent has brought together what is alike; only pairs that the comparison has found to be links join anything
+    of = connected_components(links).select(F.col("id").alias("node"), "component")
+    placed = nodes.join(of, "node", "left").select("node", "count", "head", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("head").alias("least"))
     facts = placed.join(counts, "node", "left").join(least, "component").select("node", F.col("count").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), "least")
     out = hot_join(rows.select("id", "node"), facts, "node", "id", "left")

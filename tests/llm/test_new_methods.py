@@ -209,3 +209,14 @@ def test_repaired_rows(spark):
     got = [(r.conv_id, r.edit, r.role, r.text) for r in conversations.repaired_rows(df).orderBy("conv_id", "part", "seg", "place").collect()]
     assert [(e, r, t) for c, e, r, t in got if c == 1] == [("I", "user", ""), ("K", "assistant", "Hi."), ("K", "user", "Why?"), ("D", None, None), ("I", "assistant", "")]
     assert [(e, r, t) for c, e, r, t in got if c == 2] == [("D", None, None)]
+
+
+def test_nothing_below_the_threshold_is_joined(spark):
+    """Pairs 5e-10 below and above 0.98, each of its own label, and three vectors of which the outer two hang together by the middle one only."""
+    from lodeflow.llm import embeddings
+
+    at = lambda angle: [float(np.cos(angle)), float(np.sin(angle))]
+    step = float(np.arccos(0.985))
+    rows_ = [(1, at(0), 1), (2, at(np.arccos(0.98 - 5e-10)), 1), (3, at(0), 2), (4, at(np.arccos(0.98 + 5e-10)), 2), (5, at(0), 3), (6, at(step), 3), (7, at(2 * step), 3)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (1, 3, True), 4: (1, 3, False), 5: (1, 5, True), 6: (2, 5, False), 7: (1, 5, False)}
