@@ -37,7 +37,7 @@ from . import bpe
 from .common import cleared, process_state, release_state, table
 
 #: Bytes of text whose words are numbered together; bytes of text for each bucket of words; buckets of a small corpus.
-BLOCK, BUCKET, MIN_BUCKETS = 32 << 20, 128 << 20, 48
+BLOCK, BUCKET, MIN_BUCKETS = 16 << 20, 128 << 20, 48
 #: Encoded words that a task holds; beyond them it starts anew, and encodes a word a second time.
 KNOWN = 500_000
 #: Between words: a byte that UTF-8 doesn't have.
@@ -67,6 +67,12 @@ def loosened(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).reshape(-1).view("<u4")
 
 
+def emptied() -> None:
+    """A worker process begins a task without what the task before has left in it."""
+    release_state()
+    pa.default_memory_pool().release_unused()
+
+
 class Block:
     """The numbered words of some texts, and the numbers of their pre-tokens."""
 
@@ -117,7 +123,7 @@ def _packed(docs: DataFrame, n_buckets: int, key: T.DataType) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary()), ("keys", pa.list_(to_arrow_type(key))), ("sizes", pa.list_(pa.int64()))])
 
     def run(batches):
-        release_state()
+        emptied()
         place, held = TaskContext.get().partitionId() << 32, Block()
         for b in bpe.stretches(batches, 1):
             held.add(b.column(0).to_pylist(), b.column(1))
@@ -155,6 +161,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
 
     def join_ids(batches):
         """In place of a bucket's words: how many ids each has, and the ids, one after another."""
+        emptied()
         encode, known = ranked(file.value)._encode_single_piece, {}
         for b in batches:
             for i in range(b.num_rows):
@@ -176,6 +183,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     names = [ids, *([packed] if packed else [])]
 
     def assemble(batches):
+        emptied()
         block, counts, flats, numbers, starts, sizes, flat = None, [], [], [], None, None, None
         for b in batches:
             for i in range(b.num_rows):
