@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EvaluationError
+from ..functions import tails
 from .storage import settle
 
 #: Distinct values of a group that a resample is drawn from in one task.
@@ -39,24 +39,44 @@ def align(base: DataFrame, other: DataFrame, key: str = "id", value: str = "valu
 
 
 def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of ``by``: ``n_nonzero``, ``w`` (the lesser rank sum, average ranks for ties), ``z`` (normal, without tie correction)."""
-    d = pairs.withColumn("d", F.round(F.col("base") - F.col("other"), 9)).where("d != 0").withColumn("m", F.abs("d"))
+    """Per group of ``by``: ``n`` pairs, ``n_nonzero``, ``w`` (the lesser rank sum, average ranks for ties), ``z`` (normal, without tie correction) and the
+    two-sided ``p``: exact for up to :data:`tails.EXACT` pairs without ties or zeros, else normal with tie correction. A group
+    without differences has ``w`` and ``z`` 0 and ``p`` 1."""
+    d = pairs.withColumn("d", F.round(F.col("base") - F.col("other"), 9)).withColumn("m", F.abs("d"))
     sizes = d.groupBy(*by, "m").agg(F.count("*").alias("ties"), F.sum((F.col("d") > 0).cast("int")).alias("up"))
     order = Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn("rank", F.coalesce(F.sum("ties").over(order), F.lit(0)) + (F.col("ties") + 1) / 2)
-    per = ranked.groupBy(*by).agg(F.sum("ties").alias("n_nonzero"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("ties") - F.col("up"))).alias("minus"))
-    n, w = F.col("n_nonzero"), F.least("plus", "minus")
-    return per.select(*by, "n_nonzero", w.alias("w"), F.round((w - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 6).alias("z"))
+    apart = F.col("m") > 0
+    ranked = sizes.withColumn("rank", F.coalesce(F.sum(F.when(apart, F.col("ties"))).over(order), F.lit(0)) + (F.col("ties") + 1) / 2)
+    some = lambda c: F.coalesce(F.sum(F.when(apart, c)), F.lit(0))
+    ties = F.col("ties")
+    per = ranked.groupBy(*by).agg(
+        F.sum("ties").alias("n"), some(ties).alias("n_nonzero"), some(F.col("rank") * F.col("up")).alias("plus"), some(F.col("rank") * (ties - F.col("up"))).alias("minus"),
+        some((ties * ties * ties - ties).cast("double")).alias("tied"),
+    )
+    n, w = F.col("n_nonzero").cast("double"), F.least("plus", "minus")
+    shift, spread = w - n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
+    exact = (n <= tails.EXACT) & (F.col("n") == F.col("n_nonzero")) & (F.col("tied") == 0)
+    p = F.when(n == 0, 1.0).when(exact, tails.signed_rank_two_sided(w, F.when(exact, F.col("n_nonzero")).otherwise(0))).otherwise(tails.normal_two_sided(shift / F.sqrt(spread - F.col("tied") / 48)))
+    return per.select(*by, "n", "n_nonzero", w.cast("double").alias("w"), F.round(F.when(n == 0, 0.0).otherwise(shift / F.sqrt(spread)), 6).alias("z"), p.alias("p"))
 
 
 def paired_t(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of ``by``: ``n``, ``mean_difference``, ``t`` and the two-sided ``p``; the last two are null where differences don't vary."""
     d = pairs.withColumn("d", F.col("base") - F.col("other")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
-    return d.select(*by, "n", F.round("mean", 6).alias("mean_difference"), F.round(F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n"))), 6).alias("t"))
+    d = d.withColumn("t", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n"))))
+    return d.select(*by, "n", F.round("mean", 6).alias("mean_difference"), F.round("t", 6).alias("t"), tails.t_two_sided(F.col("t"), F.col("n") - 1).alias("p"))
 
 
-def holm(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
-    """Adds ``adjusted``: the step-down correction within a group of ``by``."""
-    order = Window.partitionBy(*by).orderBy(p, *[c for c in tests.columns if c != p and c not in by])
+def judged(tests: DataFrame, by: list[str], score: Column, family: list[str] | None = None) -> DataFrame:
+    """A table of tests with ``p`` gets ``adjusted`` (over a family of groups; all of them, if none is named), ``effect`` (:func:`effect_size` of
+    ``score`` and ``n``), ``flag`` and what it says. Probabilities are rounded to 6 decimals."""
+    out = holm(tests.withColumn("p", F.round("p", 6)), family or [], tie=by).withColumn("adjusted", F.round("adjusted", 6))
+    return out.withColumn("effect", F.round(effect_size(score, F.col("n")), 6)).withColumn("flag", flag(F.col("adjusted")))
+
+
+def holm(tests: DataFrame, by: list[str], p: str = "p", tie: list[str] | None = None) -> DataFrame:
+    """Adds ``adjusted``: the step-down correction within a group of ``by``; equal ones in order of ``tie``, else of all other columns."""
+    order = Window.partitionBy(*by).orderBy(p, *(tie or [c for c in tests.columns if c != p and c not in by]))
     stepped = tests.withColumn("step_", F.least(F.lit(1.0), F.col(p) * (F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(order) + 1)))
     return stepped.withColumn("adjusted", F.max("step_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step_")
 
@@ -74,47 +94,6 @@ def percentage_change(base: Column, new: Column) -> tuple[Column, Column]:
     return new - base, F.when(base != 0, (new - base) / base * 100).otherwise(0.0)
 
 
-def normal_p(z: float) -> float:
-    """Two-sided tail."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def t_p(t: float, df: int) -> float:
-    """Two-sided tail of Student's t, by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    front = math.exp(a * math.log(x) + b * math.log(1 - x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - front * _fraction(1 - x, b, a) / b
-    return front * _fraction(x, a, b) / a
-
-
-def _fraction(x: float, a: float, b: float) -> float:
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(tiny, 1 - (a + b) * x / (a + 1)) if abs(1 - (a + b) * x / (a + 1)) > tiny else 1 / tiny
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h
-
-
-def exact_wilcoxon_p(w: float, n: int) -> float:
-    """Two-sided, for untied samples: of the 2^n sign patterns those with a rank sum of ``w`` at most."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for r in range(1, n + 1):
-        for s in range(len(ways) - 1, r - 1, -1):
-            ways[s] += ways[s - r]
-    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
-
-
 def kappa(pairs: DataFrame, a: str, b: str, bins: int = 5) -> DataFrame:
     """Quadratically weighted agreement of two scores from 0 to 1, in bins (rounded half to even)."""
     bin_ = lambda c: F.least(F.lit(bins), F.greatest(F.lit(1), F.bround(F.col(c) * (bins - 1) + 1, 0).cast("int")))
@@ -139,10 +118,15 @@ def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
 
 
-def summary(evals: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """``n``, ``mean``, ``std`` (of the population), ``median`` per group, 4 decimals."""
+def summary(evals: DataFrame, by: list[str], value: str = "value", share: float = 0.95) -> DataFrame:
+    """``n``, ``mean``, ``std`` (of the population), ``median`` and the ends of the mean's interval by Student's t (``lower``, ``upper``; null for one
+    value) per group, 4 decimals."""
     r4 = lambda c: F.round(c, 4)
-    return evals.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), r4(F.avg(value)).alias("mean"), r4(F.stddev_pop(value)).alias("std"), r4(F.percentile(value, 0.5)).alias("median"))
+    got = evals.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean_"), F.stddev_samp(value).alias("sd_"), r4(F.stddev_pop(value)).alias("std"), r4(F.percentile(value, 0.5)).alias("median")
+    )
+    reach = F.when(F.col("n") > 1, tails.t_quantile(share, F.col("n") - 1) * F.col("sd_") / F.sqrt("n"))
+    return got.withColumn("reach_", reach).select(*by, "n", r4(F.col("mean_")).alias("mean"), "std", "median", r4(F.col("mean_") - F.col("reach_")).alias("lower"), r4(F.col("mean_") + F.col("reach_")).alias("upper"))
 
 
 def pivot_metrics(summaries: DataFrame, metrics: list[str], by: str = "condition", metric: str = "metric", value: str = "mean") -> DataFrame:

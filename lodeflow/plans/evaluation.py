@@ -59,11 +59,17 @@ def align_ids(spark, d):
 
 
 def wilcoxon(spark, d):
-    return st.wilcoxon(samples(spark, d), ["lang"])
+    return st.judged(st.wilcoxon(samples(spark, d), ["lang"]), ["lang"], F.col("z"))
+
+
+def wilcoxon_by_source(spark, d):
+    """The same for each source of a language: small samples, which have their exact distribution."""
+    s = samples(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return st.judged(st.wilcoxon(s, ["lang", "source"]), ["lang", "source"], F.col("z"), ["lang"])
 
 
 def paired_t(spark, d):
-    return st.paired_t(samples(spark, d), ["lang"])
+    return st.judged(st.paired_t(samples(spark, d), ["lang"]), ["lang"], F.col("t") / F.sqrt("n"))
 
 
 def holm(spark, d):
@@ -151,7 +157,7 @@ def engine_answers(spark, d):
     return Engine(chunks).index().query(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
 
 
-QUERIES = {f.__name__: f for f in (method_comparison, similarity_gold, answer_relevance, engine_answers, ranking_metrics, context_metrics, overlap_metrics, rouge_l, bleu, clinical_reliability, align_ids, wilcoxon, paired_t, holm, cohen_kappa, correlation, percentage_change, condition_summary, metric_pivot, error_classes, bootstrap_ci, ablation_grid)}
+QUERIES = {f.__name__: f for f in (method_comparison, similarity_gold, answer_relevance, engine_answers, ranking_metrics, context_metrics, overlap_metrics, rouge_l, bleu, clinical_reliability, align_ids, wilcoxon, wilcoxon_by_source, paired_t, holm, cohen_kappa, correlation, percentage_change, condition_summary, metric_pivot, error_classes, bootstrap_ci, ablation_grid)}
 
 _LISTS = "WITH " + retrieval.DENSE.format(tag="", which="q.vec_id % 20 = 0", k=10) + """,
 gold AS (SELECT q.vec_id AS qid, c.vec_id AS id FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)"""
@@ -175,6 +181,26 @@ x AS (SELECT condition, round(hits / n, 6) AS p, round(hits / n_gold, 6) AS r, (
 """
 
 
+#: Tails by Simpson's rule over the densities; the exact one by counting sign patterns.
+_SIMPSON = "list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {f})) * {x} / 6000"
+_Z_TAIL = "greatest(0.0, 1 - 2 * " + _SIMPSON.format(f="exp(-0.5::DOUBLE * ({z} * k / 2000) ** 2)", x="{z}") + " / sqrt(2 * pi()))"
+_T_TAIL = "greatest(0.0, 1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * " + _SIMPSON.format(f="pow(1 + (abs({t}) * k / 2000) ** 2 / {v}, -({v} + 1) / 2)", x="abs({t})") + ")"
+_PATTERNS = "2.0::DOUBLE * list_sum(list_reduce(list_prepend(list_transform(range(0, {n} * ({n} + 1) // 2 + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0 END), list_transform(range(1, {n} + 1), lambda r: [r::DOUBLE])), lambda acc, r: list_transform(acc, lambda x, i: x + CASE WHEN i - 1 >= r[1] THEN acc[(i - r[1])::INT] ELSE 0.0 END))[1:floor({w})::INT + 1]) / pow(2, {n})"
+_HOLM = """, st AS (SELECT *, row_number() OVER w AS k, least(1.0, p * (count(*) OVER ({family}) - row_number() OVER w + 1)) AS step FROM p WINDOW w AS ({family} ORDER BY p, {tie})),
+ad AS (SELECT *, round(max(step) OVER ({family} ORDER BY k), 6) AS adjusted FROM st)
+SELECT {columns}, p, adjusted, effect, CASE WHEN adjusted < 0.001 THEN '***' WHEN adjusted < 0.01 THEN '**' WHEN adjusted < 0.05 THEN '*' ELSE 'n.s.' END AS flag FROM ad"""
+
+
+def _signed_rank_sql(rows: str, by: str, family: str) -> str:
+    return f"""WITH {rows}, d AS (SELECT {by}, round(base - other, 9) AS d FROM samples), g AS (SELECT {by}, count(*) AS n FROM d GROUP BY ALL),
+r AS (SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY {by}, abs(d)) AS ties FROM d WHERE d <> 0),
+w0 AS (SELECT {by}, count(*) AS nz, coalesce(sum(r) FILTER (d > 0), 0) AS up, coalesce(sum(r) FILTER (d < 0), 0) AS down, sum(ties * ties - 1) AS tied FROM r GROUP BY ALL),
+w AS (SELECT {', '.join('g.' + c.strip() for c in by.split(','))}, n, coalesce(nz, 0) AS n_nonzero, coalesce(least(up, down), 0)::DOUBLE AS w, coalesce(tied, 0) AS tied FROM g LEFT JOIN w0 USING ({by})),
+v AS (SELECT *, w - n_nonzero * (n_nonzero + 1) / 4 AS shift, n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24 AS spread, n_nonzero = n AND tied = 0 AND n <= 50 AS exact FROM w),
+p0 AS (SELECT *, CASE WHEN n_nonzero = 0 THEN 0.0 ELSE round(shift / sqrt(spread), 6) END AS z, CASE WHEN n_nonzero = 0 THEN 1.0 WHEN exact THEN least(1.0, {_PATTERNS.format(n="n", w="w")}) ELSE {_Z_TAIL.format(z="abs(shift / sqrt(spread - tied / 48))")} END AS p0 FROM v),
+p AS (SELECT {by}, n, n_nonzero, w, z, round(p0, 6) AS p, round(abs(z) / sqrt(n), 6) AS effect FROM p0)""" + _HOLM.format(family=family, tie=by, columns=f"{by}, n, n_nonzero, w, z")
+
+
 ORACLE_SQL = {
     "method_comparison": _judged_sql(METHODS) + "SELECT condition AS method, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(h), 4) AS hit_rate, round(avg(m), 4) AS mrr, round(avg(g), 4) AS ndcg, NULL::DOUBLE AS faithfulness, NULL::DOUBLE AS hallucination, NULL::DOUBLE AS reliability, NULL::DOUBLE AS overall FROM x GROUP BY condition",
     "similarity_gold": "WITH " + retrieval.DENSE.format(tag="", which="q.vec_id % 20 = 0", k=20) + ", s AS (SELECT qid, count(*) FILTER (score >= 0.3 AND rank <= 5) AS h, count(*) FILTER (score >= 0.3) AS r FROM dense GROUP BY qid) SELECT qid, round(h / 5, 6) AS precision, CASE WHEN r > 0 THEN round(h / r, 6) ELSE 0.0 END AS recall, (h > 0)::INT::DOUBLE AS accuracy FROM s",
@@ -191,10 +217,9 @@ SELECT aid, round(CASE WHEN len(a) = 0 OR len(b) = 0 OR row[-1] = 0 THEN 0.0 ELS
     "bleu": _T + ", g AS (SELECT *, " + ", ".join(f"CASE WHEN len({x}) >= {k} THEN {_GRAM.format(x, k - 1)} ELSE [] END AS {x}{k}" for x in "ab" for k in (1, 2, 3, 4)) + " FROM tk), h AS (SELECT *, " + ", ".join(f"{_HITS.format(f'a{k}', f'b{k}')} AS h{k}, len(a{k}) AS t{k}" for k in (1, 2, 3, 4)) + f" FROM g) SELECT aid, {_bleu(1)}, {_bleu(2)}, {_bleu(4)} FROM h",
     "clinical_reliability": "WITH " + SAMPLES + " SELECT id, round(greatest(0, least(1, 0.3::DOUBLE * base + 0.3::DOUBLE * other + 0.2::DOUBLE * (1 - (1 - base)) + 0.1::DOUBLE * 1 + 0.1::DOUBLE * 0.5)), 4) AS score FROM samples",
     "align_ids": "WITH " + SAMPLES + " SELECT id, round(base, 6) AS base, round(other, 6) AS other FROM samples WHERE id % 3 <> 0 AND id % 5 <> 0",
-    "wilcoxon": "WITH " + SAMPLES + """, d AS (SELECT lang, round(base - other, 9) AS d FROM samples), r AS (SELECT lang, d, rank() OVER (PARTITION BY lang ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0),
-w AS (SELECT lang, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS p, coalesce(sum(r) FILTER (d < 0), 0) AS m FROM r GROUP BY lang)
-SELECT lang, n AS n_nonzero, least(p, m) AS w, round((least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w""",
-    "paired_t": "WITH " + SAMPLES + " SELECT lang, count(*) AS n, round(avg(base - other), 6) AS mean_difference, round(avg(base - other) / (stddev_samp(base - other) / sqrt(count(*))), 6) AS t FROM samples GROUP BY lang",
+    "wilcoxon": _signed_rank_sql(SAMPLES, "lang", ""),
+    "wilcoxon_by_source": _signed_rank_sql(SAMPLES.replace("SELECT lang,", "SELECT lang, source,", 1), "lang, source", "PARTITION BY lang"),
+    "paired_t": "WITH " + SAMPLES + ", s AS (SELECT lang, count(*) AS n, avg(base - other) AS mean, avg(base - other) / (stddev_samp(base - other) / sqrt(count(*))) AS t FROM samples GROUP BY lang), p AS (SELECT lang, n, round(mean, 6) AS mean_difference, round(t, 6) AS t, round(" + _T_TAIL.format(t="t", v="(n - 1)") + ", 6) AS p, round(abs(round(t, 6) / sqrt(n)) / sqrt(n), 6) AS effect FROM s)" + _HOLM.format(family="", tie="lang", columns="lang, n, mean_difference, t"),
     "holm": """WITH p AS (SELECT lang, doc_id, (n_chars % 1000 + 1) / 100000.0::DOUBLE AS p FROM documents), s AS (SELECT *, row_number() OVER w AS k, least(1.0, p * (count(*) OVER (PARTITION BY lang) - row_number() OVER w + 1)) AS step FROM p WINDOW w AS (PARTITION BY lang ORDER BY p, doc_id)),
 a AS (SELECT lang, doc_id, round(max(step) OVER (PARTITION BY lang ORDER BY k), 6) AS adjusted FROM s) SELECT *, CASE WHEN adjusted < 0.001 THEN '***' WHEN adjusted < 0.01 THEN '**' WHEN adjusted < 0.05 THEN '*' ELSE 'n.s.' END AS flag FROM a""",
     "cohen_kappa": "WITH " + SAMPLES + """, b AS (SELECT round_even(base * 4 + 1, 0)::INT AS x, round_even(other * 4 + 1, 0)::INT AS y FROM samples), s AS (SELECT sum((x - y) ** 2) AS seen, count(*) AS n FROM b),
@@ -202,7 +227,9 @@ e AS (SELECT sum(p.n * q.n * (p.x - q.y) ** 2) AS due FROM (SELECT x, count(*) A
     "correlation": "WITH " + SAMPLES + """, r AS (SELECT base, other, rank() OVER (ORDER BY base) + (count(*) OVER (PARTITION BY base) - 1) / 2 AS ra, rank() OVER (ORDER BY other) + (count(*) OVER (PARTITION BY other) - 1) / 2 AS rb FROM samples)
 SELECT round(corr(base, other), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r""",
     "percentage_change": "WITH " + SAMPLES + ", m AS (SELECT lang, avg(base) AS b, avg(other) AS o FROM samples GROUP BY lang) SELECT lang, round(o - b, 6) AS difference, round((o - b) / b * 100, 4) AS percent FROM m",
-    "condition_summary": "WITH " + SAMPLES + ", l AS (SELECT lang, 'base' AS metric, base AS value FROM samples UNION ALL SELECT lang, 'other', other FROM samples) SELECT lang, metric, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(median(value), 4) AS median FROM l GROUP BY ALL",
+    "condition_summary": "WITH " + SAMPLES + """, l AS (SELECT lang, 'base' AS metric, base AS value FROM samples UNION ALL SELECT lang, 'other', other FROM samples), m AS (SELECT lang, metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, stddev_pop(value) AS std, median(value) AS median FROM l GROUP BY ALL),
+q AS (SELECT *, 1.959963984540054::DOUBLE AS z, n - 1 AS v FROM m), t AS (SELECT *, (z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3) + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * v ** 4)) * sd / sqrt(n) AS reach FROM q)
+SELECT lang, metric, n, round(mean, 4) AS mean, round(std, 4) AS std, round(median, 4) AS median, round(mean - reach, 4) AS lower, round(mean + reach, 4) AS upper FROM t""",
     "metric_pivot": "WITH " + SAMPLES + " SELECT lang AS condition, round(avg(base), 4) AS base, round(avg(other), 4) AS other FROM samples GROUP BY lang",
     "error_classes": "WITH " + SAMPLES + ", f AS (SELECT id, CASE WHEN base < 0.85 THEN 'Retrieval/Deduplication Failure' WHEN other < 0.85 THEN 'Grounding/NLI Failure' WHEN (base + other) / 2 < 0.85 THEN 'Generation/Intent Failure' END AS failure FROM samples) SELECT * FROM f WHERE failure IS NOT NULL",
     "ablation_grid": _judged_sql(CONDITIONS) + "SELECT condition, count(*) AS n, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(h), 4) AS hit, round(avg(m), 4) AS mrr, round(avg(g), 4) AS ndcg FROM x GROUP BY condition",
