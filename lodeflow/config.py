@@ -28,6 +28,11 @@ class Settings:
     well_grounded: float = 0.7
     hub_degree: int = 100
     max_hops: int = 2
+    probes: int = 0
+    rrf_k: int = 60
+    variants: int = 4
+    fused_cap: int = 30
+    per_channel: int = 15
 
     @classmethod
     def load(cls, path: str | None = None, **overrides) -> Settings:

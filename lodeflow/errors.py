@@ -23,3 +23,4 @@ RerankError = _stage("RerankError", "candidates can't be ranked again")
 GenerationError = _stage("GenerationError", "an answer can't be generated")
 GroundingError = _stage("GroundingError", "weights of grounding are invalid")
 EvaluationError = _stage("EvaluationError", "samples can't be aligned or tested")
+StoreError = _stage("StoreError", "a version can't be committed")

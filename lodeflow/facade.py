@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models
 from .config import Settings
 from .errors import IndexError_, RetrievalError
-from .operators import answers, bm25, entities, fusion, graph, grounding, rerank, vectors
+from .operators import ann, answers, bm25, entities, fusion, graph, grounding, rerank
 from .operators.storage import settle
+from .sources import versions
 
 
 @dataclass
 class Engine:
-    """``chunks`` has chunk_id (long), text, source, page."""
+    """``chunks`` has chunk_id (long), text, source, page. :meth:`index` builds what is asked; :meth:`save` and :meth:`load` keep it in a folder
+    between sessions, as versions that are whole or not there."""
 
     chunks: DataFrame
     settings: Settings = Settings()
@@ -26,31 +28,64 @@ class Engine:
     generator: models.Generator = staticmethod(models.extractive_generator)
 
     def index(self) -> Engine:
-        """Builds what questions are asked against: term statistics, vectors, mentions, edges."""
+        """Builds what questions are asked against: term statistics, vectors in lists, mentions, nodes, edges."""
         if self.chunks.isEmpty():
             raise IndexError_("there are no chunks")
         self.terms = bm25.index(self.chunks, "chunk_id")
-        self.vectors = settle(self.chunks.select(F.col("chunk_id").alias("vec_id"), self.encoder.documents(F.col("text")).alias("embedding")))
+        self.vectors = ann.build(self.chunks.select((F.col("chunk_id") * 2).alias("vec_id"), self.encoder.documents(F.col("text")).alias("embedding")))  # questions are not chunks: odd and even
         self.mentions = settle(self.extractor(self.chunks.select("chunk_id", "text")))
         self.edges = settle(graph.edges(entities.relations(self.mentions)))
+        self.nodes = settle(graph.nodes(self.mentions))
         return self
 
+    def save(self, folder: str, after: int | None = None) -> int:
+        """Commits chunks and index to ``folder`` as its next version, and gives its number. An error leaves the folder's versions as they were."""
+        if not hasattr(self, "terms"):
+            raise IndexError_("there is no index to save")
+        tables = {
+            "chunks": self.chunks, "postings": bm25.pack(self.terms) if self.terms.packed is None else self.terms.packed, "idf": self.terms.idf, "totals": self.terms.totals, "blocks": self.vectors.blocks, "centres": self.vectors.centres,
+            "mentions": self.mentions, "nodes": self.nodes, "edges": self.edges,
+        }
+        done = versions.commit(self.chunks.sparkSession, folder, tables, {"settings": asdict(self.settings)}, after, {"postings": ["slot"]})
+        return done.number
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, version: int | None = None, settings: Settings | None = None, **models_) -> Engine:
+        """An engine on a saved version, the last unless one is named, with the settings it was saved with. Models are not saved: the
+        encoder and extractor have to be those that it was indexed with."""
+        at = versions.open_version(spark, folder, version)
+        out = cls(at.read(spark, "chunks"), settings or Settings(**at.facts["settings"]), **models_)
+        out.terms = bm25.stored(at.read(spark, "postings"), at.read(spark, "idf"), at.read(spark, "totals"))
+        out.vectors = ann.Lists(at.read(spark, "blocks"), at.read(spark, "centres"))
+        out.mentions, out.nodes, out.edges = (at.read(spark, name) for name in ("mentions", "nodes", "edges"))
+        out.version = at.number
+        return out
+
     def seeds(self, questions: DataFrame) -> DataFrame:
         """Entities of the graph that a question names: qid, ordinal, seed."""
         named = questions.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(entities.ENTITY_WORD), F.lit(0)))).alias("seed"))
-        known = self.mentions.select(F.col("entity").alias("seed")).distinct()
+        known = self.nodes.select(F.col("node").alias("seed"))
         return named.join(known, "seed", "left_semi").select("qid", "seed")
 
+    def dense(self, questions: DataFrame, k: int) -> DataFrame:
+        """``qid``, ``id``, ``score``, ``rank`` of the nearest chunks; exact, unless the settings name a number of lists to search."""
+        asked = questions.select((F.col("qid") * 2 + 1).alias("vec_id"), self.encoder.query(F.col("query")).alias("embedding"))
+        near, _ = ann.search(self.vectors, asked, k, self.settings.probes or 4, certified=not self.settings.probes)
+        return near.select(F.expr("(qid - 1) div 2").alias("qid"), F.expr("id div 2").alias("id"), "score", "rank")
+
+    def words(self, questions: DataFrame, k: int) -> DataFrame:
+        return bm25.search(self.terms, questions, k).select("qid", F.col("doc_id").alias("id"), "score", "rank")
+
+    def walked(self, seeds: DataFrame, k: int) -> DataFrame:
+        return graph.retrieve(self.edges, self.mentions, seeds, k, self.settings.max_hops, self.settings.hub_degree).select("qid", "id", "score", "rank")
+
     def signals(self, questions: DataFrame) -> DataFrame:
         """qid, id, signal, raw. BM25 is asked twice: with the question, and with its entities added; the better score holds."""
         pool, seeds = self.settings.pool, settle(self.seeds(questions))
-        asked = questions.select(F.col("qid").alias("vec_id"), self.encoder.query(F.col("query")).alias("embedding"))
-        shifted = vectors.nearest(self.vectors.withColumn("vec_id", F.col("vec_id") * 2), asked.withColumn("vec_id", F.col("vec_id") * 2 + 1), pool)  # questions are not chunks: odd and even
-        dense = shifted.select(F.expr("(qid - 1) div 2").alias("qid"), F.expr("id div 2").alias("id"), F.lit("dense").alias("signal"), F.col("score").alias("raw"))
         more = questions.join(seeds.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("seed")), " ").alias("names")), "qid", "left").select("qid", F.concat_ws(" ", "query", "names").alias("query"))
-        words = [bm25.search(self.terms, q, pool).select("qid", F.col("doc_id").alias("id"), F.lit("bm25").alias("signal"), F.col("score").alias("raw")) for q in (questions, more)]
-        walked = graph.retrieve(self.edges, self.mentions, seeds, pool, self.settings.max_hops, self.settings.hub_degree).select("qid", "id", F.lit("graph").alias("signal"), F.col("score").alias("raw"))
-        return fusion.strongest(dense.unionByName(words[0]).unionByName(words[1]).unionByName(walked))
+        found = [("dense", self.dense(questions, pool)), ("bm25", self.words(questions, pool)), ("bm25", self.words(more, pool)), ("graph", self.walked(seeds, pool))]
+        rows = [df.select("qid", "id", F.lit(name).alias("signal"), F.col("score").alias("raw")) for name, df in found]
+        return fusion.strongest(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
 
     def retrieve(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         s = self.settings

@@ -15,13 +15,17 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (doc_id, term, tf, dl) and ``idf`` (term, df, idf)."""
+    """``postings`` (doc_id, term, tf, dl), ``idf`` (term, df, idf), ``totals`` (n_docs, avgdl), and of a stored index the ``packed`` postings."""
 
     postings: DataFrame
     idf: DataFrame
     totals: DataFrame
+    packed: DataFrame | None = None
 
 
+#: Folders of a stored index, by hash of term; postings of one of its rows.
+SLOTS, ROW = 64, 4_096
+
 #: Question terms that are broadcast, about 100 bytes each; more are joined by a shuffle.
 FEW = 1_000_000
 
@@ -48,13 +52,45 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", epsilon: flo
     return Index(postings, idf, totals)
 
 
+def slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+
+
+def pack(ix: Index) -> DataFrame:
+    """Postings by term, as an index is stored: ``slot``, ``term``, ``block`` and its ``postings`` (doc_id, tf, dl), about :data:`ROW` at most, so that
+    a frequent term is many rows. Such terms are few: each has more than :data:`ROW` documents."""
+    frequent = ix.idf.where(F.col("df") > ROW).select("term", F.ceil(F.col("df") / ROW).cast("int").alias("blocks"))
+    dealt = ix.postings.join(frequent, "term", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    rows = dealt.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings"))
+    return rows.select(slot(F.col("term")).alias("slot"), "term", "block", "postings")
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    return packed.select("term", F.explode("postings").alias("p")).select("p.doc_id", "term", "p.dl", "p.tf")
+
+
+def stored(packed: DataFrame, idf: DataFrame, totals: DataFrame) -> Index:
+    """The index that :func:`pack` and its other two tables were made of."""
+    return Index(unpacked(packed), idf, totals, packed)
+
+
+def _asked_postings(ix: Index, asked: DataFrame) -> DataFrame:
+    """The postings of the asked terms. A stored index is read in the folders of these terms only, and a row's postings are
+    unpacked once its term is known to be asked."""
+    if ix.packed is None:
+        return ix.postings
+    slots = [r[0] for r in asked.select(slot(F.col("term"))).distinct().collect()]  # SLOTS numbers at most
+    rows = ix.packed.where(F.col("slot").isin(slots)) if len(slots) < SLOTS else ix.packed
+    return unpacked(rows.join(asked.select("term").distinct(), "term", "left_semi"))
+
+
 def search(ix: Index, queries: DataFrame, k: int, key: str = "qid", text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """``key``, ``doc_id``, ``score`` (6 decimals), ``rank``; a term repeated in a query counts as often. ``k`` rows at most for a query, then
     those above 0. Postings meet the asked terms where they are, if these are few; scores are summed there first."""
     named = queries.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
     asked = settle(named.join(ix.idf, "term"))
     asked = F.broadcast(asked) if asked.count() <= FEW else asked
-    hits = ix.postings.join(asked, "term").join(F.broadcast(ix.totals), F.lit(True))
+    hits = _asked_postings(ix, asked).join(asked, "term").join(F.broadcast(ix.totals), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(key, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
