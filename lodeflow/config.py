@@ -33,6 +33,7 @@ class Settings:
     variants: int = 4
     fused_cap: int = 30
     per_channel: int = 15
+    edge_kinds: tuple[str, ...] | None = None
 
     @classmethod
     def load(cls, path: str | None = None, **overrides) -> Settings:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,33 @@ class Engine:
         fused = fusion.weighted(settle(self.signals(questions)), fusion.weights(s.dense_weight, s.bm25_weight, s.graph_weight), self.chunks.select(F.col("chunk_id").alias("id"), "text", "source", "page"))
         return fusion.near_tie_cutoff(fused, "fused", k or s.final_top_k, s.near_tie_gap, s.near_tie_extra)
 
+    def fused_retrieve(self, questions: DataFrame, k: int = 5, expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The ``k`` best by the pair scorer among what all channels find: vectors for each variant of a question (its own words, and what ``expand`` gives as qid,
+        ordinal, variant), BM25 for the question with the graph's terms, and the graph from its entities and those terms. Lists are fused by reciprocal
+        ranks, and candidates judged against the question itself. ``failed`` says which channels gave nothing because of an error."""
+        s = self.settings
+        seeds = settle(self.seeds(questions))
+        terms = settle(graph.expand(self.edges, seeds, s.edge_kinds))
+
+        def dense() -> DataFrame:
+            variants = fusion.distinct_variants(models.paraphrases(questions, expand), s.variants)
+            near = self.dense(variants.select((F.col("qid") * s.variants + F.col("place") - 1).alias("qid"), F.col("variant").alias("query")), s.per_channel)
+            return near.select(F.floor(F.col("qid") / s.variants).cast("long").alias("qid"), F.pmod("qid", F.lit(s.variants)).alias("variant"), "id", "rank", "score")
+
+        def words() -> DataFrame:
+            more = terms.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), " ").alias("terms"))
+            return self.words(questions.join(more, "qid", "left").select("qid", F.concat_ws(" ", "query", "terms").alias("query")), s.per_channel)
+
+        def walked() -> DataFrame:
+            return self.walked(seeds.union(terms.select("qid", F.col("term").alias("seed"))).distinct(), s.per_channel)
+
+        lists, self.failed = fusion.gather({"dense": dense, "bm25": words, "graph": walked})
+        if lists is None:
+            raise RetrievalError("; ".join(f"{name}: {e}" for name, e in self.failed.items()))
+        found = fusion.candidates(lists, s.fused_cap, s.rrf_k).withColumnRenamed("place", "rank")
+        texts = self.chunks.select(F.col("chunk_id").alias("id"), "text", "source", "page")
+        return self.rerank(questions, found.join(texts, "id"), k)
+
     def rerank(self, questions: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         """Candidates without near-duplicates, in order of the pair scorer less penalties."""
         rows = candidates.join(questions, "qid").withColumn("place", F.col("rank"))
@@ -99,11 +127,12 @@ class Engine:
         scored = kept.withColumn("score", F.round(self.scorer(F.col("query"), F.col("text")) - rerank.penalty(F.col("query"), F.col("text")), 6)).drop("rank")
         return rerank.top(scored, k)
 
-    def query(self, questions: DataFrame, k: int = 5) -> DataFrame:
-        """``questions`` (qid long, query) to qid, answer, faithfulness, grounded_ratio, is_well_grounded, sources."""
+    def query(self, questions: DataFrame, k: int = 5, fused: bool = False, expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """``questions`` (qid long, query) to qid, answer, faithfulness, grounded_ratio, is_well_grounded, sources. Passages come from :meth:`retrieve` and
+        :meth:`rerank`, or with ``fused`` from :meth:`fused_retrieve`."""
         if not 1 <= k <= 20:
             raise RetrievalError("top_k is between 1 and 20")
-        ranked = settle(self.rerank(questions, self.retrieve(questions, 2 * k), k))
+        ranked = settle(self.fused_retrieve(questions, k, expand) if fused else self.rerank(questions, self.retrieve(questions, 2 * k), k))
         prompts = answers.prompts(questions.withColumnRenamed("query", "question"), ranked, strict=False).join(ranked.where("rank = 1").select("qid", F.col("text").alias("best")), "qid")
         replies = settle(self.generator(prompts))
         s = self.settings

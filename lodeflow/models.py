@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import let, terms, word_set
-from .operators import answers, entities
+from .operators import answers, calls, entities
 
 
 class Encoder(Protocol):
@@ -82,6 +82,16 @@ def extractive_generator(prompts: DataFrame) -> DataFrame:
 
 
 def paraphrases(queries: DataFrame, generate=None) -> DataFrame:
-    """Query variants (qid, ordinal, variant): the query itself, then what ``generate`` (a function of the table) adds, if given."""
+    """Query variants (qid, ordinal, variant): the query itself, then what ``generate`` (a function of the table) adds, if given. :func:`expansions` makes such
+    a function of a model."""
     own = queries.select("qid", F.lit(0).alias("ordinal"), F.col("query").alias("variant"))
     return own if generate is None else own.unionByName(generate(queries))
+
+
+def expansions(call: calls.Call, wordings: int = 2, passage: bool = True, **how):
+    """What adds other wordings of a query, and a passage that would answer it. Where the model fails, a query has fewer variants."""
+    def generate(queries: DataFrame) -> DataFrame:
+        said = calls.paraphrased(queries, call, wordings, **how)
+        return said.unionByName(calls.hypothetical(queries, call, **how)) if passage else said
+
+    return generate

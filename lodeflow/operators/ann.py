@@ -55,7 +55,15 @@ def _units(b):
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
         x = flat[(ends[at] - n)[:, None] + np.arange(n)]
-        yield n, at, x / np.maximum(np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True), 1e-300)
+        yield n, at, _unit(x)
+
+
+def _unit(x):
+    """Rows of length 1, however small or large they were."""
+    import numpy as np
+
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _fit(rows: DataFrame, n_lists: int, sample: int, rounds: int) -> DataFrame:
@@ -65,8 +73,7 @@ def _fit(rows: DataFrame, n_lists: int, sample: int, rounds: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        x = np.array(pdf.sort_values(["hash", "id"])["v"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.array(pdf.sort_values(["hash", "id"])["v"].tolist(), np.float64))
         centres = np.unique(x, axis=0)
         centres = x[: max(1, min(n_lists, len(centres)))].copy()
         for _ in range(rounds):

@@ -47,6 +47,23 @@ def headings(pages: DataFrame) -> DataFrame:
     return found.select("source_file", "page_number", "ordinal", _strip(F.col("line")).alias("heading"), F.when(F.col("line").rlike(CHAPTER), "chapter").otherwise("section").alias("level"))
 
 
+def font_headings(lines: DataFrame, times: float = 1.25) -> DataFrame:
+    """Headings by size of type: ``lines`` (source_file, page_number, ordinal, spans of size and text) to ``source_file``, ``page_number``, ``ordinal``, ``heading``, ``level``,
+    ``size``. A line is one if the mean size of its spans is above ``times`` the upper median of all spans of its page, or if it looks like one. The median
+    comes from counts by size, so a page of any length is a few rows; blank lines have no heading, but their spans count."""
+    page = ["source_file", "page_number"]
+    sizes = lines.select(*page, F.explode("spans.size").alias("size")).groupBy(*page, "size").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*page).orderBy("size"))
+    places = sizes.withColumn("upto", upto).withColumn("middle", F.floor(F.sum("n").over(Window.partitionBy(*page)) / 2) + 1)
+    median = places.where("upto >= middle").groupBy(*page).agg(F.min("size").alias("median"))
+    text = F.array_join("spans.text", "")
+    mean = F.aggregate("spans.size", F.lit(0.0), lambda a, x: a + x) / F.size("spans")
+    rows = lines.where(F.size("spans") > 0).select(*page, "ordinal", _strip(text).alias("heading"), mean.alias("size")).where(F.col("heading") != "").join(median, page)
+    chapter = F.col("heading").rlike(CHAPTER)
+    found = rows.where((F.col("size") > times * F.col("median")) | chapter | F.col("heading").rlike(SECTION_LINE))
+    return found.select(*page, "ordinal", "heading", F.when(chapter, "chapter").otherwise("section").alias("level"), "size")
+
+
 def heading_of_page(pages: DataFrame, heads: DataFrame) -> DataFrame:
     """As-of join: each page's ``heading`` is the first one of the last page with headings up to it."""
     first = heads.groupBy("source_file", "page_number").agg(F.min_by("heading", "ordinal").alias("own"))

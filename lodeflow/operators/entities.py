@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, squeeze
+from ..functions.text import let, sentences, squeeze
 from .storage import settle
 
 ENTITY_WORD = r"[\p{L}]+"
@@ -24,14 +24,30 @@ def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", leng
     return counts.join(F.broadcast(total), F.col("df") <= F.col("most_")).select("entity", "df")
 
 
+def placed_words(words: Column) -> Column:
+    """Words with their places in the string that they make with single spaces, as (start, surface). A fold copies what it has gathered, so it runs
+    over blocks of about the root of the number of words, and then over the blocks: a sentence of any length takes time near its length."""
+    empty = F.struct(F.array().cast("array<struct<start:int,surface:string>>").alias("done"), F.lit(0).alias("at"))
+    place = lambda a, w: F.struct(F.concat(a["done"], F.array(F.struct(a["at"].alias("start"), w.alias("surface")))).alias("done"), (a["at"] + F.char_length(w) + 1).alias("at"))
+    add = lambda a, f: F.struct(F.concat(a["offsets"], F.array(a["at"])).alias("offsets"), (a["at"] + f["at"]).alias("at"))
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v["w"]) - 1) / v["step"]).cast("int")), lambda i: F.aggregate(F.slice(v["w"], i * v["step"] + 1, v["step"]), empty, place))
+
+    def joined(folded: Column) -> Column:
+        offsets = F.aggregate(folded, F.struct(F.array().cast("array<int>").alias("offsets"), F.lit(0).alias("at")), add, lambda a: a["offsets"])
+        return F.flatten(F.zip_with(folded, offsets, lambda f, o: F.transform(f["done"], lambda w: F.struct((w["start"] + o).alias("start"), w["surface"].alias("surface")))))
+
+    split = F.struct(words.alias("w"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(words))).cast("int")).alias("step"))
+    return let(let(split, blocks), joined)
+
+
 def mentions(chunks: DataFrame, entities: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """``chunk_id``, ``sentence``, ``ordinal`` (place of the word in its sentence), ``start`` (its first character there), ``length``, ``surface``,
     ``entity``. Words get their places in their own row; those of the gazetteer are found where they are if it is small."""
     rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
     words = F.split(F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")), " ")
-    empty = F.struct(F.array().cast("array<struct<start:int,surface:string>>").alias("done"), F.lit(0).alias("at"))
-    step = lambda a, w: F.struct(F.concat(a["done"], F.array(F.struct(a["at"].alias("start"), w.alias("surface")))).alias("done"), (a["at"] + F.char_length(w) + 1).alias("at"))
-    placed = rows.select("chunk_id", "sentence", F.char_length("s").alias("length"), F.posexplode(F.aggregate(words, empty, step, lambda a: a["done"])).alias("ordinal", "w"))
+    placed = rows.select("chunk_id", "sentence", F.char_length("s").alias("length"), F.posexplode(placed_words(words)).alias("ordinal", "w"))
     named = placed.select("chunk_id", "sentence", "ordinal", "w.start", "length", "w.surface", squeeze(F.col("w.surface")).alias("entity")).where(F.char_length("entity") > 0)
     known = settle(entities.select("entity"))
     known = F.broadcast(known) if known.count() <= FEW else known

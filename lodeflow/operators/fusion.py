@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RetrievalError
+from .storage import settle
 
 
 def min_max(signals: DataFrame) -> DataFrame:
@@ -95,6 +100,34 @@ def reciprocal_rank(lists: DataFrame, k: int = 60) -> DataFrame:
     )
 
 
+def gather(channels: dict[str, Callable[[], DataFrame]], workers: int = 6) -> tuple[DataFrame | None, dict[str, Exception]]:
+    """The ranked lists of several channels as one table, ``qid``, ``retriever``, ``variant``, ``id``, ``rank``, ``score``, and what failed. A channel is a function that gives a list for all
+    questions and variants at once; channels run side by side, ``workers`` at a time. One that fails, when it is planned or when it runs, gives no rows."""
+    def run(item: tuple[str, Callable[[], DataFrame]]) -> DataFrame | Exception:
+        name, make = item
+        try:
+            rows = make()
+            variant = F.col("variant") if "variant" in rows.columns else F.lit(0)
+            return settle(rows.select("qid", F.lit(name).alias("retriever"), variant.cast("int").alias("variant"), "id", F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score")))
+        except Exception as e:  # noqa: BLE001  whatever a channel raises, the others go on
+            logging.getLogger(__name__).warning("channel %s failed: %s", name, e)
+            return e
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        got = dict(zip(channels, pool.map(run, channels.items()), strict=True))
+    found = [x for x in got.values() if isinstance(x, DataFrame)]
+    out = found[0] if found else None
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out, {k: x for k, x in got.items() if isinstance(x, Exception)}
+
+
+def candidates(lists: DataFrame, cap: int = 30, k: int = 60) -> DataFrame:
+    """``qid``, ``id``, ``rrf``, ``retrievers``, ``representative``, ``place``: the ``cap`` best of each question by reciprocal ranks over all its lists."""
+    order = Window.partitionBy("qid").orderBy(F.desc("rrf"), "id")
+    return reciprocal_rank(lists, k).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+
+
 def distinct_variants(variants: DataFrame, most: int = 4) -> DataFrame:
     """Query variants (qid, ordinal, variant): distinct without regard to case, the first kept, ``most`` for a query."""
     first = variants.groupBy("qid", F.lower(F.trim("variant")).alias("folded")).agg(F.min(F.struct("ordinal", "variant")).alias("f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +27,10 @@ def nodes(found: DataFrame, rels: DataFrame | None = None) -> DataFrame:
 
 def edges(rels: DataFrame) -> DataFrame:
     """``subject``, ``predicate``, ``object``, ``weight`` (count), ``confidence`` (greatest), ``n_chunks``; self-loops and empty ends are dropped."""
-    named = rels.withColumn("subject", squeeze(F.col("subject"))).withColumn("object", squeeze(F.col("object")))
+    once = rels.groupBy("chunk_id", "subject", "predicate", "object").agg(F.count("*").alias("weight"), F.max("confidence").alias("confidence"))  # pairs are many, names of a chunk few
+    named = once.withColumn("subject", squeeze(F.col("subject"))).withColumn("object", squeeze(F.col("object")))
     kept = named.where((F.col("subject") != "") & (F.col("object") != "") & (F.col("subject") != F.col("object")))
-    return kept.groupBy("subject", "predicate", "object").agg(F.count("*").alias("weight"), F.max("confidence").alias("confidence"), F.countDistinct("chunk_id").alias("n_chunks"))
+    return kept.groupBy("subject", "predicate", "object").agg(F.sum("weight").alias("weight"), F.max("confidence").alias("confidence"), F.countDistinct("chunk_id").alias("n_chunks"))
 
 
 def stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
@@ -116,9 +119,14 @@ def retrieve_adaptive(edge_table: DataFrame, found: DataFrame, seeds: DataFrame,
     return best.select("qid", "id", F.round(1.0 / (1 + F.col("hop")), 6).alias("score"), "hop").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def expand(typed_edges: DataFrame, seeds: DataFrame, kinds: list[str], most: int = 8, hops: int = 2) -> DataFrame:
+def of_predicates(typed_edges: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
+    """Edges of some predicates; of all, if none are named."""
+    return typed_edges if kinds is None else typed_edges.where(F.col("predicate").isin(list(kinds)))
+
+
+def expand(typed_edges: DataFrame, seeds: DataFrame, kinds: Iterable[str] | None = None, most: int = 8, hops: int = 2) -> DataFrame:
     """Terms for a query from edges of some predicates: distinct without regard to case, nearest first, ``most`` for a query."""
-    found = walk(typed_edges.where(F.col("predicate").isin(kinds)), seeds, hops).where(F.col("hop") > 0)
+    found = walk(of_predicates(typed_edges, kinds), seeds, hops).where(F.col("hop") > 0)
     terms = found.groupBy("qid", F.lower("node").alias("term")).agg(F.min("hop").alias("hop"))
     order = Window.partitionBy("qid").orderBy("hop", "term")
     return terms.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

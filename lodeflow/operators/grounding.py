@@ -72,6 +72,30 @@ def explain(scored: DataFrame) -> DataFrame:
     return used.groupBy("aid", "idx").agg(F.count("*").alias("n_sentences"), F.max("combined").alias("confidence")).select("aid", F.concat(F.lit("P"), F.col("idx").cast("string")).alias("tag"), "n_sentences", "confidence")
 
 
+def explain_answers(scored: DataFrame, evidence: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """The whole trace of each answer: ``aid``, ``answer`` (without unsupported sentences), ``explanations`` (tag, position, chunk, source, page, sentences that use the passage, greatest score; in
+    order of position), the lists ``unsupported``, ``low_confidence`` and ``uncited`` of sentences, and ``score``, the share of sentences that rest on a passage. A sentence rests on the passages it cites, if
+    there are such, else on its best one. ``chunks`` (aid, idx, chunk_id, source, page) says where passages are from."""
+    n = evidence.groupBy("aid").agg(F.count("*").alias("n_passages"))
+    rows = scored.join(n, "aid", "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
+    valid = F.array_distinct(F.filter(cited(F.col("sentence"), r"P(\d+)"), lambda c: (c >= 1) & (c <= F.col("n_passages"))))
+    rows = rows.withColumn("cites", valid).withColumn("used", F.when(F.size("cites") > 0, F.col("cites")).when(F.col("idx").isNotNull(), F.array(F.col("idx").cast("int"))).otherwise(F.array().cast("array<int>")))
+    each = rows.select("aid", "ordinal", "sentence", "combined", F.explode("used").alias("idx")).groupBy("aid", "idx").agg(F.array_sort(F.collect_list(F.struct("ordinal", "sentence"))).alias("s"), F.max("combined").alias("confidence"))
+    at = each if chunks is None else each.join(chunks, ["aid", "idx"], "left")
+    where = [F.lit(None).cast("string").alias(c) if chunks is None else F.col(c).cast("string").alias(c) for c in ("chunk_id", "source", "page")]
+    one = F.struct(F.col("idx").alias("position"), F.concat(F.lit("P"), F.col("idx").cast("string")).alias("tag"), *where, F.transform("s", lambda x: x["sentence"]).alias("sentences"), "confidence")
+    by = at.groupBy("aid").agg(F.array_sort(F.collect_list(one)).alias("explanations"))
+
+    def listed(condition: Column, name: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("ordinal", "sentence")))), lambda x: x["sentence"]).alias(name)
+
+    out = rows.groupBy("aid").agg(
+        F.array_join(listed(F.col("status") != "unsupported", "a"), " ").alias("answer"), listed(F.col("status") == "unsupported", "unsupported"), listed(F.col("status") == "partial", "low_confidence"), listed(F.size("cites") == 0, "uncited"),
+        F.round(F.avg((F.size("used") > 0).cast("double")), 4).alias("score"),
+    )
+    return out.join(by, "aid", "left").withColumn("explanations", F.coalesce("explanations", F.filter(F.array(F.lit(None).cast(by.schema["explanations"].dataType.elementType)), lambda x: F.lit(False))))
+
+
 def hallucination(checked: DataFrame) -> DataFrame:
     """Over checked answers: rate, mean validity, overlap and uncited share; zeros where there is none."""
     z = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)

@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that driver and executors share (``spark.checkpoint.dir``) and read from there:
-    branches do not compute it again, and a lost executor takes nothing with it. The files go when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str = "settled") -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``). What is written there goes when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:  # none is named, as in tests
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="lodeflow-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: branches do not compute it again, and a lost
+    executor takes nothing with it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

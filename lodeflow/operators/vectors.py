@@ -16,7 +16,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     """``qid``, ``id``, ``score`` (cosine, 6 decimals), ``rank``: the ``k`` nearest of each query, itself left out. With
     ``tag``, only rows with the query's tag count; a null tag fits no row. Queries without a vector, or with a null
     component, have no neighbours; only vectors of a query's length count. Queries go out in blocks of a fixed number; each task keeps its own
-    best ``k`` with ties, so what is shuffled does not grow with a task's rows."""
+    best ``k`` over all its rows, so what is shuffled does not grow with a task's rows."""
     named = queries.select(F.col(key).alias("qid"), F.col(vector).alias("v"), (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("t"))
     rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("t"))
     held: list = []
@@ -49,8 +49,22 @@ def _block(rows: DataFrame, queries: list, k: int, tagged: bool) -> DataFrame:
         for q in shared.value:
             if q[1] and None not in q[1] and not (tagged and q[2] is None):
                 by.setdefault(len(q[1]), []).append(q)
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        def unit(m):
+            m = m / np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-320)
+            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
         asked = {n: (unit(np.array([x[1] for x in qs], np.float64)), np.array([x[0] for x in qs]), np.array([x[2] for x in qs], object)) for n, qs in by.items()}
+        held: list[list] = [[], [], []]  # qid, id, score of what is among the best so far
+
+        def best():
+            qid, id_, score = (np.concatenate(x) for x in held)
+            order = np.lexsort((id_, -score, qid))
+            qid = qid[order]
+            starts = np.flatnonzero(np.diff(qid, prepend=qid[0] - 1))
+            keep = order[np.arange(len(qid)) - np.repeat(starts, np.diff(np.append(starts, len(qid)))) < k]
+            return [[x[keep]] for x in (np.concatenate(h) for h in held)]
+
+        room = 4 * k * max(1, len(shared.value)) + 100_000
         for b in batches:
             vectors_ = b.column("v").to_pylist()
             for n, (q, qids, tags) in asked.items():
@@ -70,7 +84,12 @@ def _block(rows: DataFrame, queries: list, k: int, tagged: bool) -> DataFrame:
                     else:
                         keep = s > -9
                     r, c = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[i + r]), pa.array(ids[c]), pa.array(s[r, c])], ["qid", "id", "score"])
+                    for rows_, got in zip(held, (qids[i + r], ids[c], s[r, c]), strict=True):
+                        rows_.append(got)
+                    if sum(map(len, held[0])) > room:
+                        held[:] = best()
+        if held[0] and sum(map(len, held[0])):
+            yield pa.RecordBatch.from_arrays([pa.array(x[0]) for x in best()], ["qid", "id", "score"])
 
     return rows.mapInArrow(run, "qid long, id long, score double")
 

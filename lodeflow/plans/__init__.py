@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval", "documents", "knowledge", "answers", "evaluation")
+FAMILIES = ("retrieval", "documents", "knowledge", "answers", "evaluation", "indexes", "generation")
 
 
 def _all(name: str) -> dict:
