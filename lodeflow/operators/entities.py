@@ -68,6 +68,15 @@ def relations(found: DataFrame) -> DataFrame:
     )
 
 
+def linked(found: DataFrame) -> DataFrame:
+    """The distinct (``subject``, ``predicate``, ``object``) of :func:`relations`, which is all that a walk needs. A sentence's entities are paired once, by their first and last
+    places, and not each mention with each; self-loops are left out."""
+    once = found.groupBy("chunk_id", "sentence", "entity").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    a, b = once.alias("a"), once.alias("b")
+    on = F.expr("a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.first < b.last AND a.entity <> b.entity")
+    return a.join(b, on).select(F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object")).distinct()
+
+
 def verb_predicates(rels: DataFrame, chunks_words: DataFrame, verbs: DataFrame) -> DataFrame:
     """Relations with a predicate of the first two verbs between their ends, joined by "_", where there are any.
     ``rels`` has ``subject_ord`` and ``object_ord`` besides; ``chunks_words`` (chunk_id, sentence, ordinal, word); ``verbs`` (word) is a lexicon."""

@@ -10,12 +10,18 @@ def evaluate(retrieved: DataFrame, gold: DataFrame, k: int = 5, fixed_denominato
     """Per query with a list: ``precision``, ``recall``, ``hit``, ``mrr``, ``ndcg`` at ``k``. Precision is by the length of the list or, with ``fixed_denominator``, by ``k``."""
     want = gold.select("qid", "id").distinct()
     n_gold = want.groupBy("qid").agg(F.count("*").alias("n_gold"))
-    rows = retrieved.where(F.col("rank") <= k).join(want.withColumn("hit_", F.lit(1)), ["qid", "id"], "left")
-    hit = F.col("hit_").isNotNull()
-    per = rows.groupBy("qid").agg(
+    rows = retrieved.where(F.col("rank") <= k).join(want.withColumn("hit", F.lit(True)), ["qid", "id"], "left").join(n_gold, "qid", "left")
+    return evaluate_marked(rows, k, fixed_denominator)
+
+
+def evaluate_marked(rows: DataFrame, k: int = 5, fixed_denominator: bool = False) -> DataFrame:
+    """:func:`evaluate` of lists that say themselves which rows are gold (``hit``) and how much gold a query has (``n_gold``): where gold is a property of
+    what was found, it need not be written as pairs."""
+    hit = F.coalesce("hit", F.lit(False))
+    per = rows.where(F.col("rank") <= k).groupBy("qid").agg(
         F.count("*").alias("n"), F.countDistinct(F.when(hit, F.col("id"))).alias("distinct_hits"), F.sum(hit.cast("int")).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"),
-        F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
-    ).join(n_gold, "qid", "left").withColumn("n_gold", F.coalesce("n_gold", F.lit(0)))
+        F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"), F.coalesce(F.max("n_gold"), F.lit(0)).alias("n_gold"),
+    )
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("n_gold", "n"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
     r6 = lambda c: F.round(c, 6)
     return per.select(

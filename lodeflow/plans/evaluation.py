@@ -119,12 +119,11 @@ def _judged(spark, d, grid):
     """Ranking metrics of each condition's lists, for each question, against the documents of the question's source."""
     lists = retrieval.conditioned(spark, d, grid)
     docs, items = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
-    asked = docs.join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "source")
-    gold = asked.join(docs.withColumnRenamed("doc_id", "id"), "source").select("qid", "id")
-    names = spark.createDataFrame([(c[0],) for c in grid], "condition string")
-    both = gold.join(F.broadcast(names), F.lit(True)).select(F.struct("condition", "qid").alias("qid"), "id")
-    got = ranking.evaluate(lists.select(F.struct("condition", "qid").alias("qid"), "id", "rank"), both)
-    return got.join(both.select("qid").distinct(), "qid", "left_semi").withColumn("condition", F.col("qid.condition")).withColumn("qid", F.col("qid.qid"))
+    gold = docs.groupBy("source").agg(F.count("*").alias("n_gold"))
+    asked = docs.join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), "source").join(gold, "source").select("qid", F.col("source").alias("wanted"), "n_gold")
+    of = docs.select(F.col("doc_id").alias("id"), "source")
+    rows = lists.join(asked, "qid").join(of, "id", "left").select(F.struct("condition", "qid").alias("qid"), "id", "rank", (F.col("source") == F.col("wanted")).alias("hit"), "n_gold")
+    return ranking.evaluate_marked(rows).withColumn("condition", F.col("qid.condition")).withColumn("qid", F.col("qid.qid"))
 
 
 def ablation_grid(spark, d):

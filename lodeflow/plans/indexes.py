@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ann, bm25, graph
-from ..operators.storage import scratch
+from ..operators import ann, bm25, entities, graph
+from ..operators.storage import scratch, settle
 from ..sources import versions
 from . import knowledge, retrieval
 from .common import table
@@ -24,7 +24,8 @@ def index_roundtrip(spark, d):
     """Postings by term, vectors, nodes and edges, committed as one version and read from it: kind, key, n, x."""
     ix = bm25.index(table(spark, d, "documents"))
     lists = ann.build(table(spark, d, "embeddings"), tag="label")
-    found, edges = knowledge._graph(spark, d)
+    found = settle(knowledge._found(spark, d))
+    edges = graph.edges(entities.relations(found))
     folder = scratch(spark, "index")
     versions.commit(spark, folder, {"postings": bm25.pack(ix), "blocks": lists.blocks, "centres": lists.centres, "nodes": graph.nodes(found), "edges": edges}, partitioned={"postings": ["slot"]})
     at = versions.open_version(spark, folder)

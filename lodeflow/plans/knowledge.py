@@ -39,9 +39,9 @@ def _found(spark, d):
 
 
 def _graph(spark, d):
-    """Mentions and edges, each computed once for all branches of a traversal."""
+    """Mentions and what is linked, each computed once for all branches of a traversal."""
     found = settle(_found(spark, d))
-    return found, settle(graph.edges(entities.relations(found)))
+    return found, settle(entities.linked(found))
 
 
 def _seeds(spark, d, edge_table):
@@ -110,7 +110,7 @@ def graph_retrieve_adaptive(spark, d):
     """Every mention of a document is a seed, in order, terms without relations too; gazetteer and hub as the operators have them."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     found = settle(entities.mentions(docs, entities.gazetteer(docs)))
-    e = settle(graph.edges(entities.relations(found)))
+    e = settle(entities.linked(found))
     order = Window.partitionBy("chunk_id").orderBy("sentence", "ordinal")
     seeds = settle(found.select(F.col("chunk_id").alias("qid"), F.col("entity").alias("seed"), (F.row_number().over(order) - 1).alias("ordinal")))
     return graph.retrieve_adaptive(e, found, seeds, 10)

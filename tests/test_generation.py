@@ -190,3 +190,11 @@ def test_places_of_words(spark):
             want.append((at, w))
             at += len(w) + 1
         assert [tuple(x) for x in r.p] == want
+
+
+def test_linked_are_the_pairs_of_relations(spark):
+    rng = random.Random(9)
+    rows = [(c, s, o, o * 5, 90, w, w) for c in range(4) for s in range(3) for o, w in enumerate(rng.choices("abcde", k=rng.randint(0, 9)))]
+    found = spark.createDataFrame(rows, "chunk_id int, sentence int, ordinal int, start int, length int, surface string, entity string")
+    pairs = entities.relations(found).where("subject <> object").select("subject", "predicate", "object").distinct()
+    assert sorted(map(tuple, entities.linked(found).collect())) == sorted(map(tuple, pairs.collect()))
