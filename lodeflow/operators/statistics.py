@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..errors import EvaluationError
 from ..functions import tails
+from .ordering import running_total
 from .storage import settle
 
 #: Distinct values of a group that a resample is drawn from in one task.
@@ -110,9 +111,8 @@ def kappa(pairs: DataFrame, a: str, b: str, bins: int = 5) -> DataFrame:
 def correlations(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``pearson``, and ``spearman`` with average ranks. Ranks come from counts by distinct value."""
     def ranks(c: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(c).agg(F.count("*").alias("k"))
-        order = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(c, (F.coalesce(F.sum("k").over(order), F.lit(0)) + (F.col("k") + 1) / 2).alias(name))
+        counts = running_total(pairs.groupBy(c).agg(F.count("*").alias("k")), [c], F.col("k"), "before")
+        return counts.select(c, (F.col("before") + (F.col("k") + 1) / 2).alias(name))
 
     rows = pairs.select(a, b).join(ranks(a, "ra"), a).join(ranks(b, "rb"), b)
     return rows.agg(F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))

@@ -153,5 +153,5 @@ len(regexp_extract_all(lower(text), '[a-zA-Z0-9\-]+')) AS n_metric, md5(trim(reg
 k AS (SELECT coalesce(c.user_id, s.user_id) AS user_id, coalesce(c.event_id, s.event_id) AS event_id FROM s FULL JOIN c USING (user_id)) SELECT k.user_id, k.event_id, e.event_type, e.value FROM k JOIN events e USING (event_id)""",
     "ids_lookup": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "document_metadata": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(source[1]) || source[2:] || ' Vol ' || upper(lang[1]) || lang[2:] ELSE 'A Title' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'An Author' ELSE 'Unknown' END AS author FROM documents",
-    "query_log": "SELECT item_id, 'Q' || lpad((row_number() OVER (ORDER BY item_id))::VARCHAR, 3, '0') AS log_id FROM benchmark",
+    "query_log": "SELECT item_id, 'Q' || printf('%03d', row_number() OVER (ORDER BY item_id)) AS log_id FROM benchmark",
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LoadError
+from ..operators.ordering import running_total
 
 PAGES = "source_file string, page_number int, text string"
 
@@ -81,4 +82,6 @@ def document_metadata(files: DataFrame) -> DataFrame:
 
 def numbered(log: DataFrame, order: str, width: int = 3) -> DataFrame:
     """Adds ``log_id``: Q and the place in order."""
-    return log.withColumn("log_id", F.concat(F.lit("Q"), F.lpad(F.row_number().over(Window.orderBy(order)).cast("string"), width, "0")))
+    placed = running_total(log, [order], F.lit(1), "place_")
+    number = (F.col("place_") + 1).cast("string")  # padded, never cut
+    return placed.withColumn("log_id", F.concat(F.lit("Q"), F.when(F.char_length(number) < width, F.lpad(number, width, "0")).otherwise(number))).drop("place_")

@@ -188,3 +188,23 @@ def test_ingest_resumes(spark, tmp_path):
     run()
     got = [r.id for r in spark.read.parquet(out).collect()]
     assert sorted(got) == list(range(10))
+
+
+def test_running_total(spark):
+    """Ties, nulls first, ranges of all sizes; an empty table has no rows."""
+    from lodeflow.operators.ordering import running_total
+
+    rows = [(i, (i * 7) % 13 if i % 11 else None, i % 5) for i in range(300)]
+    df = frame(spark, "i int, k int, n int", rows).repartition(7)
+    got = {r.i: r.upto for r in running_total(df, ["k", "i"], F.col("n"), "upto").collect()}
+    at, want = 0, {}
+    for i, _, n in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+        want[i], at = at, at + n
+    assert got == want and running_total(df.limit(0), ["k"], F.col("n"), "upto").count() == 0
+
+
+def test_log_ids_are_not_cut(spark):
+    from lodeflow.sources import files
+
+    got = files.numbered(spark.range(1_002), "id").orderBy("id").collect()
+    assert (got[0].log_id, got[998].log_id, got[999].log_id, got[1_001].log_id) == ("Q001", "Q999", "Q1000", "Q1002")
