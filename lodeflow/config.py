@@ -36,18 +36,34 @@ class Settings:
     edge_kinds: tuple[str, ...] | None = None
 
     @classmethod
-    def load(cls, path: str | None = None, **overrides) -> Settings:
-        """Defaults, then a JSON file, then ``overrides``; an unknown name is an error."""
+    def load(cls, *paths: str | None, **overrides) -> Settings:
+        """Defaults, then JSON files in order, of which a later one holds, then ``overrides``; an unknown name is an error. A file's ``defaults``, a list of
+        names of files beside it, come before its own values."""
         given = {}
-        if path:
-            with open(path, encoding="utf-8") as f:
-                given = json.load(f)
+        for path in paths:
+            given |= _composed(path, ()) if path else {}
         given |= overrides
         if unknown := set(given) - {f.name for f in fields(cls)}:
             raise LoadError(f"unknown settings: {', '.join(sorted(unknown))}")
         return replace(cls(), **given)
 
 
+def _composed(path: str, above: tuple[str, ...]) -> dict:
+    """The values of a file over those of the files that it names."""
+    path = os.path.abspath(path)
+    if path in above:
+        raise LoadError(f"{path} names itself as a default")
+    try:
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+    except (OSError, ValueError) as e:
+        raise LoadError(f"{path} can't be read: {e}") from e
+    out = {}
+    for name in own.pop("defaults", []):
+        out |= _composed(os.path.join(os.path.dirname(path), name), (*above, path))
+    return out | own
+
+
 def first_existing(paths: Iterable[str]) -> str:
     """The first of some places of a file that exists."""
     for p in paths:

@@ -16,13 +16,18 @@ HUB = 100
 
 
 def nodes(found: DataFrame, rels: DataFrame | None = None) -> DataFrame:
-    """``node``, ``mention_count``, ``n_chunks``, ``n_surfaces``, ``label``; ends of relations that no mention names have count 0."""
-    out = found.where(F.length("entity") > 0).groupBy(F.col("entity").alias("node")).agg(F.count("*").alias("mention_count"), F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("surface").alias("n_surfaces"))
+    """``node``, ``mention_count``, ``n_chunks``, ``n_surfaces``, ``label``; ends of relations that no mention names have count 0. The label is that of the first mention (by chunk,
+    sentence, place) that has one, where the extractor gives a ``label``, else ENTITY."""
+    labelled = "label" in found.columns
+    seen = F.min_by("label", F.when(F.col("label").isNotNull(), F.struct("chunk_id", "sentence", "ordinal"))) if labelled else F.max(F.lit(None).cast("string"))
+    out = found.where(F.length("entity") > 0).groupBy(F.col("entity").alias("node")).agg(
+        F.count("*").alias("mention_count"), F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("surface").alias("n_surfaces"), seen.alias("label")
+    )
     if rels is not None:
         ends = rels.select(F.explode(F.array("subject", "object")).alias("node")).distinct().where(F.length("node") > 0)
         zero = F.lit(0).cast("long")
-        out = out.unionByName(ends.join(out, "node", "left_anti").select("node", zero.alias("mention_count"), zero.alias("n_chunks"), F.lit(1).cast("long").alias("n_surfaces")))
-    return out.withColumn("label", F.lit("ENTITY"))
+        out = out.unionByName(ends.join(out, "node", "left_anti").select("node", zero.alias("mention_count"), zero.alias("n_chunks"), F.lit(1).cast("long").alias("n_surfaces"), F.lit(None).cast("string").alias("label")))
+    return out.withColumn("label", F.coalesce("label", F.lit("ENTITY")))
 
 
 def edges(rels: DataFrame) -> DataFrame:

@@ -60,6 +60,14 @@ def test_settings(tmp_path):
     assert (s.pool, s.hub_degree, s.child_tokens) == (7, 5, 300)
     with pytest.raises(LoadError):
         Settings.load(nonsense=1)
+    (tmp_path / "base.json").write_text(json.dumps({"pool": 3, "probes": 2}))
+    (tmp_path / "own.json").write_text(json.dumps({"defaults": ["base.json"], "probes": 9}))
+    s = Settings.load(str(tmp_path / "s.json"), str(tmp_path / "own.json"))
+    assert (s.pool, s.probes) == (3, 9)
+    for text in (json.dumps({"defaults": ["bad.json"]}), "{", None):
+        (tmp_path / "bad.json").write_text(text) if text else (tmp_path / "bad.json").unlink()
+        with pytest.raises(LoadError):
+            Settings.load(str(tmp_path / "bad.json"))
     assert first_existing([str(tmp_path / "none"), str(tmp_path / "s.json")]).endswith("s.json")
     with pytest.raises(LoadError):
         first_existing([])
@@ -91,3 +99,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
     sinks.logger("t", str(tmp_path / "logs")).info("hello")
     assert (tmp_path / "logs" / "t.log").exists()
+
+
+def test_labels_and_backfill(spark):
+    from lodeflow.operators import fusion, graph
+
+    found = spark.createDataFrame([(1, 0, 0, "A", "a", None), (1, 0, 2, "a", "a", "DRUG"), (2, 0, 0, "a", "a", "GENE"), (3, 0, 0, "b", "b", None)], "chunk_id int, sentence int, ordinal int, surface string, entity string, label string")
+    rels = spark.createDataFrame([("a", "c")], "subject string, object string")
+    assert {r.node: (r.label, r.mention_count) for r in graph.nodes(found, rels).collect()} == {"a": ("DRUG", 3), "b": ("ENTITY", 1), "c": ("ENTITY", 0)}
+    assert {r.label for r in graph.nodes(found.drop("label"), rels).collect()} == {"ENTITY"}
+    edges = spark.createDataFrame([("a", "treats", "b"), ("a", "harms", "c")], "subject string, predicate string, object string")
+    assert graph.of_predicates(edges, ["harms"]).collect()[0].object == "c" and graph.of_predicates(edges).count() == 2
+    signals = spark.createDataFrame([(1, 7, "dense", 0.5), (1, 8, "dense", 0.25), (1, 9, "bm25", 1.0)], "qid long, id long, signal string, raw double")
+    store = spark.createDataFrame([(7, "seven", "s.pdf"), (9, "", "e.pdf")], "id long, text string, source string")
+    got = {r.id: (r.text, r.source) for r in fusion.weighted(signals, fusion.weights(), store).collect()}
+    assert got == {7: ("seven", "s.pdf"), 8: ("Content for chunk 8", "document.pdf")}
