@@ -42,14 +42,15 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing, if there is none."""
     fs, at = _fs(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """The committed versions, ascending."""
-    return sorted(int(n.removesuffix(".json")) for n in _names(spark, f"{folder}/{MANIFESTS}") if n.endswith(".json") and not n.startswith((".", "_")))
+    return sorted(int(n.removesuffix(".json")) for n in file_names(spark, f"{folder}/{MANIFESTS}") if n.endswith(".json") and not n.startswith((".", "_")))
 
 
 def open_version(spark: SparkSession, folder: str, number: int | None = None) -> Version:
@@ -108,11 +109,11 @@ def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
         fs, at = _fs(spark, f"{folder}/{MANIFESTS}/{number}.json")
         fs.delete(at, False)
     used = {t["path"].split("/")[0] for n in versions(spark, folder) for t in open_version(spark, folder, n).tables.values()}
-    for name in _names(spark, f"{folder}/{DATA}"):
+    for name in file_names(spark, f"{folder}/{DATA}"):
         if name not in used:
             fs, at = _fs(spark, f"{folder}/{DATA}/{name}")
             fs.delete(at, True)
-    for name in _names(spark, f"{folder}/{MANIFESTS}"):
+    for name in file_names(spark, f"{folder}/{MANIFESTS}"):
         if name.startswith(".") and not name.endswith(".crc"):
             fs, at = _fs(spark, f"{folder}/{MANIFESTS}/{name}")
             fs.delete(at, False)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.versions import file_names
+
 
 def pending(rows: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     """Rows whose id isn't indexed yet."""
@@ -19,11 +21,8 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
 
     def batch(df: DataFrame, _: int) -> None:
         rows = df.dropDuplicates([key])
-        try:
+        if any(not name.startswith(("_", ".")) for name in file_names(spark, target)):  # nothing is there before the first batch, or only what a failed one left
             rows = pending(rows, spark.read.parquet(target), key)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         encode(rows).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
