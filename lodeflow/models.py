@@ -68,7 +68,7 @@ class GazetteerExtractor:
         self.gazetteer = gazetteer
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
-        return entities.mentions(chunks, entities.gazetteer(chunks) if self.gazetteer is None else self.gazetteer)
+        return entities.own_mentions(chunks) if self.gazetteer is None else entities.mentions(chunks, self.gazetteer)
 
 
 def lexical_scorer(query: Column, text: Column) -> Column:

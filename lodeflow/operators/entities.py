@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, sentences, squeeze
+from ..functions.text import let, sentences
 from .storage import settle
 
 ENTITY_WORD = r"[\p{L}]+"
@@ -18,10 +18,16 @@ FEW = 1_000_000
 def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> DataFrame:
     """Terms (``entity``, ``df``) of ``length`` letters or more that are in ``least`` chunks or more, and in ``most`` or a ``share`` of
     all, whichever is greater, at most: the band grows with the corpus."""
+    return gazetteer_and_common(chunks, key, text, length, least, most, share)[0]
+
+
+def gazetteer_and_common(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """:func:`gazetteer`, and the terms that are in more chunks than it allows. However large the corpus, these are at most a chunk's mean number of distinct terms,
+    divided by ``share``: :func:`mentions` passes over them before it shuffles anything."""
     words = chunks.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(ENTITY_WORD), F.lit(0)))).alias("entity"))
     total = chunks.agg(F.greatest(F.lit(most), F.ceil(F.count("*") * share)).alias("most_"))
-    counts = words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    return counts.join(F.broadcast(total), F.col("df") <= F.col("most_")).select("entity", "df")
+    counts = settle(words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least).join(F.broadcast(total), F.lit(True)))
+    return counts.where(F.col("df") <= F.col("most_")).select("entity", "df"), counts.where(F.col("df") > F.col("most_")).select("entity", "df")
 
 
 def placed_words(words: Column) -> Column:
@@ -42,16 +48,30 @@ def placed_words(words: Column) -> Column:
     return let(let(split, blocks), joined)
 
 
-def mentions(chunks: DataFrame, entities: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def mentions(chunks: DataFrame, entities: DataFrame, key: str = "chunk_id", text: str = "text", common: DataFrame | None = None) -> DataFrame:
     """``chunk_id``, ``sentence``, ``ordinal`` (place of the word in its sentence), ``start`` (its first character there), ``length``, ``surface``,
-    ``entity``. Words get their places in their own row; those of the gazetteer are found where they are if it is small."""
+    ``entity``. Words of the gazetteer are found where they are if it is small. If not, words shorter than its shortest term and the ``common`` ones, known to be
+    none of its terms, are passed over, and only what remains is shuffled. Places are counted for words that were not passed over."""
     rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
-    words = F.split(F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")), " ")
-    placed = rows.select("chunk_id", "sentence", F.char_length("s").alias("length"), F.posexplode(placed_words(words)).alias("ordinal", "w"))
-    named = placed.select("chunk_id", "sentence", "ordinal", "w.start", "length", "w.surface", squeeze(F.col("w.surface")).alias("entity")).where(F.char_length("entity") > 0)
+    plain = rows.select("chunk_id", "sentence", F.char_length("s").alias("length"), F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")).alias("line_"))
+    words = plain.select("chunk_id", "sentence", "length", "line_", F.posexplode(F.split("line_", " ")).alias("ordinal", "surface")).withColumn("entity", F.lower("surface"))
+    start = F.when(F.col("ordinal") == 0, 0).otherwise(F.expr("char_length(substring_index(line_, ' ', ordinal))") + 1)
+    placed = lambda df: df.select("chunk_id", "sentence", "ordinal", start.alias("start"), "length", "surface", "entity")
     known = settle(entities.select("entity"))
-    known = F.broadcast(known) if known.count() <= FEW else known
-    return named.join(known, "entity").select("chunk_id", "sentence", "ordinal", "start", "length", "surface", "entity")
+    size, shortest = known.agg(F.count("*"), F.min(F.char_length("entity"))).first()
+    named = words.where(F.char_length("entity") >= max(1, shortest or 1))
+    if size <= FEW:
+        return placed(named.join(F.broadcast(known), "entity"))
+    if common is not None:
+        passed = settle(common.select("entity"))
+        named = named.join(F.broadcast(passed) if passed.count() <= FEW else passed, "entity", "left_anti")
+    return placed(named).join(known, "entity").select("chunk_id", "sentence", "ordinal", "start", "length", "surface", "entity")
+
+
+def own_mentions(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Mentions of the chunks' own :func:`gazetteer`."""
+    terms, common = gazetteer_and_common(chunks, key, text)
+    return mentions(chunks, terms, key, text, common)
 
 
 def proximity(start_a: Column, start_b: Column, length: Column) -> Column:
@@ -59,12 +79,17 @@ def proximity(start_a: Column, start_b: Column, length: Column) -> Column:
 
 
 def relations(found: DataFrame) -> DataFrame:
-    """Pairs of mentions in one sentence, the earlier one first: ``subject``, ``predicate``, ``object``, their places, ``confidence``."""
+    """Pairs of mentions in one sentence, the earlier one first: ``subject``, ``predicate``, ``object``, their places, ``confidence``. Both sides take
+    the same columns, so that mentions are shuffled once for the two."""
+    return _pairs(found, F.lit("related_to"))
+
+
+def _pairs(found: DataFrame, predicate: Column) -> DataFrame:
     a, b = found.alias("a"), found.alias("b")
     on = F.expr("a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.ordinal < b.ordinal")
     return a.join(b, on).select(
-        F.col("a.chunk_id").alias("chunk_id"), F.col("a.sentence").alias("sentence"), F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object"), F.col("a.ordinal").alias("subject_ord"), F.col("b.ordinal").alias("object_ord"),
-        proximity(F.col("a.start"), F.col("b.start"), F.col("a.length")).alias("confidence"),
+        F.col("a.chunk_id").alias("chunk_id"), F.col("a.sentence").alias("sentence"), F.col("a.entity").alias("subject"), predicate.alias("predicate"), F.col("b.entity").alias("object"), F.col("a.ordinal").alias("subject_ord"), F.col("b.ordinal").alias("object_ord"),
+        proximity(F.col("a.start"), F.col("b.start"), F.greatest("a.length", "b.length")).alias("confidence"),
     )
 
 
@@ -77,16 +102,43 @@ def linked(found: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object")).distinct()
 
 
+def around(found: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """The mentions of sentences that a walk of ``hops`` from ``seeds`` (seed) looks at: all neighbours of what is fewer hops away."""
+    names, part = seeds.select(F.col("seed").alias("entity")).distinct(), found
+    for _ in range(hops):
+        places = found.join(names, "entity", "left_semi").select("chunk_id", "sentence").distinct()
+        part = settle(found.join(places, ["chunk_id", "sentence"], "left_semi"))
+        names = part.select("entity").distinct()
+    return part
+
+
+def next_verbs(places: DataFrame, chunks_words: DataFrame, verbs: DataFrame) -> DataFrame:
+    """``places`` (chunk_id, sentence, ordinal, more) with ``verbs_``, the first two verbs after each in its sentence as (at, word): one pass over a sentence from its end."""
+    kept = [c for c in places.columns if c not in ("chunk_id", "sentence", "ordinal")]
+    said = chunks_words.join(F.broadcast(verbs.select("word").distinct()), "word").select("chunk_id", "sentence", "ordinal", F.struct(F.col("ordinal").alias("at"), "word").alias("verb_"))
+    rows = places.select("chunk_id", "sentence", "ordinal", F.struct(*kept, F.lit(1).alias("own_")).alias("place_")).unionByName(said, allowMissingColumns=True)
+    later = Window.partitionBy("chunk_id", "sentence").orderBy(F.desc("ordinal")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("one_", F.last("verb_", ignorenulls=True).over(later))
+    rows = rows.withColumn("two_", F.last(F.when(F.col("verb_").isNotNull(), F.struct("one_")), ignorenulls=True).over(later)["one_"])
+    return rows.where(F.col("place_").isNotNull()).select("chunk_id", "sentence", "ordinal", *[F.col(f"place_.{c}").alias(c) for c in kept], F.array_compact(F.array("one_", "two_")).alias("verbs_"))
+
+
+def _named_by(verbs: Column, upto: Column) -> Column:
+    between = F.transform(F.filter(verbs, lambda v: v["at"] < upto), lambda v: v["word"])
+    return F.when(F.size(between) > 0, F.array_join(between, "_")).otherwise(F.lit("related_to"))
+
+
+def verb_relations(found: DataFrame, chunks_words: DataFrame, verbs: DataFrame) -> DataFrame:
+    """:func:`relations` with the predicates of :func:`verb_predicates`. A mention has its two verbs before it is paired, so pairs are made once and not joined again."""
+    return _pairs(settle(next_verbs(found.drop("surface"), chunks_words, verbs)), _named_by(F.col("a.verbs_"), F.col("b.ordinal")))
+
+
 def verb_predicates(rels: DataFrame, chunks_words: DataFrame, verbs: DataFrame) -> DataFrame:
     """Relations with a predicate of the first two verbs between their ends, joined by "_", where there are any.
     ``rels`` has ``subject_ord`` and ``object_ord`` besides; ``chunks_words`` (chunk_id, sentence, ordinal, word); ``verbs`` (word) is a lexicon."""
-    between = chunks_words.join(verbs.select("word").distinct(), "word").alias("w")
-    r = rels.alias("r")
-    on = F.expr("r.chunk_id = w.chunk_id AND r.sentence = w.sentence AND w.ordinal > r.subject_ord AND w.ordinal < r.object_ord")
-    keys = ["chunk_id", "sentence", "subject_ord", "object_ord"]
-    found = r.join(between, on).groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("w.ordinal").alias("o"), F.col("w.word").alias("v")))), 1, 2).alias("vs"))
-    named = rels.join(found, keys, "left")
-    return named.withColumn("predicate", F.when(F.size("vs") > 0, F.array_join(F.transform("vs", lambda x: x["v"]), "_")).otherwise(F.lit("related_to"))).drop("vs")
+    starts = rels.select("chunk_id", "sentence", F.col("subject_ord").alias("ordinal")).distinct()
+    known = next_verbs(starts, chunks_words, verbs).withColumnRenamed("ordinal", "subject_ord")
+    return rels.join(known, ["chunk_id", "sentence", "subject_ord"]).withColumn("predicate", _named_by(F.col("verbs_"), F.col("object_ord"))).select(*rels.columns)
 
 
 def sentence_words(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
