@@ -41,6 +41,15 @@ def context(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
     return r.join(p, "qid", "left").select("qid", F.round(F.coalesce("p", F.lit(0.0)), 6).alias("context_precision"), F.round("r", 6).alias("context_recall"))
 
 
+def context_marked(rows: DataFrame, n_gold: DataFrame) -> DataFrame:
+    """:func:`context` of lists that say which rows are gold (``hit``), with ``n_gold`` (qid, n_gold): no pair of a query and its gold is written."""
+    hit = F.coalesce("hit", F.lit(False)).cast("double")
+    per = rows.groupBy("qid").agg(F.avg(hit).alias("p"), F.sum(hit).alias("hits"))
+    of = n_gold.where(F.col("n_gold") > 0).join(per, "qid", "left")
+    r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return of.select("qid", r6(F.col("p")).alias("context_precision"), r6(F.col("hits") / F.col("n_gold")).alias("context_recall"))
+
+
 def citation_metrics(claims: DataFrame, evidence: DataFrame, gold: DataFrame) -> DataFrame:
     """``claims`` (aid, cid, evidence_ids, grounded), ``evidence`` (aid, eid), ``gold`` (aid, eid): precision, recall, coverage of citations and coverage of evidence."""
     per = claims.groupBy("aid").agg(

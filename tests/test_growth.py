@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeflow.operators import entities
+from lodeflow.operators import entities, ranking
 
 
 def _docs(spark, sf):
@@ -34,3 +34,16 @@ def test_verbs_meet_mentions_and_not_pairs(spark):
     for s, i, j, predicate in got:
         between = [spoken[s, k] for k in range(i + 1, j) if spoken[s, k] in ("the", "and", "that")]
         assert predicate == ("_".join(between[:2]) or "related_to")
+
+
+def test_gold_by_label_is_no_table_of_pairs(spark):
+    """Marked lists against the same gold as pairs; a question without a list, one with a null label and one whose label is alone."""
+    labels = {0: 1, 1: 1, 2: 1, 3: 2, 4: None, 5: 1, 6: 3}
+    got = [(0, 1, 1), (0, 3, 2), (5, 2, 1), (4, 1, 1), (6, 0, 1)]
+    lists = spark.createDataFrame(got, "qid int, id int, rank int")
+    pairs = spark.createDataFrame([(q, i) for q in (0, 1, 4, 5, 6) for i, x in labels.items() if i != q and x is not None and x == labels[q]], "qid int, id int")
+    n = spark.createDataFrame([(q, sum(x == labels[q] for x in labels.values()) - 1) for q in (0, 1, 5, 6)], "qid int, n_gold long")
+    marked = spark.createDataFrame([(q, i, r, labels[q] is not None and labels[q] == labels[i]) for q, i, r in got], "qid int, id int, rank int, hit boolean").join(n, "qid", "left")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(ranking.context_marked(marked, n)) == rows(ranking.context(lists, pairs))
+    assert rows(ranking.evaluate_marked(marked)) == rows(ranking.evaluate(lists, pairs))
