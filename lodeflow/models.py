@@ -37,16 +37,19 @@ class Generator(Protocol):
 
 
 class HashEncoder:
-    """Terms hashed into ``dim`` signed counts, of length 1. Built-in expressions only."""
+    """Terms hashed into ``dim`` signed counts, of length 1. Built-in expressions only: a term is a letter for its slot and sign, and letters are counted
+    by native passes over the string that they make, not by a fold that goes over all slots for each term."""
 
     def __init__(self, dim: int = 64, instruction: str = ""):
         self.dim, self.instruction = dim, instruction
 
     def documents(self, text: Column) -> Column:
-        slots = F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t))
-        start = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda _: F.lit(0.0))
-        count = lambda acc, h: F.transform(acc, lambda v, i: F.when(i == F.pmod(h, F.lit(self.dim)), v + F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0)).otherwise(v))
-        return unit(F.aggregate(slots, start, count))
+        letters = [chr(256 + i) for i in range(2 * self.dim)]
+        letter = lambda h: F.element_at(F.array(*map(F.lit, letters)), (2 * F.pmod(h, F.lit(self.dim)) + F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1).otherwise(2)).cast("int"))
+        count = lambda s, x: F.char_length(s) - F.char_length(F.replace(s, x, F.lit("")))
+        slots = F.array(*[F.struct(F.lit(letters[2 * i]).alias("up"), F.lit(letters[2 * i + 1]).alias("down")) for i in range(self.dim)])
+        counts = lambda s: F.transform(slots, lambda x: (count(s, x["up"]) - count(s, x["down"])).cast("double"))
+        return unit(let(F.array_join(F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: letter(F.xxhash64(t))), ""), counts))
 
     def query(self, text: Column) -> Column:
         return self.documents(F.concat(F.lit(self.instruction), text))

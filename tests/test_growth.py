@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodeflow.facade import Engine
+from lodeflow.functions.text import terms
+from lodeflow.models import HashEncoder, unit
 from lodeflow.operators import entities, graph, ranking
 
 
@@ -63,3 +66,31 @@ def test_questions_with_enough_are_not_walked(spark):
     got = {(r.qid, r.id, r.hop) for r in graph.retrieve(around, found, seeds, 3, hub=100).collect()}
     assert got == {(1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 90, 0), (2, 91, 1), (2, 0, 2)}
     assert asked == [(1, {"rare"}), (2, {"rare"})]
+
+
+def test_encoder_counts_letters(spark, sf):
+    """The same vectors as by a fold over all slots for each term, without one."""
+    def folded(text, dim):
+        start = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda _: F.lit(0.0))
+        count = lambda acc, h: F.transform(acc, lambda v, i: F.when(i == F.pmod(h, F.lit(dim)), v + F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0)).otherwise(v))
+        return unit(F.aggregate(F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)), start, count))
+
+    docs = _docs(spark, sf).where("chunk_id % 10 = 0").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a A a b-c")], "chunk_id long, text string"))
+    for dim in (16, 64):
+        made = HashEncoder(dim).documents(F.col("text"))
+        assert docs.select(made.alias("a"), folded(F.col("text"), dim).alias("b")).where("a <> b").count() == 0
+
+
+def test_an_engine_that_is_not_saved_makes_no_edge_table(spark, sf, monkeypatch):
+    """Walks read the links around their seeds, and find what they find in the whole table of edges."""
+    chunks = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text", "source", F.lit(1).alias("page"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    whole, made = graph.edges, []
+    monkeypatch.setattr(graph, "edges", lambda rels: made.append(1) or whole(rels))
+    engine = Engine(chunks).index()
+    seeds = engine.seeds(asked)
+    found = lambda: (sorted(map(tuple, engine.walked(seeds, 20).collect())), sorted(map(tuple, graph.expand(engine.linked(), seeds, ["related_to"]).collect())))
+    by_links = found()
+    assert not made and by_links[0] and by_links[1]
+    assert engine.edges is engine.linked() and made == [1]
+    assert found() == by_links
