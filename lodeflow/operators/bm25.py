@@ -23,18 +23,18 @@ class Index:
     packed: DataFrame | None = None
 
 
-#: Folders of a stored index, by hash of term; postings of one of its rows.
-SLOTS, ROW = 64, 4_096
+#: Folders of a stored index, by hash of term; postings of one of its rows, and of what one file holds of a folder.
+SLOTS, ROW, FILE = 64, 4_096, 1_000_000
 
 #: Question terms that are broadcast, about 100 bytes each; more are joined by a shuffle.
 FEW = 1_000_000
 
 
 def counted(words: Column) -> Column:
-    """Distinct words of an array and how often each is there, as (term, tf): runs of the sorted array, found in one pass."""
+    """Distinct words of an array and how often each is there, as (term, tf): runs of the sorted array, found in one pass. ``sort_array`` sorts without a lambda for each comparison, which ``array_sort`` has."""
     runs = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     each = lambda p: F.transform(p["at"], lambda i, n: F.struct(F.get(p["s"], i).alias("term"), (F.coalesce(F.get(p["at"], n + 1), F.size(p["s"])) - i).cast("long").alias("tf")))
-    found = let(F.array_sort(words), lambda s: let(F.struct(s.alias("s"), runs(s).alias("at")), each))
+    found = let(F.sort_array(words), lambda s: let(F.struct(s.alias("s"), runs(s).alias("at")), each))
     return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
@@ -58,11 +58,15 @@ def slot(term: Column) -> Column:
 
 def pack(ix: Index) -> DataFrame:
     """Postings by term, as an index is stored: ``slot``, ``term``, ``block`` and its ``postings`` (doc_id, tf, dl), about :data:`ROW` at most, so that
-    a frequent term is many rows. Such terms are few: each has more than :data:`ROW` documents."""
+    a frequent term is many rows. Such terms are few: each has more than :data:`ROW` documents. Postings are shuffled once, by folder, so
+    that a folder gets a few files and not one from each task."""
     frequent = ix.idf.where(F.col("df") > ROW).select("term", F.ceil(F.col("df") / ROW).cast("int").alias("blocks"))
+    frequent = F.broadcast(frequent) if frequent.count() <= FEW else frequent
+    total = ix.idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    files = F.lit(max(1, -(-total // (SLOTS * FILE))))
     dealt = ix.postings.join(frequent, "term", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    rows = dealt.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings"))
-    return rows.select(slot(F.col("term")).alias("slot"), "term", "block", "postings")
+    dealt = dealt.select(slot(F.col("term")).alias("slot"), F.pmod(F.xxhash64("block", "term"), files).alias("file_"), "term", "block", F.struct("doc_id", "tf", "dl").alias("p_"))
+    return dealt.repartition("slot", "file_").groupBy("slot", "file_", "term", "block").agg(F.sort_array(F.collect_list("p_")).alias("postings")).drop("file_")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -78,19 +82,21 @@ def _asked_postings(ix: Index, asked: DataFrame) -> DataFrame:
     """The postings of the asked terms. A stored index is read in the folders of these terms only, and a row's postings are
     unpacked once its term is known to be asked."""
     if ix.packed is None:
-        return ix.postings
+        return ix.postings.join(asked, "term", "left_semi")
     slots = [r[0] for r in asked.select(slot(F.col("term"))).distinct().collect()]  # SLOTS numbers at most
     rows = ix.packed.where(F.col("slot").isin(slots)) if len(slots) < SLOTS else ix.packed
-    return unpacked(rows.join(asked.select("term").distinct(), "term", "left_semi"))
+    return unpacked(rows.join(asked, "term", "left_semi"))
 
 
 def search(ix: Index, queries: DataFrame, k: int, key: str = "qid", text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """``key``, ``doc_id``, ``score`` (6 decimals), ``rank``; a term repeated in a query counts as often. ``k`` rows at most for a query, then
-    those above 0. Postings meet the asked terms where they are, if these are few; scores are summed there first."""
+    those above 0. If the asked terms are few, their postings are found where they are and dealt by document, each once however many questions have
+    its term, and a document's scores are summed and ranked where it is."""
     named = queries.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
     asked = settle(named.join(ix.idf, "term"))
-    asked = F.broadcast(asked) if asked.count() <= FEW else asked
-    hits = _asked_postings(ix, asked).join(asked, "term").join(F.broadcast(ix.totals), F.lit(True))
+    few = asked.count() <= FEW
+    held = _asked_postings(ix, F.broadcast(asked) if few else asked)
+    hits = (held.repartition("doc_id").join(F.broadcast(asked), "term") if few else held.join(asked, "term")).join(F.broadcast(ix.totals), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(key, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")

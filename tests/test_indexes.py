@@ -98,6 +98,21 @@ def test_packed_postings(spark, monkeypatch, tmp_path):
     assert "PartitionFilters: [isnotnull(slot" in plan or "slot#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_stored_folders_have_few_files_and_scores_are_not_shuffled(spark, sf, tmp_path):
+    """A folder has a file and not one from each task; what is shuffled are postings by document, not scores of pairs of question and document."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(4)
+    ix = bm25.index(docs)
+    versions.commit(spark, str(tmp_path), {"postings": bm25.pack(ix), "idf": ix.idf, "totals": ix.totals}, partitioned={"postings": ["slot"]})
+    assert len(list(tmp_path.glob("data/*/postings/slot=*/*.parquet"))) == len(list(tmp_path.glob("data/*/postings/slot=*")))
+    at = versions.open_version(spark, str(tmp_path))
+    again = bm25.stored(*(at.read(spark, n) for n in ("postings", "idf", "totals")))
+    q = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    assert sorted(map(tuple, bm25.search(again, q, 5).collect())) == sorted(map(tuple, bm25.search(ix, q, 5).collect()))
+    for each in (ix, again):
+        plan = bm25.search(each, q, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id#" in plan and not [x for x in plan.split("\n") if "hashpartitioning(qid#" in x and "doc_id#" in x.split("hashpartitioning(")[1].split(")")[0]]
+
+
 def clustered(n, dim, seed):
     rng = np.random.default_rng(seed)
     return np.repeat(rng.standard_normal((n // 20, dim)), 20, 0) + 0.2 * rng.standard_normal((n, dim))
