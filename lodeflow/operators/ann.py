@@ -22,6 +22,8 @@ from .storage import settle
 
 #: Vectors and questions of a block; blocks of a list that one task gets with the list's questions; lists of an index at most.
 BLOCK, ASKED, GROUP, MOST_LISTS = 1_024, 256, 64, 4_096
+#: Bytes of unit vectors that a task sends out at once, and of cosines to centres that it holds.
+ROOM = 32 << 20
 #: What rounding may hide of an angle between two unit vectors.
 SLACK = 2e-6
 
@@ -46,16 +48,17 @@ def _rows(df: DataFrame, key: str, vector: str, tag: str | None) -> DataFrame:
     return rows.where(usable(F.col("v"))).withColumn("length", F.size("v"))
 
 
-def _units(b):
-    """Of a batch, by length: places in it, and unit vectors."""
+def _units(b, known: dict):
+    """Of a batch, by length: places in it, and unit vectors; so many at once that a vector for each of their lists, or a cosine to each centre, takes :data:`ROOM` bytes at most."""
     import numpy as np
 
     lengths = b.column("length").to_numpy()
     flat, ends = b.column("v").flatten().to_numpy(), np.cumsum(lengths)
     for n in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths == n)
-        x = flat[(ends[at] - n)[:, None] + np.arange(n)]
-        yield n, at, _unit(x)
+        every = np.flatnonzero(lengths == n)
+        step = max(1, ROOM // (8 * n * (len(known[n][0]) if n in known else 1)))
+        for at in (every[i : i + step] for i in range(0, len(every), step)):
+            yield n, at, _unit(flat[(ends[at] - n)[:, None] + np.arange(n)])
 
 
 def _unit(x):
@@ -113,7 +116,7 @@ def build(corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", tag
         import numpy as np
 
         for b in batches:
-            for n, at, x in _units(b):
+            for n, at, x in _units(b, sent.value):
                 lists, centres, _ = sent.value.get(n, (np.array([0]), x[:1] * 0.0, None))
                 cos = x @ centres.T
                 near = np.argmax(cos, 1)
@@ -139,7 +142,7 @@ def _asked(queries: DataFrame, known, probes: int | None, tagged: bool, best: st
         import numpy as np
 
         for b in batches:
-            for n, at, x in _units(b):
+            for n, at, x in _units(b, known.value):
                 if n not in known.value:
                     continue
                 lists, centres, radius = known.value[n]

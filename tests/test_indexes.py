@@ -135,6 +135,20 @@ def test_certified_is_exact_and_looks_at_few(spark, monkeypatch):
     assert ann.search(ix, asked.limit(0), 7)[0].count() == 0 and ann.search(ann.build(df.limit(0)), asked, 7)[0].count() == 0
 
 
+def test_questions_go_to_lists_in_parts(spark, sf, monkeypatch):
+    """However many questions a batch has and lists they go to, a part of what goes out has a bounded number of bytes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ann, "ROOM", 8 * 12 * 40 * 5)
+    x = np.random.default_rng(1).standard_normal((64, 12))
+    batch = pa.RecordBatch.from_pydict({"length": pa.array([12] * 64, pa.int32()), "v": pa.array(x.tolist())})
+    parts = list(ann._units(batch, {12: (np.arange(40), None, None)}))
+    assert [len(at) for _, at, _ in parts] == [5] * 12 + [4] and np.concatenate([at for _, at, _ in parts]).tolist() == list(range(64))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(clustered(400, 12, 3))], "vec_id long, embedding array<double>, label int")
+    got, _ = ann.search(ann.build(df, tag="label"), df, 5, 3, tag="label", certified=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vectors.nearest(df, df, 5, tag="label").collect()))
+
+
 def test_audit_and_probes(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(2_000, 16, 5))], "vec_id long, embedding array<double>")
     asked, ix = df.where("vec_id % 20 = 0"), ann.build(df)
