@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are sent to the executors at once.
-BLOCK = 4_096
+#: Query vectors that are sent to the executors at once; rows that a task compares with them at once.
+BLOCK, ROWS = 4_096, 2_048
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", tag: str | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def _block(rows: DataFrame, queries: list, k: int, tagged: bool) -> DataFrame:
             return [[x[keep]] for x in (np.concatenate(h) for h in held)]
 
         room = 4 * k * max(1, len(shared.value)) + 100_000
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             vectors_ = b.column("v").to_pylist()
             for n, (q, qids, tags) in asked.items():
                 usable = [i for i, v in enumerate(vectors_) if v and len(v) == n and None not in v]
