@@ -24,7 +24,7 @@ def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", leng
 def gazetteer_and_common(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> tuple[DataFrame, DataFrame]:
     """:func:`gazetteer`, and the terms that are in more chunks than it allows. However large the corpus, these are at most a chunk's mean number of distinct terms,
     divided by ``share``: :func:`mentions` passes over them before it shuffles anything."""
-    words = chunks.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(ENTITY_WORD), F.lit(0)))).alias("entity"))
+    words = chunks.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}]{{{max(1, length)},}}"), F.lit(0)))).alias("entity"))  # shorter words are never made
     total = chunks.agg(F.greatest(F.lit(most), F.ceil(F.count("*") * share)).alias("most_"))
     counts = settle(words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least).join(F.broadcast(total), F.lit(True)))
     return counts.where(F.col("df") <= F.col("most_")).select("entity", "df"), counts.where(F.col("df") > F.col("most_")).select("entity", "df")
@@ -96,10 +96,17 @@ def _pairs(found: DataFrame, predicate: Column) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """The distinct (``subject``, ``predicate``, ``object``) of :func:`relations`, which is all that a walk needs. A sentence's entities are paired once, by their first and last
     places, and not each mention with each; self-loops are left out."""
-    once = found.groupBy("chunk_id", "sentence", "entity").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    return paired(found).select(F.explode(F.filter(F.array(F.when(F.col("to_") > 0, F.struct(F.col("a").alias("subject"), F.col("b").alias("object"))), F.when(F.col("from_") > 0, F.struct(F.col("b").alias("subject"), F.col("a").alias("object")))), lambda e: e.isNotNull())).alias("e")).select("e.subject", F.lit("related_to").alias("predicate"), "e.object")
+
+
+def paired(found: DataFrame) -> DataFrame:
+    """Each two entities that share a sentence once: ``a`` before ``b``, and whether there is a relation from ``a`` (``to_``) and to it (``from_``). Mentions are shuffled once, by sentence, for both sides
+    and all steps, and pairs once, whatever their directions."""
+    once = found.select("chunk_id", "sentence", "entity", "ordinal").repartition("chunk_id", "sentence").groupBy("chunk_id", "sentence", "entity").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     a, b = once.alias("a"), once.alias("b")
-    on = F.expr("a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.first < b.last AND a.entity <> b.entity")
-    return a.join(b, on).select(F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object")).distinct()
+    on = F.expr("a.chunk_id = b.chunk_id AND a.sentence = b.sentence AND a.entity < b.entity")
+    to, back = F.expr("a.first < b.last").cast("int"), F.expr("b.first < a.last").cast("int")
+    return a.join(b, on).select(F.col("a.entity").alias("a"), F.col("b.entity").alias("b"), to.alias("to_"), back.alias("from_")).groupBy("a", "b").agg(F.max("to_").alias("to_"), F.max("from_").alias("from_"))
 
 
 def around(found: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodeflow.facade import Engine
 from lodeflow.functions.text import terms
 from lodeflow.models import HashEncoder, unit
-from lodeflow.operators import entities, graph, ranking
+from lodeflow.operators import entities, graph, ranking, storage
 
 
 def _docs(spark, sf):
@@ -94,3 +96,19 @@ def test_an_engine_that_is_not_saved_makes_no_edge_table(spark, sf, monkeypatch)
     assert not made and by_links[0] and by_links[1]
     assert engine.edges is engine.linked() and made == [1]
     assert found() == by_links
+
+
+def test_pairs_are_shuffled_once(spark, sf):
+    """The same links and degrees as from the table of edges, with one shuffle of mentions, one of pairs, and for degrees one of nodes."""
+    found = entities.own_mentions(_docs(spark, sf))
+    extra = spark.createDataFrame([(-1, 0, i, 0, 9, w, w) for i, w in enumerate("b a b c a".split())], found.schema)
+    found = storage.settle(found.union(extra))
+    edges = storage.settle(graph.edges(entities.relations(found)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    linked = entities.linked(found)
+    assert rows(linked.select("subject", "object")) == rows(edges.select("subject", "object").distinct())
+    degrees = graph.pair_degrees(entities.paired(found))
+    assert rows(degrees) == rows(graph.degrees(edges))
+    for df, most in ((linked, 2), (degrees, 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chunk_id" in plan and len(set(re.findall(r"hashpartitioning\(([a-z_]+)#", plan))) == most and not re.search(r"hashpartitioning\(chunk_id#\d+L?, sentence#\d+, entity", plan)
