@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, sentences
@@ -14,6 +18,9 @@ ENTITY_WORD = r"[\p{L}]+"
 #: Terms of a gazetteer, about 50 bytes each, that are broadcast; more are joined by a shuffle.
 FEW = 1_000_000
 
+#: Terms of the chunks' own gazetteer whose hashes, 8 bytes each, are sent to the tasks, and other words with such a hash that are told apart by name; with more of either, words are shuffled.
+MANY, ALIKE = 50_000_000, 1_000
+
 
 def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> DataFrame:
     """Terms (``entity``, ``df``) of ``length`` letters or more that are in ``least`` chunks or more, and in ``most`` or a ``share`` of
@@ -24,10 +31,15 @@ def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", leng
 def gazetteer_and_common(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> tuple[DataFrame, DataFrame]:
     """:func:`gazetteer`, and the terms that are in more chunks than it allows. However large the corpus, these are at most a chunk's mean number of distinct terms,
     divided by ``share``: :func:`mentions` passes over them before it shuffles anything."""
+    counts = vocabulary(chunks, key, text, length, most, share).where(F.col("df") >= least)
+    return counts.where(F.col("df") <= F.col("most_")).select("entity", "df"), counts.where(F.col("df") > F.col("most_")).select("entity", "df")
+
+
+def vocabulary(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, most: int = 10, share: float = 0.001) -> DataFrame:
+    """Every word (``entity``) of ``length`` letters or more, the number of chunks that have it (``df``), and the most that a term may be in (``most_``); settled."""
     words = chunks.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}]{{{max(1, length)},}}"), F.lit(0)))).alias("entity"))  # shorter words are never made
     total = chunks.agg(F.greatest(F.lit(most), F.ceil(F.count("*") * share)).alias("most_"))
-    counts = settle(words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least).join(F.broadcast(total), F.lit(True)))
-    return counts.where(F.col("df") <= F.col("most_")).select("entity", "df"), counts.where(F.col("df") > F.col("most_")).select("entity", "df")
+    return settle(words.where(F.char_length("entity") >= length).groupBy("entity").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)))
 
 
 def placed_words(words: Column) -> Column:
@@ -68,10 +80,63 @@ def mentions(chunks: DataFrame, entities: DataFrame, key: str = "chunk_id", text
     return placed(named).join(known, "entity").select("chunk_id", "sentence", "ordinal", "start", "length", "surface", "entity")
 
 
+def hashed(entity: Column) -> Column:
+    return F.xxhash64(entity)
+
+
+def among(spark: SparkSession, names: DataFrame) -> Callable[[Column], Column]:
+    """A function of a column of arrays of :func:`hashed` words: the places of those whose hash a name (``entity``) has. Only the hashes of the names are sent to the tasks."""
+    held = spark.sparkContext.broadcast(np.unique(names.select(hashed(F.col("entity")).alias("h")).toArrow()["h"].to_numpy()))
+
+    @F.arrow_udf("array<int>")
+    def places(lists: pa.Array) -> pa.Array:
+        known, flat, sizes = held.value, lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+        asked = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
+        words, row = flat.drop_null().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(words)  # so that neighbours in the search are neighbours in memory
+        at = np.searchsorted(known, words[order])
+        inside = at < len(known)
+        hit = np.sort(asked[order[inside][known[at[inside]] == words[order][inside]]])
+        ends = np.cumsum(np.bincount(row[hit], minlength=len(sizes)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(hit - (np.cumsum(sizes) - sizes)[row[hit]], pa.int32()))
+
+    return places.asNondeterministic()  # so that filters on what it finds are not moved below it, where it would run again
+
+
+def own_sentences(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> DataFrame:
+    """The sentences that mention a term of the chunks' own :func:`gazetteer`: ``chunk_id``, ``sentence``, ``length``, and ``mentions``, (ordinal, start, surface, entity) in order.
+    A sentence's words are looked up where they are, by hash, so none is shuffled however large the gazetteer. All words of the chunks are known: those that only share a term's hash are found beforehand and left out."""
+    words = vocabulary(chunks, key, text, length, most, share)
+    term = (F.col("df") >= least) & (F.col("df") <= F.col("most_"))
+    terms, others = words.where(term), words.where(~term)
+    if terms.count() <= MANY:
+        places = among(chunks.sparkSession, terms)
+        alike = [r[0] for r in others.where(F.size(places(F.array(hashed(F.col("entity"))))) > 0).select("entity").limit(ALIKE + 1).collect()]
+        if len(alike) <= ALIKE:
+            return _sentences(chunks, key, text, length, places, alike)
+    found = mentions(chunks, terms, key, text, others.where(F.col("df") >= least))
+    return found.groupBy("chunk_id", "sentence").agg(F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("ordinal", "start", "surface", "entity"))).alias("mentions"))
+
+
+def _sentences(chunks: DataFrame, key: str, text: str, shortest: int, places: Callable[[Column], Column], alike: list[str]) -> DataFrame:
+    rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(sentences(F.col(text))).alias("sentence", "s"))
+    plain = rows.select("chunk_id", "sentence", F.char_length("s").alias("length"), F.trim(F.regexp_replace("s", r"[^\p{L}]+", " ")).alias("line_"))
+    asked = F.transform(F.split(F.lower("line_"), " "), lambda w: F.when(F.char_length(w) >= shortest, hashed(w)))
+    some = plain.withColumn("at_", places(asked)).where(F.size("at_") > 0)
+    start = lambda i: F.when(i == 0, 0).otherwise(F.char_length(F.call_function("substring_index", F.col("line_"), F.lit(" "), i)) + 1)
+    made = let(F.split("line_", " "), lambda ws: F.transform("at_", lambda i: F.struct(i.alias("ordinal"), start(i).alias("start"), F.get(ws, i).alias("surface"), F.lower(F.get(ws, i)).alias("entity"))))
+    out = some.select("chunk_id", "sentence", "length", made.alias("mentions"))
+    return out.withColumn("mentions", F.filter("mentions", lambda m: ~m["entity"].isin(alike))).where(F.size("mentions") > 0) if alike else out
+
+
 def own_mentions(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Mentions of the chunks' own :func:`gazetteer`."""
-    terms, common = gazetteer_and_common(chunks, key, text)
-    return mentions(chunks, terms, key, text, common)
+    """Mentions of the chunks' own :func:`gazetteer`, in rows as of :func:`mentions`."""
+    return spread(own_sentences(chunks, key, text))
+
+
+def spread(held: DataFrame) -> DataFrame:
+    """The mentions of :func:`own_sentences` in rows. None of its lists is empty; a plain explode would make them once more to see this."""
+    return held.select("chunk_id", "sentence", "length", F.explode_outer("mentions").alias("m")).select("chunk_id", "sentence", "m.ordinal", "m.start", "length", "m.surface", "m.entity")
 
 
 def proximity(start_a: Column, start_b: Column, length: Column) -> Column:
@@ -93,6 +158,16 @@ def _pairs(found: DataFrame, predicate: Column) -> DataFrame:
     )
 
 
+def sentence_relations(held: DataFrame) -> DataFrame:
+    """:func:`relations` of :func:`own_sentences`: a sentence's mentions are in its row, so pairs are made there and nothing is shuffled."""
+    earlier = held.select("chunk_id", "sentence", "length", "mentions", F.explode_outer(F.sequence(F.lit(0), F.size("mentions") - 1)).alias("i"))
+    pairs = earlier.select("chunk_id", "sentence", "length", F.get("mentions", F.col("i")).alias("a"), F.explode(F.slice("mentions", F.col("i") + 2, F.size("mentions"))).alias("b"))
+    return pairs.select(
+        "chunk_id", "sentence", F.col("a.entity").alias("subject"), F.lit("related_to").alias("predicate"), F.col("b.entity").alias("object"), F.col("a.ordinal").alias("subject_ord"), F.col("b.ordinal").alias("object_ord"),
+        proximity(F.col("a.start"), F.col("b.start"), F.col("length")).alias("confidence"),
+    )
+
+
 def linked(found: DataFrame) -> DataFrame:
     """The distinct (``subject``, ``predicate``, ``object``) of :func:`relations`, which is all that a walk needs. A sentence's entities are paired once, by their first and last
     places, and not each mention with each; self-loops are left out."""

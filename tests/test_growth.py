@@ -112,3 +112,22 @@ def test_pairs_are_shuffled_once(spark, sf):
     for df, most in ((linked, 2), (degrees, 3)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(chunk_id" in plan and len(set(re.findall(r"hashpartitioning\(([a-z_]+)#", plan))) == most and not re.search(r"hashpartitioning\(chunk_id#\d+L?, sentence#\d+, entity", plan)
+
+
+def test_pairs_are_made_where_sentences_are(spark, sf, monkeypatch):
+    """Mentions and pairs without a shuffle of words or mentions, whatever the number of terms, as from a join with the gazetteer and of mentions with each other; also where other words
+    share the hash of a term, few or many."""
+    docs = _docs(spark, sf).where("chunk_id % 4 = 0").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Zebrafish met zebrafish, ÄPFELCHEN und Äpfelchen! Zebrafish"), (-4, "zebrafish äpfelchen")], "chunk_id long, text string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    found = storage.settle(entities.mentions(docs, entities.gazetteer(docs)))
+    want, pairs = rows(found), rows(entities.relations(found))
+    monkeypatch.setattr(entities, "FEW", 0)
+    assert rows(entities.own_mentions(docs)) == want
+    made = entities.sentence_relations(entities.own_sentences(docs))
+    assert rows(made) == pairs and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    for buckets, most in ((1 << 20, 1_000), (1 << 20, 0), (64, 1_000)):
+        monkeypatch.setattr(entities, "hashed", lambda w, n=buckets: F.pmod(F.xxhash64(w), F.lit(n)))
+        monkeypatch.setattr(entities, "ALIKE", most)
+        assert rows(entities.own_mentions(docs)) == want
+    monkeypatch.setattr(entities, "MANY", 0)
+    assert rows(entities.sentence_relations(entities.own_sentences(docs))) == pairs
