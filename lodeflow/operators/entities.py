@@ -171,7 +171,11 @@ def sentence_relations(held: DataFrame) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """The distinct (``subject``, ``predicate``, ``object``) of :func:`relations`, which is all that a walk needs. A sentence's entities are paired once, by their first and last
     places, and not each mention with each; self-loops are left out."""
-    return paired(found).select(F.explode(F.filter(F.array(F.when(F.col("to_") > 0, F.struct(F.col("a").alias("subject"), F.col("b").alias("object"))), F.when(F.col("from_") > 0, F.struct(F.col("b").alias("subject"), F.col("a").alias("object")))), lambda e: e.isNotNull())).alias("e")).select("e.subject", F.lit("related_to").alias("predicate"), "e.object")
+    return _directed(paired(found))
+
+
+def _directed(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.filter(F.array(F.when(F.col("to_") > 0, F.struct(F.col("a").alias("subject"), F.col("b").alias("object"))), F.when(F.col("from_") > 0, F.struct(F.col("b").alias("subject"), F.col("a").alias("object")))), lambda e: e.isNotNull())).alias("e")).select("e.subject", F.lit("related_to").alias("predicate"), "e.object")
 
 
 def paired(found: DataFrame) -> DataFrame:
@@ -194,6 +198,24 @@ def around(found: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return part
 
 
+def sentences_around(held: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """:func:`around` of :func:`own_sentences`. A sentence is kept where it is if it has a name by hash, so no mention is shuffled. One that only shares a hash adds links that
+    are in the graph anyway, and that a walk from ``seeds`` does not need."""
+    names, part = seeds.select(F.col("seed").alias("entity")).distinct(), held
+    for _ in range(hops):
+        places = among(held.sparkSession, names)
+        part = held.where(F.size(places(F.transform("mentions", lambda m: hashed(m["entity"])))) > 0)
+        names = part.select(F.explode_outer("mentions.entity").alias("entity")).distinct()
+    return part
+
+
+def sentences_linked(held: DataFrame) -> DataFrame:
+    """:func:`linked` of :func:`own_sentences`: pairs are made in a sentence's row, and shuffled once, whatever their directions."""
+    subject, object_ = F.col("subject"), F.col("object")
+    pairs = sentence_relations(held).where(subject != object_).groupBy(F.least(subject, object_).alias("a"), F.greatest(subject, object_).alias("b"))
+    return _directed(pairs.agg(F.max((subject < object_).cast("int")).alias("to_"), F.max((subject > object_).cast("int")).alias("from_")))
+
+
 def next_verbs(places: DataFrame, chunks_words: DataFrame, verbs: DataFrame) -> DataFrame:
     """``places`` (chunk_id, sentence, ordinal, more) with ``verbs_``, the first two verbs after each in its sentence as (at, word): one pass over a sentence from its end."""
     kept = [c for c in places.columns if c not in ("chunk_id", "sentence", "ordinal")]

@@ -131,3 +131,20 @@ def test_pairs_are_made_where_sentences_are(spark, sf, monkeypatch):
         assert rows(entities.own_mentions(docs)) == want
     monkeypatch.setattr(entities, "MANY", 0)
     assert rows(entities.sentence_relations(entities.own_sentences(docs))) == pairs
+
+
+def test_walks_look_at_sentences_where_they_are(spark, monkeypatch):
+    """What is around seeds is found without a shuffle of mentions, and gives the links that mentions in rows give; where names share hashes, no link of these is lost and none is made up."""
+    texts = ["alphabet bequests alphabet. Bequests, cellular", "cellular dolphins. Dolphins", "dolphins elephant! Elephant furlongs", "furlongs alphabet"]
+    held = storage.settle(entities.own_sentences(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")))
+    found, seeds = entities.spread(held), spark.createDataFrame([(1, "bequests"), (2, "nowhere")], "qid int, seed string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    everything = rows(entities.linked(found))
+    assert everything and rows(entities.sentences_linked(held)) == everything
+    for hops in (1, 2):
+        part = entities.sentences_around(held, seeds, hops)
+        assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
+        assert rows(entities.spread(part)) == rows(entities.around(found, seeds, hops))
+    near = set(rows(entities.linked(entities.around(found, seeds, 1))))
+    monkeypatch.setattr(entities, "hashed", lambda w: F.pmod(F.xxhash64(w), F.lit(2)))
+    assert near <= set(rows(entities.sentences_linked(entities.sentences_around(held, seeds, 1)))) <= set(everything)
