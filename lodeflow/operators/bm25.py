@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,8 @@ class Index:
     packed: DataFrame | None = None
 
 
-#: Folders of a stored index, by hash of term; postings of one of its rows, and of what one file holds of a folder.
-SLOTS, ROW, FILE = 64, 4_096, 1_000_000
+#: Folders of a stored index, by hash of term; postings of one of its rows, of what one file holds of a folder, and of what a task gathers by term before they are shuffled.
+SLOTS, ROW, FILE, GATHER = 64, 4_096, 1_000_000, 1_000_000
 
 #: Question terms that are broadcast, about 100 bytes each; more are joined by a shuffle.
 FEW = 1_000_000
@@ -58,15 +61,44 @@ def slot(term: Column) -> Column:
 
 def pack(ix: Index) -> DataFrame:
     """Postings by term, as an index is stored: ``slot``, ``term``, ``block`` and its ``postings`` (doc_id, tf, dl), about :data:`ROW` at most, so that
-    a frequent term is many rows. Such terms are few: each has more than :data:`ROW` documents. Postings are shuffled once, by folder, so
+    a frequent term is many rows. Such terms are few: each has more than :data:`ROW` documents. Postings are shuffled once, :func:`gathered` by term and dealt by folder, so
     that a folder gets a few files and not one from each task."""
     frequent = ix.idf.where(F.col("df") > ROW).select("term", F.ceil(F.col("df") / ROW).cast("int").alias("blocks"))
     frequent = F.broadcast(frequent) if frequent.count() <= FEW else frequent
     total = ix.idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     files = F.lit(max(1, -(-total // (SLOTS * FILE))))
     dealt = ix.postings.join(frequent, "term", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    dealt = dealt.select(slot(F.col("term")).alias("slot"), F.pmod(F.xxhash64("block", "term"), files).alias("file_"), "term", "block", F.struct("doc_id", "tf", "dl").alias("p_"))
-    return dealt.repartition("slot", "file_").groupBy("slot", "file_", "term", "block").agg(F.sort_array(F.collect_list("p_")).alias("postings")).drop("file_")
+    rows = gathered(dealt).select(slot(F.col("term")).alias("slot"), F.pmod(F.xxhash64("block", "term"), files).alias("file_"), "term", "block", "doc_id", "tf", "dl").repartition("slot", "file_")
+    each = F.arrays_zip("doc_id", "tf", "dl").cast(f"array<struct<doc_id:{ix.postings.schema['doc_id'].dataType.simpleString()},tf:bigint,dl:int>>")
+    return rows.groupBy("slot", "file_", "term", "block").agg(F.sort_array(F.flatten(F.collect_list(each))).alias("postings")).drop("file_")
+
+
+def gathered(postings: DataFrame) -> DataFrame:
+    """Postings (term, block, doc_id, tf, dl) of a task as lists ``doc_id``, ``tf`` and ``dl`` of each (``term``, ``block``) among :data:`GATHER` of them, so that a term is shuffled
+    once for many documents."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= GATHER:
+                yield lists(held)
+                held = []
+        if held:
+            yield lists(held)
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        named = t["term"].combine_chunks().dictionary_encode()
+        term, block = named.indices.to_numpy().astype(np.int64), t["block"].to_numpy()
+        order = np.lexsort((t["doc_id"].to_numpy(), block, term)) if pa.types.is_integer(t["doc_id"].type) else np.lexsort((block, term))
+        term, block = term[order], block[order]
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        ends = pa.array(np.append(first, len(order)).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(ends, t[c].combine_chunks().take(pa.array(order))) for c in ("doc_id", "tf", "dl")]
+        return pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(term[first])), pa.array(block[first], pa.int32()), *columns], ["term", "block", "doc_id", "tf", "dl"])
+
+    key = postings.schema["doc_id"].dataType.simpleString()
+    return postings.select("term", "block", "doc_id", F.col("tf").cast("int"), "dl").mapInArrow(run, f"term string, block int, doc_id array<{key}>, tf array<int>, dl array<int>")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

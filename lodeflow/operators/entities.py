@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,9 @@ FEW = 1_000_000
 #: Terms of the chunks' own gazetteer whose hashes, 8 bytes each, are sent to the tasks, and other words with such a hash that are told apart by name; with more of either, words are shuffled.
 MANY, ALIKE = 50_000_000, 1_000
 
+#: Pairs of mentions that a task makes at once, about 100 bytes each.
+PAIRS = 1_000_000
+
 
 def gazetteer(chunks: DataFrame, key: str = "chunk_id", text: str = "text", length: int = 6, least: int = 2, most: int = 10, share: float = 0.001) -> DataFrame:
     """Terms (``entity``, ``df``) of ``length`` letters or more that are in ``least`` chunks or more, and in ``most`` or a ``share`` of
@@ -140,7 +143,12 @@ def spread(held: DataFrame) -> DataFrame:
 
 
 def proximity(start_a: Column, start_b: Column, length: Column) -> Column:
-    return F.round(1 - F.least(F.abs(start_a - start_b) / F.greatest(length, F.lit(1)), F.lit(1.0)) * 0.7 + 1e-9, 3)  # half goes up
+    return nearness(F.abs(start_a - start_b) / F.greatest(length, F.lit(1)))
+
+
+def nearness(apart: Column) -> Column:
+    """Of a distance as a share of a sentence's length; the less this is, the greater."""
+    return F.round(1 - F.least(apart, F.lit(1.0)) * 0.7 + 1e-9, 3)  # half goes up
 
 
 def relations(found: DataFrame) -> DataFrame:
@@ -168,6 +176,44 @@ def sentence_relations(held: DataFrame) -> DataFrame:
     )
 
 
+def chunk_pairs(held: DataFrame) -> DataFrame:
+    """The pairs of :func:`sentence_relations` of two different entities, counted by chunk where they are: ``chunk_id``, ``subject``, ``object``, ``weight``, and ``apart``, the least distance as a share of the
+    sentence's length. :data:`PAIRS` are made at once. A chunk whose sentences lie in two batches may have a pair twice, in parts."""
+    rows = held.select("chunk_id", "length", F.col("mentions.entity").alias("names"), F.col("mentions.start").alias("starts"))
+
+    def counted(parts: list) -> list:
+        key, weight, apart = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return [key[first], np.add.reduceat(weight[order], first), np.minimum.reduceat(apart[order], first)] if len(key) else [key, weight, apart]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, chunks = b.column("names").value_lengths().to_numpy(), b.column("chunk_id").dictionary_encode()
+            named = b.column("names").flatten().dictionary_encode()
+            entity, start, words, n = named.indices.to_numpy().astype(np.int64), b.column("starts").flatten().to_numpy(), len(named.dictionary), len(chunks.dictionary)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            chunk, length = chunks.indices.to_numpy()[row], np.maximum(b.column("length").to_numpy(), 1)[row]
+            later = np.cumsum(sizes)[row] - 1 - np.arange(len(row))
+            upto, done, at = np.cumsum(later), [], 0
+            while at < len(row):
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] - later[at] + PAIRS, "right")))
+                of = later[at:end]
+                i = np.repeat(np.arange(at, end), of)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(of) - of, of)
+                two = entity[i] != entity[j]
+                i, j = i[two], j[two]
+                done.append(counted([[(entity[i] * words + entity[j]) * n + chunk[i], np.ones(len(i), np.int64), np.abs(start[i] - start[j]) / length[i]]]))
+                at = end
+            if done:
+                key, weight, apart = counted(done) if len(done) > 1 else done[0]
+                pair = key // n
+                yield pa.RecordBatch.from_arrays([chunks.dictionary.take(pa.array(key % n)), named.dictionary.take(pa.array(pair // words)), named.dictionary.take(pa.array(pair % words)), pa.array(weight), pa.array(apart)], ["chunk_id", "subject", "object", "weight", "apart"])
+
+    return rows.mapInArrow(run, f"chunk_id {held.schema['chunk_id'].dataType.simpleString()}, subject string, object string, weight long, apart double")
+
+
 def linked(found: DataFrame) -> DataFrame:
     """The distinct (``subject``, ``predicate``, ``object``) of :func:`relations`, which is all that a walk needs. A sentence's entities are paired once, by their first and last
     places, and not each mention with each; self-loops are left out."""

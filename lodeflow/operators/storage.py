@@ -26,5 +26,5 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there: branches do not compute it again, and a lost
     executor takes nothing with it."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

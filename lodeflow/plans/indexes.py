@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ann, bm25, entities, graph
-from ..operators.storage import scratch, settle
+from ..operators.storage import scratch
 from ..sources import versions
 from . import knowledge, retrieval
 from .common import table
@@ -24,13 +24,13 @@ def index_roundtrip(spark, d):
     """Postings by term, vectors, nodes and edges, committed as one version and read from it: kind, key, n, x."""
     ix = bm25.index(table(spark, d, "documents"))
     lists = ann.build(table(spark, d, "embeddings"), tag="label")
-    found = settle(knowledge._found(spark, d))
-    edges = graph.edges(entities.relations(found))
+    held = knowledge._held(spark, d)
+    nodes, edges = graph.own_nodes(entities.spread(held)), graph.chunk_edges(entities.chunk_pairs(held))
     folder = scratch(spark, "index")
-    versions.commit(spark, folder, {"postings": bm25.pack(ix), "blocks": lists.blocks, "centres": lists.centres, "nodes": graph.nodes(found), "edges": edges}, partitioned={"postings": ["slot"]})
+    versions.commit(spark, folder, {"postings": bm25.pack(ix), "blocks": lists.blocks, "centres": lists.centres, "nodes": nodes, "edges": edges}, partitioned={"postings": ["slot"]})
     at = versions.open_version(spark, folder)
     row = lambda kind, key, n, x: (F.lit(kind).alias("kind"), key.alias("key"), n.cast("long").alias("n"), x.cast("double").alias("x"))
-    postings = bm25.unpacked(at.read(spark, "postings")).groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("x"))
+    postings = at.read(spark, "postings").groupBy("term").agg(F.sum(F.size("postings")).alias("n"), F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"])).alias("x"))
     vectors = at.read(spark, "blocks").select("length", F.explode("rows").alias("r"))
     nodes, edges = at.read(spark, "nodes"), at.read(spark, "edges")
     return (

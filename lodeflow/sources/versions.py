@@ -70,7 +70,7 @@ def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame], facts
     folder, own = folder.rstrip("/"), uuid.uuid4().hex
     named = {}
     for name, df in tables.items():
-        writer = df.write.mode("errorifexists")
+        writer = df.write.mode("errorifexists").option("compression", "zstd")
         if columns := (partitioned or {}).get(name):
             writer = writer.partitionBy(*columns)
         path = f"{own}/{name}"

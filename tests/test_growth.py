@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodeflow.facade import Engine
 from lodeflow.functions.text import terms
 from lodeflow.models import HashEncoder, unit
-from lodeflow.operators import entities, graph, ranking, storage
+from lodeflow.operators import bm25, entities, graph, ranking, storage
 
 
 def _docs(spark, sf):
@@ -148,3 +148,30 @@ def test_walks_look_at_sentences_where_they_are(spark, monkeypatch):
     near = set(rows(entities.linked(entities.around(found, seeds, 1))))
     monkeypatch.setattr(entities, "hashed", lambda w: F.pmod(F.xxhash64(w), F.lit(2)))
     assert near <= set(rows(entities.sentences_linked(entities.sentences_around(held, seeds, 1)))) <= set(everything)
+
+
+def test_stored_graph_is_shuffled_once(spark, sf, monkeypatch):
+    """Nodes and edges as from mentions in rows, each with one shuffle; also where a chunk's pairs are made in many parts, and a chunk is there twice."""
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "Zebrafish met zebrafish, ÄPFELCHEN und Äpfelchen! Zebrafish"), (-4, "zebrafish äpfelchen"), (-5, "Gryphons zebrafish"), (-5, "gryphons, zebrafish")], "chunk_id long, text string")
+    held = storage.settle(entities.own_sentences(_docs(spark, sf).where("chunk_id % 4 = 0").union(odd)))
+    found = storage.settle(entities.spread(held))
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    nodes, edges = rows(graph.nodes(found)), rows(graph.edges(entities.sentence_relations(held)))
+    for most in (1_000_000, 7):
+        monkeypatch.setattr(entities, "PAIRS", most)
+        for df, want in ((graph.own_nodes(found), nodes), (graph.chunk_edges(entities.chunk_pairs(held)), edges)):
+            assert rows(df) == want and df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert entities.chunk_pairs(held).groupBy("chunk_id", "subject", "object").count().where("count > 2").isEmpty()
+
+
+def test_postings_are_gathered_before_they_are_shuffled(spark, sf, monkeypatch):
+    """A term is shuffled once for the documents that are gathered, not with each of them, and what is packed is the same however many are."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(2)
+    ix = bm25.index(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(ix.postings.select("doc_id", "term", "dl", "tf"))
+    for most in (1_000_000, 3_000):
+        monkeypatch.setattr(bm25, "GATHER", most)
+        packed = bm25.pack(ix)
+        assert rows(bm25.unpacked(packed)) == want and "MapInArrow" in packed._jdf.queryExecution().executedPlan().toString()
+    assert bm25.gathered(ix.postings.withColumn("block", F.lit(0))).count() < 0.8 * len(want)
