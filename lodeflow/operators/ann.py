@@ -109,7 +109,7 @@ def build(corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", tag
     rows = settle(_rows(corpus, key, vector, tag))
     total = rows.count()
     n_lists = max(1, min(MOST_LISTS, n_lists or round(total**0.5)))
-    fitted = _fit(rows, n_lists, max(sample, 1), rounds)
+    fitted = settle(_fit(rows, n_lists, max(sample, 1), rounds))
     sent = rows.sparkSession.sparkContext.broadcast(_known(fitted))
 
     def assign(batches):

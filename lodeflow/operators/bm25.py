@@ -32,6 +32,9 @@ SLOTS, ROW, FILE, GATHER = 64, 4_096, 1_000_000, 1_000_000
 #: Question terms that are broadcast, about 100 bytes each; more are joined by a shuffle.
 FEW = 1_000_000
 
+#: Scores of a question and a document that a task sums and sorts, about 250 bytes each.
+SCORES = 500_000
+
 
 def counted(words: Column) -> Column:
     """Distinct words of an array and how often each is there, as (term, tf): runs of the sorted array, found in one pass. ``sort_array`` sorts without a lambda for each comparison, which ``array_sort`` has."""
@@ -66,9 +69,9 @@ def pack(ix: Index) -> DataFrame:
     frequent = ix.idf.where(F.col("df") > ROW).select("term", F.ceil(F.col("df") / ROW).cast("int").alias("blocks"))
     frequent = F.broadcast(frequent) if frequent.count() <= FEW else frequent
     total = ix.idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    files = F.lit(max(1, -(-total // (SLOTS * FILE))))
+    files = max(1, -(-total // (SLOTS * FILE)))
     dealt = ix.postings.join(frequent, "term", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    rows = gathered(dealt).select(slot(F.col("term")).alias("slot"), F.pmod(F.xxhash64("block", "term"), files).alias("file_"), "term", "block", "doc_id", "tf", "dl").repartition("slot", "file_")
+    rows = gathered(dealt).select(slot(F.col("term")).alias("slot"), F.pmod(F.xxhash64("block", "term"), F.lit(files)).alias("file_"), "term", "block", "doc_id", "tf", "dl").repartition(SLOTS * files, "slot", "file_")
     each = F.arrays_zip("doc_id", "tf", "dl").cast(f"array<struct<doc_id:{ix.postings.schema['doc_id'].dataType.simpleString()},tf:bigint,dl:int>>")
     return rows.groupBy("slot", "file_", "term", "block").agg(F.sort_array(F.flatten(F.collect_list(each))).alias("postings")).drop("file_")
 
@@ -120,15 +123,21 @@ def _asked_postings(ix: Index, asked: DataFrame) -> DataFrame:
     return unpacked(rows.join(asked, "term", "left_semi"))
 
 
+def _parts(ix: Index, questions: int) -> int:
+    """Tasks that documents are dealt to for some questions. Each document may have a score for each, so their bytes before that say little."""
+    cores = ix.totals.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-ix.totals.first()["n_docs"] * questions // SCORES))
+
+
 def search(ix: Index, queries: DataFrame, k: int, key: str = "qid", text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """``key``, ``doc_id``, ``score`` (6 decimals), ``rank``; a term repeated in a query counts as often. ``k`` rows at most for a query, then
     those above 0. If the asked terms are few, their postings are found where they are and dealt by document, each once however many questions have
-    its term, and a document's scores are summed and ranked where it is."""
+    its term, and a document's scores are summed and ranked where it is, :data:`SCORES` in a task at most, or those of one document."""
     named = queries.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
     asked = settle(named.join(ix.idf, "term"))
     few = asked.count() <= FEW
     held = _asked_postings(ix, F.broadcast(asked) if few else asked)
-    hits = (held.repartition("doc_id").join(F.broadcast(asked), "term") if few else held.join(asked, "term")).join(F.broadcast(ix.totals), F.lit(True))
+    hits = (held.repartition(_parts(ix, asked.select(key).distinct().count()), "doc_id").join(F.broadcast(asked), "term") if few else held.join(asked, "term")).join(F.broadcast(ix.totals), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(key, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")

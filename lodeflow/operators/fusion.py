@@ -51,9 +51,12 @@ def weighted(signals: DataFrame, w: dict[str, float], chunks: DataFrame | None =
     total = sum((F.col(f"{s}_w") for s in names[1:]), F.col(f"{names[0]}_w"))
     fused = sum((F.col(f"{s}_w") * F.col(f"{s}_norm") for s in names[1:]), F.col(f"{names[0]}_w") * F.col(f"{names[0]}_norm"))
     out = pivot.join(has, "qid").where(total > 0).select("qid", "id", *[f"{s}_score" for s in names], F.round(fused / total, 6).alias("fused"))
-    if chunks is None:
-        return out
-    kept = out.join(chunks, "id", "left").withColumn("text", F.coalesce("text", F.concat(F.lit("Content for chunk "), F.col("id").cast("string")))).withColumn("source", F.coalesce("source", F.lit("document.pdf")))
+    return out if chunks is None else with_texts(out, chunks)
+
+
+def with_texts(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``found`` (id) with the columns of ``chunks`` (id, text, source), with a stand-in where the store has none; empty texts go."""
+    kept = found.join(chunks, "id", "left").withColumn("text", F.coalesce("text", F.concat(F.lit("Content for chunk "), F.col("id").cast("string")))).withColumn("source", F.coalesce("source", F.lit("document.pdf")))
     return kept.where(F.length("text") > 0)
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+
+#: Bytes of a row group of stored tables. A task holds one as it writes, and up to 4,096 rows of one as it reads, however wide they are.
+ROW_GROUP = 16 << 20
 
 
 def scratch(spark: SparkSession, name: str = "settled") -> str:
@@ -22,9 +25,13 @@ def scratch(spark: SparkSession, name: str = "settled") -> str:
     return path
 
 
+def writer(df: DataFrame) -> DataFrameWriter:
+    return df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there: branches do not compute it again, and a lost
     executor takes nothing with it."""
     path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    writer(df).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

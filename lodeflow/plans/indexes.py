@@ -25,7 +25,7 @@ def index_roundtrip(spark, d):
     ix = bm25.index(table(spark, d, "documents"))
     lists = ann.build(table(spark, d, "embeddings"), tag="label")
     held = knowledge._held(spark, d)
-    nodes, edges = graph.own_nodes(entities.spread(held)), graph.chunk_edges(entities.chunk_pairs(held))
+    nodes, edges = graph.own_nodes(entities.spread(held)), graph.own_edges(held)
     folder = scratch(spark, "index")
     versions.commit(spark, folder, {"postings": bm25.pack(ix), "blocks": lists.blocks, "centres": lists.centres, "nodes": nodes, "edges": edges}, partitioned={"postings": ["slot"]})
     at = versions.open_version(spark, folder)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..errors import LoadError, StoreError
+from ..operators import storage
 
 MANIFESTS, DATA = "manifests", "data"
 
@@ -70,11 +71,11 @@ def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame], facts
     folder, own = folder.rstrip("/"), uuid.uuid4().hex
     named = {}
     for name, df in tables.items():
-        writer = df.write.mode("errorifexists").option("compression", "zstd")
+        to = storage.writer(df).mode("errorifexists")
         if columns := (partitioned or {}).get(name):
-            writer = writer.partitionBy(*columns)
+            to = to.partitionBy(*columns)
         path = f"{own}/{name}"
-        writer.parquet(f"{folder}/{DATA}/{path}")
+        to.parquet(f"{folder}/{DATA}/{path}")
         named[name] = {"path": path, "schema": json.loads(df.schema.json())}
     body = json.dumps({"facts": facts or {}, "tables": named}).encode()
     fs, draft = _fs(spark, f"{folder}/{MANIFESTS}/.{own}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodeflow.facade import Engine
 from lodeflow.functions.text import terms
 from lodeflow.models import HashEncoder, unit
-from lodeflow.operators import bm25, entities, graph, ranking, storage
+from lodeflow.operators import bm25, entities, fusion, graph, ranking, storage
 
 
 def _docs(spark, sf):
@@ -159,7 +159,7 @@ def test_stored_graph_is_shuffled_once(spark, sf, monkeypatch):
     nodes, edges = rows(graph.nodes(found)), rows(graph.edges(entities.sentence_relations(held)))
     for most in (1_000_000, 7):
         monkeypatch.setattr(entities, "PAIRS", most)
-        for df, want in ((graph.own_nodes(found), nodes), (graph.chunk_edges(entities.chunk_pairs(held)), edges)):
+        for df, want in ((graph.own_nodes(found), nodes), (graph.own_edges(held), edges)):
             assert rows(df) == want and df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert entities.chunk_pairs(held).groupBy("chunk_id", "subject", "object").count().where("count > 2").isEmpty()
 
@@ -175,3 +175,38 @@ def test_postings_are_gathered_before_they_are_shuffled(spark, sf, monkeypatch):
         packed = bm25.pack(ix)
         assert rows(bm25.unpacked(packed)) == want and "MapInArrow" in packed._jdf.queryExecution().executedPlan().toString()
     assert bm25.gathered(ix.postings.withColumn("block", F.lit(0))).count() < 0.8 * len(want)
+
+
+def test_scores_of_a_task_are_bounded(spark, monkeypatch):
+    """Documents are dealt to more tasks when more questions may score them, and the best are the same."""
+    docs = spark.createDataFrame([(i, f"common word{i % 7} other{i % 3}") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common word{q}") for q in range(20)], "qid long, query string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ix = bm25.index(docs)
+    want = rows(bm25.search(ix, asked, 5))
+    monkeypatch.setattr(bm25, "SCORES", 100)
+    found = bm25.search(ix, asked, 5)
+    assert rows(found) == want and re.search(r"hashpartitioning\(doc_id#\d+L?, 12\)", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_texts_are_read_after_the_cut(spark, sf, monkeypatch):
+    """Only candidates' texts leave their place, and only those that are left after the cut meet their questions; what is found is what a cut after all texts gives, an empty text and one without a row too."""
+    chunks = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).otherwise("").alias("text"), "source", F.lit(1).alias("page"))
+    signals = spark.range(3).select(F.col("id").alias("qid")).join(spark.range(1, 60).where("id < 50 OR id > 55"), F.lit(True)).union(spark.createDataFrame([(1, -7)])).select("qid", "id", F.lit("bm25").alias("signal"), (10.0 - F.col("id") / 7).alias("raw"))
+    monkeypatch.setattr(Engine, "signals", lambda self, questions: signals)
+    seen, cut = [], fusion.near_tie_cutoff
+    monkeypatch.setattr(fusion, "near_tie_cutoff", lambda ranked, *a: seen.append(ranked.columns) or cut(ranked, *a))
+    got = Engine(chunks).retrieve(signals, 10)
+    all_ = fusion.weighted(signals, fusion.weights(), chunks.withColumnRenamed("chunk_id", "id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cut(all_, "fused", 10).collect())) and got.columns == cut(all_, "fused", 10).columns
+    assert "text" not in seen[0] and got.where("id % 5 = 0").isEmpty() and got.where("id = -7").first().text == "Content for chunk -7"
+
+
+def test_wide_rows_are_stored_in_small_groups(spark, tmp_path):
+    """A task that reads a stored table holds a bounded part of it, however wide its rows."""
+    import pyarrow.parquet as pq
+
+    wide = spark.range(0, 4_000, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(2_000)), lambda i: F.rand(7)).alias("v"))
+    at = storage.settle(wide).inputFiles()[0]
+    file = pq.ParquetFile(at.removeprefix("file://").removeprefix("file:"))
+    assert file.num_row_groups > 2 and max(file.metadata.row_group(i).total_byte_size for i in range(file.num_row_groups)) < 2 * storage.ROW_GROUP
