@@ -32,8 +32,8 @@ SLOTS, ROW, FILE, GATHER = 64, 4_096, 1_000_000, 1_000_000
 #: Question terms that are broadcast, about 100 bytes each; more are joined by a shuffle.
 FEW = 1_000_000
 
-#: Scores of a question and a document that a task sums and sorts, about 250 bytes each.
-SCORES = 500_000
+#: Scores of a question and a document that a task sums and sorts, about 250 bytes each; tasks at most, each with more if these are too few.
+SCORES, TASKS = 500_000, 8_192
 
 
 def counted(words: Column) -> Column:
@@ -126,13 +126,13 @@ def _asked_postings(ix: Index, asked: DataFrame) -> DataFrame:
 def _parts(ix: Index, questions: int) -> int:
     """Tasks that documents are dealt to for some questions. Each document may have a score for each, so their bytes before that say little."""
     cores = ix.totals.sparkSession.sparkContext.defaultParallelism
-    return max(cores, -(-ix.totals.first()["n_docs"] * questions // SCORES))
+    return max(cores, min(TASKS, -(-ix.totals.first()["n_docs"] * questions // SCORES)))
 
 
 def search(ix: Index, queries: DataFrame, k: int, key: str = "qid", text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """``key``, ``doc_id``, ``score`` (6 decimals), ``rank``; a term repeated in a query counts as often. ``k`` rows at most for a query, then
     those above 0. If the asked terms are few, their postings are found where they are and dealt by document, each once however many questions have
-    its term, and a document's scores are summed and ranked where it is, :data:`SCORES` in a task at most, or those of one document."""
+    its term, and a document's scores are summed and ranked where it is, about :data:`SCORES` in a task."""
     named = queries.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
     asked = settle(named.join(ix.idf, "term"))
     few = asked.count() <= FEW
